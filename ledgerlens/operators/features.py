@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import is_weekend, safe_div, whole_days
+from ledgerlens.functions.exprs import is_weekend, money_sum, safe_div, whole_days
 from ledgerlens.operators.order_stats import collect_scalars
 from ledgerlens.operators.trends import theil_sen_trends
 from ledgerlens.sources.tables import LINE_ORDER
@@ -71,9 +71,9 @@ def engineer_customer_features(sales: DataFrame, customers: DataFrame | None = N
         F.countDistinct("SalesOrderID").alias("NumOrders"),
         F.min("OrderDate").alias("FirstOrder"),
         F.max("OrderDate").alias("LastOrder"),
-        F.stddev_samp(F.unix_micros("OrderDate") / F.lit(1e6)).alias("OrderDateStd"),
-        F.sum("TotalDue").alias("TotalSpend"),
-        F.avg("TotalDue").alias("AvgOrderValue"),
+        F.stddev_samp(F.unix_micros(F.col("OrderDate").cast("timestamp")) / F.lit(1e6)).alias("OrderDateStd"),
+        money_sum("TotalDue").alias("TotalSpend"),
+        F.count("TotalDue").alias("_n_total"),
         F.stddev_samp("TotalDue").alias("SpendStd"),
         F.min("TotalDue").alias("MinOrder"),
         F.max("TotalDue").alias("MaxOrder"),
@@ -84,7 +84,8 @@ def engineer_customer_features(sales: DataFrame, customers: DataFrame | None = N
     )
     ref = F.lit(collect_scalars(sales.agg(F.max("OrderDate")))[0]).cast("timestamp")
     lifetime = F.greatest(whole_days(F.col("FirstOrder"), F.col("LastOrder")), F.lit(1))
-    feats = agg.withColumns({
+    feats = agg.withColumn("AvgOrderValue", safe_div(F.col("TotalSpend"), F.col("_n_total"))).drop("_n_total")
+    feats = feats.withColumns({
         "RecencyDays": whole_days(F.col("LastOrder"), ref),
         "CustomerLifetimeDays": lifetime,
     }).withColumns({
@@ -130,8 +131,8 @@ def behavioral_features(sales: DataFrame, with_trend: bool = True) -> DataFrame:
     """CUS-3: behavioural segmentation features."""
     agg = sales.groupBy("CustomerID").agg(
         F.countDistinct("SalesOrderID").alias("Frequency"),
-        F.sum("TotalDue").alias("Monetary_Total"),
-        F.avg("TotalDue").alias("Monetary_Avg"),
+        money_sum("TotalDue").alias("Monetary_Total"),
+        F.count("TotalDue").alias("_n_total"),
         F.stddev_samp("TotalDue").alias("Monetary_Std"),
         F.sum("OrderQty").alias("TotalQty"),
         F.avg("UnitPriceDiscount").alias("Discount_Avg"),
@@ -139,7 +140,8 @@ def behavioral_features(sales: DataFrame, with_trend: bool = True) -> DataFrame:
         whole_days(F.min("OrderDate"), F.max("OrderDate")).alias("LifetimeDays"),
         F.avg(is_weekend(F.col("OrderDate")).cast("int")).alias("WeekendRatio"),
     )
-    feats = agg.withColumns({
+    feats = agg.withColumn("Monetary_Avg", safe_div(F.col("Monetary_Total"), F.col("_n_total"))).drop("_n_total")
+    feats = feats.withColumns({
         "Monetary_CV": safe_div(F.col("Monetary_Std"), F.col("Monetary_Avg")),
         "ItemsPerOrder": safe_div(F.col("TotalQty"), F.col("Frequency")),
     })

@@ -49,7 +49,8 @@ def theil_sen_trends(lines: DataFrame, targets: dict[str, str], order_cols: list
     """
     local_max = LOCAL_MAX if local_max is None else local_max
     ycols = list(dict.fromkeys(targets.values()))
-    base = lines.select(key, *order_cols, *[F.col(c).cast("double").alias(c) for c in ycols])
+    targets = {out: f"_y_{y}" for out, y in targets.items()}
+    base = lines.select(key, *order_cols, *[F.col(c).cast("double").alias(f"_y_{c}") for c in ycols])
     counts = base.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     sized = base.join(counts, on=key, how="inner")
     light = sized.where(F.col("_n") <= local_max).drop("_n")

@@ -27,7 +27,8 @@ def query(key: str, sql: str | None = None, headline: bool = False):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         if key in REGISTRY:
             raise ValueError(f"duplicate query key {key}")
-        REGISTRY[key] = QuerySpec(key, fn, sql, headline)
+        from ledgerlens.plans.common import sql_round
+        REGISTRY[key] = QuerySpec(key, fn, sql_round(sql) if sql else None, headline)
         return fn
     return deco
 

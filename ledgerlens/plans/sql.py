@@ -130,3 +130,50 @@ cte("health", """
 def health_category_sql(x: str) -> str:
     return (f"CASE WHEN {x} > 0 AND {x} <= 30 THEN 'Critical' WHEN {x} > 30 AND {x} <= 50 THEN 'At Risk' "
             f"WHEN {x} > 50 AND {x} <= 70 THEN 'Stable' WHEN {x} > 70 AND {x} <= 100 THEN 'Excellent' END")
+
+# line position per customer (total order) and Theil-Sen by brute force pairs
+cte("lines_x", """
+  SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY OrderDate, SalesOrderID, LineNumber, ProductID,
+                               SupplierID, OrderQty, UnitPrice) - 1 AS x,
+         count(*) OVER (PARTITION BY CustomerID) AS n_lines
+  FROM sales""", ["sales"])
+
+cte("trends", """
+  SELECT c.CustomerID, coalesce(t.VolumeTrend, 0.0) AS VolumeTrend, coalesce(t.SpendTrend, 0.0) AS SpendTrend
+  FROM (SELECT DISTINCT CustomerID FROM sales) c LEFT JOIN (
+    SELECT a.CustomerID,
+           median((b.OrderQty - a.OrderQty) / CAST(b.x - a.x AS DOUBLE)) AS VolumeTrend,
+           median((b.TotalDue - a.TotalDue) / CAST(b.x - a.x AS DOUBLE)) AS SpendTrend
+    FROM lines_x a JOIN lines_x b ON a.CustomerID = b.CustomerID AND a.x < b.x
+    WHERE a.n_lines >= 3 GROUP BY a.CustomerID) t ON c.CustomerID = t.CustomerID""", ["lines_x"])
+
+cte("mix", """
+  SELECT CustomerID,
+         -sum(p * ln(p + 1e-10)) AS ProductEntropy, count(*) AS CategoryPenetration
+  FROM (SELECT CustomerID, CategoryName,
+               q / sum(q) OVER (PARTITION BY CustomerID) AS p
+        FROM (SELECT CustomerID, CategoryName, sum(OrderQty) AS q FROM sales
+              WHERE CategoryName IS NOT NULL GROUP BY CustomerID, CategoryName))
+  GROUP BY CustomerID""", ["sales"])
+
+cte("cust_feats", """
+  SELECT a.*, datesub('day', a.LastOrder, (SELECT max(OrderDate) FROM sales)) AS RecencyDays,
+         greatest(datesub('day', a.FirstOrder, a.LastOrder), 1) AS CustomerLifetimeDays,
+         a.NumOrders / CAST(greatest(datesub('day', a.FirstOrder, a.LastOrder), 1) AS DOUBLE) * 30.0 AS PurchaseFrequency,
+         greatest(datesub('day', a.FirstOrder, a.LastOrder), 1) / CAST(a.NumOrders AS DOUBLE) AS AvgDaysBetweenOrders,
+         a.TotalSpend / CAST(greatest(datesub('day', a.FirstOrder, a.LastOrder), 1) AS DOUBLE) * 30.0 AS SpendVelocity,
+         coalesce(c.OrderConsistency, 0.0) AS OrderConsistency, t.VolumeTrend,
+         coalesce(a.SpendStd / a.AvgOrderValue, 0.0) AS CV_Spend,
+         a.AvgDiscount * 100.0 AS DiscountDependency, CAST(a.AvgDiscount > 0.1 AS INTEGER) AS HighDiscountBuyer,
+         m.ProductEntropy, coalesce(m.CategoryPenetration, 0) AS CategoryPenetration
+  FROM (SELECT CustomerID, count(DISTINCT SalesOrderID) AS NumOrders, min(OrderDate) AS FirstOrder,
+               max(OrderDate) AS LastOrder, stddev_samp(epoch(OrderDate)) AS OrderDateStd,
+               CAST(sum(CAST(TotalDue AS DECIMAL(18,4))) AS DOUBLE) AS TotalSpend,
+               CAST(sum(CAST(TotalDue AS DECIMAL(18,4))) AS DOUBLE) / count(TotalDue) AS AvgOrderValue,
+               stddev_samp(TotalDue) AS SpendStd, min(TotalDue) AS MinOrder, max(TotalDue) AS MaxOrder,
+               sum(OrderQty) AS TotalItems, avg(OrderQty) AS AvgItemsPerOrder,
+               avg(UnitPriceDiscount) AS AvgDiscount, count(DISTINCT ProductID) AS UniqueProducts
+        FROM sales GROUP BY CustomerID) a
+  LEFT JOIN consistency c ON a.CustomerID = c.CustomerID
+  LEFT JOIN trends t ON a.CustomerID = t.CustomerID
+  LEFT JOIN mix m ON a.CustomerID = m.CustomerID""", ["sales", "consistency", "trends", "mix"])

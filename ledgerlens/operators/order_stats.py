@@ -235,3 +235,52 @@ def average_rank(df: DataFrame, value_col: str, out_col: str = "rank") -> DataFr
     cum = running_sum(counts, [value_col], "_c", out_col="_cum")
     ranks = cum.select(value_col, (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out_col))
     return df.join(ranks, on=value_col, how="left")
+
+
+def next_in_order(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+                  value_cols: Sequence[str], prefix: str = "next_",
+                  num_partitions: int | None = None) -> DataFrame:
+    """Add ``prefix + v`` = v of the following row of the same group in
+    ``order_cols`` order (NULL for a group's last row): a ``lead`` that does
+    not put a whole group into one window partition.
+
+    Rows are range partitioned and shifted locally; a partition's last row
+    takes the first row of the next non-empty partition when it belongs to
+    the same group.  Only one head row per partition reaches the driver.
+    """
+    group_cols, order_cols, value_cols = list(group_cols), list(order_cols), list(value_cols)
+    keys = group_cols + order_cols
+    spark = df.sparkSession
+    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+               .withColumn("_pid", F.spark_partition_id())).persist()
+    head_schema = T.StructType([ordered.schema["_pid"]] + [ordered.schema[c] for c in group_cols + value_cols])
+
+    def heads(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[["_pid"] + group_cols + value_cols].head(1)
+                return
+
+    head_rows = {r["_pid"]: r for r in ordered.mapInPandas(heads, head_schema).collect()}
+    pids = sorted(head_rows)
+    following = {p: head_rows[q] for p, q in zip(pids, pids[1:])}
+    out_schema = T.StructType(ordered.schema.fields + [
+        T.StructField(prefix + v, ordered.schema[v].dataType) for v in value_cols])
+
+    def shift(batches):
+        frames = [pdf for pdf in batches if len(pdf)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        gk = pdf[group_cols].astype(object).apply(tuple, axis=1) if group_cols else pd.Series([()] * len(pdf))
+        same_next = gk.shift(-1) == gk
+        for v in value_cols:
+            pdf[prefix + v] = pdf[v].shift(-1).where(same_next, None).astype(object)
+        nxt = following.get(int(pdf["_pid"].iloc[0]))
+        if nxt is not None and tuple(nxt[c] for c in group_cols) == gk.iloc[-1]:
+            for v in value_cols:
+                pdf.loc[len(pdf) - 1, prefix + v] = nxt[v]
+        yield pdf
+
+    return ordered.mapInPandas(shift, out_schema).drop("_pid")

@@ -177,3 +177,47 @@ cte("cust_feats", """
   LEFT JOIN consistency c ON a.CustomerID = c.CustomerID
   LEFT JOIN trends t ON a.CustomerID = t.CustomerID
   LEFT JOIN mix m ON a.CustomerID = m.CustomerID""", ["sales", "consistency", "trends", "mix"])
+
+cte("metrics_h", """
+  SELECT c.*, h.HealthScore FROM clv c LEFT JOIN health h ON c.CustomerID = h.CustomerID""", ["clv", "health"])
+
+# previous-period segments for the migration matrix: the same pipeline on
+# orders up to one year before the last order, as of that date
+cte("prev_ref", """SELECT max(OrderDate) - INTERVAL 365 DAY AS ref FROM og""", ["og"])
+cte("og_prev", """SELECT * FROM og WHERE OrderDate <= (SELECT ref FROM prev_ref)""", ["og", "prev_ref"])
+
+
+def _derive_prev() -> None:
+    import re
+    rfm_body = CTES["rfm"].replace("(SELECT max(OrderDate) FROM og)", "(SELECT ref FROM prev_ref)")
+    rfm_body = re.sub(r"\bFROM og\b", "FROM og_prev", rfm_body)
+    cte("rfm_prev", rfm_body, ["og_prev", "prev_ref"])
+    for name in ("btyd_par", "clv0", "clv", "rfm_med", "segmented"):
+        body = CTES[name]
+        for dep in ("rfm", "btyd_par", "clv0", "clv", "rfm_med"):
+            body = re.sub(rf"\b{dep}\b(?!\.)", f"{dep}_prev", body)
+        cte(f"{name}_prev", body, [f"{d}_prev" for d in DEPS[name]])
+
+
+_derive_prev()
+
+cte("order_resp", """
+  SELECT o.CustomerID, o.SalesOrderID, o.OrderDate, o.AvgDiscount > 0.05 AS Promoted,
+         CAST(coalesce(datesub('day', o.OrderDate, d.NextDate) <= 90, false) AS INTEGER) AS Responded
+  FROM (SELECT CustomerID, SalesOrderID, OrderDate, avg(UnitPriceDiscount) AS AvgDiscount
+        FROM sales GROUP BY CustomerID, SalesOrderID, OrderDate) o
+  JOIN (SELECT CustomerID, OrderDate, lead(OrderDate) OVER (PARTITION BY CustomerID ORDER BY OrderDate) AS NextDate
+        FROM (SELECT DISTINCT CustomerID, OrderDate FROM sales)) d
+    ON o.CustomerID = d.CustomerID AND o.OrderDate = d.OrderDate""", ["sales"])
+
+cte("cust_month", """
+  SELECT CustomerID, year(OrderDate) * 12 + month(OrderDate) AS MonthIdx,
+         CAST(sum(CAST(TotalDue AS DECIMAL(18,4))) AS DOUBLE) AS Revenue,
+         min(CAST(date_trunc('month', OrderDate) AS DATE)) AS Month
+  FROM sales GROUP BY CustomerID, year(OrderDate) * 12 + month(OrderDate)""", ["sales"])
+
+cte("cohort_cells", """
+  SELECT f.CohortIdx, m.MonthIdx - f.CohortIdx AS Period, sum(m.Revenue) AS Value, count(*) AS Customers
+  FROM cust_month m JOIN (SELECT CustomerID, min(MonthIdx) AS CohortIdx FROM cust_month GROUP BY CustomerID) f
+    ON m.CustomerID = f.CustomerID
+  GROUP BY f.CohortIdx, m.MonthIdx - f.CohortIdx""", ["cust_month"])

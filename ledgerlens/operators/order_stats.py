@@ -284,3 +284,17 @@ def next_in_order(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
         yield pdf
 
     return ordered.mapInPandas(shift, out_schema).drop("_pid")
+
+
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:
+    """Exact quantiles of several columns in one set of passes: the columns
+    are stacked into (name, value) rows and narrowed as groups."""
+    cols = list(cols)
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("_s")) \
+        .select("_s._col", "_s._v")
+    res = exact_quantiles(stacked, "_v", probs, ["_col"])
+    out: dict[str, dict[float, float]] = {c: {} for c in cols}
+    for r in res:
+        out[r["_col"]][r["p"]] = r["value"]
+    return out

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import (
     clamp, first_match, inf_div, money_sum, right_closed_bins, safe_div, whole_days)
-from ledgerlens.operators.order_stats import collect_scalars, exact_quantiles
+from ledgerlens.operators.order_stats import collect_scalars, exact_quantiles_multi
 
 # Fixed values (must equal the reference for equal results) -------------
 HEALTH_EDGES = [0, 30, 50, 70, 100]
@@ -166,11 +166,8 @@ def segment_rule(freq: Column, mon: Column, rec: Column, prob_alive: Column,
 
 
 def rfm_medians(df: DataFrame) -> dict[str, float]:
-    out = {}
-    for c in ("Frequency", "Monetary", "Recency"):
-        q = exact_quantiles(df, c, [0.5])
-        out[c] = q[0]["value"]
-    return out
+    q = exact_quantiles_multi(df, ["Frequency", "Monetary", "Recency"], [0.5])
+    return {c: v[0.5] for c, v in q.items()}
 
 
 def segment_customers(df: DataFrame, medians: dict[str, float] | None = None) -> DataFrame:
@@ -202,10 +199,9 @@ def quartile_labels(df: DataFrame) -> DataFrame:
     """
     cols = {"Recency": RECENCY_QUARTILE_LABELS, "Frequency": VALUE_QUARTILE_LABELS,
             "Monetary": VALUE_QUARTILE_LABELS}
-    edges = {}
-    for c in cols:
-        qs = exact_quantiles(df, c, [0.0, 0.25, 0.5, 0.75, 1.0])
-        edges[c] = [q["value"] for q in qs]
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    q = exact_quantiles_multi(df, list(cols), probs)
+    edges = {c: [q[c][p] for p in probs] for c in cols}
     fallback = any(len(set(e)) < len(e) for e in edges.values())
     out = df
     if not fallback:

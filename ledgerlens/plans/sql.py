@@ -195,7 +195,7 @@ def _derive_prev() -> None:
     for name in ("btyd_par", "clv0", "clv", "rfm_med", "segmented"):
         body = CTES[name]
         for dep in ("rfm", "btyd_par", "clv0", "clv", "rfm_med"):
-            body = re.sub(rf"\b{dep}\b(?!\.)", f"{dep}_prev", body)
+            body = re.sub(rf"\b{dep}\b", f"{dep}_prev", body)
         cte(f"{name}_prev", body, [f"{d}_prev" for d in DEPS[name]])
 
 

@@ -55,10 +55,12 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, max_len: in
     ``items`` optionally restricts mining to a given item list (MBK-4);
     the basket count stays the full count.
     """
-    n = n_baskets if n_baskets is not None else basket_count(baskets)
     bi = baskets.select("basket_id", "item").distinct()
     if items is not None:
         bi = bi.join(F.broadcast(items.select("item")), "item", "left_semi")
+    # every level reads the distinct basket items: materialise them once
+    bi = bi.persist()
+    n = n_baskets if n_baskets is not None else basket_count(baskets)
     min_count = F.lit(float(min_support))
     sup = lambda c: F.col(c) / F.lit(float(n))
     l1 = bi.groupBy("item").agg(F.count(F.lit(1)).alias("count")).withColumn("support", sup("count")) \
@@ -85,7 +87,9 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, max_len: in
                 .withColumn("support", sup("count")).where(F.col("support") >= min_count)
             out = out.unionByName(l3.select(F.array("i1", "i2", "i3").alias("items"), F.lit(3).alias("length"),
                                             "count", "support"))
-    return out.withColumn("itemset", _key(F.col("items")))
+    # the itemset table is small (bounded by the frequent itemsets) and is
+    # read three times by rule generation
+    return out.withColumn("itemset", _key(F.col("items"))).persist()
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence: float | None = 0.1) -> DataFrame:

@@ -298,3 +298,22 @@ def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[fl
     for r in res:
         out[r["_col"]][r["p"]] = r["value"]
     return out
+
+
+def average_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "_rank") -> DataFrame:
+    """``average_rank`` for several columns from one stacked pass: distinct
+    (column, value) counts, one running sum grouped by column, then one
+    join per column against the (small, persisted) rank table."""
+    cols = list(cols)
+    base = df.persist()
+    stacked = base.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("_s")) \
+        .select("_s._col", "_s._v").where(F.col("_v").isNotNull())
+    counts = stacked.groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sum(counts, ["_v"], "_c", ["_col"], out_col="_cum")
+    ranks = cum.select("_col", "_v", (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias("_rk")).persist()
+    out = base
+    for c in cols:
+        rc = ranks.where(F.col("_col") == F.lit(c)).select(F.col("_v").alias(f"_v_{c}"), F.col("_rk").alias(c + suffix))
+        out = out.join(rc, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+    return out

@@ -184,9 +184,12 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str | None
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     val = F.lit(1).cast("double") if value_col is None else F.col(value_col).cast("double")
+    # Both the local pass and the per-partition totals must see the same
+    # range partitioning: the bounds are sampled per exchange, so the
+    # partitioned rows are materialised once and read twice.
     ordered = (df.withColumn("_val", F.coalesce(val, F.lit(0.0)))
                .repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-               .withColumn("_pid", F.spark_partition_id()))
+               .withColumn("_pid", F.spark_partition_id())).persist()
     schema = T.StructType(ordered.schema.fields + [T.StructField("_local", T.DoubleType())])
 
     def accumulate(batches):

@@ -94,7 +94,8 @@ def _i2f(i: int) -> float:
     return struct.unpack("<d", struct.pack("<q", b))[0]
 
 
-def _count_dominated(points: DataFrame, key: str, n_levels: int) -> dict:
+def _count_dominated(points: DataFrame, key: str, n_levels: int, strict: bool = False,
+                     weight_col: str | None = None) -> dict:
     """For each (key, tid): number of pairs (i < j) with z_i >= z_j.
 
     ``points``: key, tid, x (0..n-1 position), z.
@@ -108,19 +109,20 @@ def _count_dominated(points: DataFrame, key: str, n_levels: int) -> dict:
     """
     spark = points.sparkSession
     levels = F.explode(F.sequence(F.lit(0), F.lit(n_levels - 1))).alias("lvl")
-    exploded = points.select(key, "tid", "x", "z", levels).where(
-        (F.col("x") >> F.col("lvl")) > 0)  # rows with x >> l == 0 are always left halves of block 0
-    exploded = exploded.unionByName(points.select(key, "tid", "x", "z", levels).where(
-        (F.col("x") >> F.col("lvl")) == 0))
+    wcol = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    exploded = points.select(key, "tid", "x", "z", wcol.alias("w"), levels)
+    pow_l = F.pow(F.lit(2), F.col("lvl")).cast("long")
     exploded = exploded.select(
         key, "tid", "lvl",
-        F.shiftright("x", F.col("lvl") + 1).alias("blk"),
-        F.pmod(F.shiftright("x", "lvl"), F.lit(2)).cast("int").alias("half"),
-        F.col("z"))
+        F.floor(F.col("x") / (pow_l * 2)).cast("long").alias("blk"),
+        F.pmod(F.floor(F.col("x") / pow_l), F.lit(2)).cast("int").alias("half"),
+        F.col("z"), "w")
     keys = [key, "tid", "lvl", "blk"]
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (exploded.repartitionByRange(n_parts, *[F.col(c) for c in keys], F.col("z").desc(), F.col("half"))
-               .sortWithinPartitions(*keys, F.col("z").desc(), F.col("half"))
+    # at equal z a left row precedes a right row (>=) or follows it (strict >)
+    half_order = F.col("half").desc() if strict else F.col("half").asc()
+    ordered = (exploded.repartitionByRange(n_parts, *[F.col(c) for c in keys], F.col("z").desc(), half_order)
+               .sortWithinPartitions(*keys, F.col("z").desc(), half_order)
                .withColumn("_pid", F.spark_partition_id()))
     key_type = points.schema[key].dataType
     schema = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField(key, key_type),
@@ -135,14 +137,15 @@ def _count_dominated(points: DataFrame, key: str, n_levels: int) -> dict:
             if len(pdf) == 0:
                 continue
             g = pdf[[key, "tid", "lvl", "blk"]].astype(object).apply(tuple, axis=1)
-            left = (pdf["half"] == 0).astype("int64")
+            is_left = (pdf["half"] == 0).astype("int64")
+            left = is_left * pdf["w"].astype("int64")
             # left rows before each row within the same block, across batches
             seg = (g != g.shift(1)).cumsum()
             before = left.groupby(seg).cumsum() - left
             first = g.iloc[0]
             if first in carry:
                 before[seg == seg.iloc[0]] += carry[first]["left"]
-            right = 1 - left
+            right = 1 - is_left
             part = pd.DataFrame({"g": g, "left": left, "right": right, "local": before * right})
             agg = part.groupby("g", sort=False).agg(left=("left", "sum"), right=("right", "sum"),
                                                     local=("local", "sum"))

@@ -36,5 +36,5 @@ def query(key: str, sql: str | None = None, headline: bool = False):
 def load_all() -> dict[str, QuerySpec]:
     # importing the modules registers their queries
     from ledgerlens.plans import (  # noqa: F401
-        q_value, q_features, q_filters, q_basket, q_churn, q_stats, q_metrics, q_reports, q_segments)
+        q_value, q_features, q_filters, q_basket, q_churn, q_stats, q_metrics, q_reports, q_segments, q_charts)
     return REGISTRY

@@ -58,7 +58,7 @@ def month_start(ts: str | Column) -> Column:
 def month_index(ts: str | Column) -> Column:
     """Months since year 0: differences give pandas period differences."""
     d = col(ts)
-    return F.year(d) * 12 + F.month(d)
+    return (F.year(d) * 12 + F.month(d)).cast("bigint")
 
 
 def is_weekend(ts: str | Column) -> Column:

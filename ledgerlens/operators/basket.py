@@ -164,7 +164,7 @@ def recommendations(rules: DataFrame, basket_items: DataFrame, top_n: int = 5) -
         F.desc("lift"), F.desc("confidence"), F.asc("input_item"), F.asc("antecedent_key"))
     best = cand.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") == 1).drop("_r")
     w2 = Window.partitionBy("basket_id").orderBy(F.desc("lift"), F.asc("recommended_item"))
-    return best.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= top_n) \
+    return best.withColumn("rank", F.row_number().over(w2).cast("bigint")).where(F.col("rank") <= top_n) \
         .drop("antecedent_key")
 
 

@@ -165,7 +165,7 @@ def concentration_curve(metrics: DataFrame, top_n: int = 100) -> DataFrame:
     """DSH-9 / TOP-4 / WIN-4: top-N by Monetary, running share of the top-N sum."""
     top = metrics.select("CustomerID", "Monetary").orderBy(F.desc("Monetary"), F.asc("CustomerID")).limit(top_n)
     w = Window.orderBy(F.desc("Monetary"), F.asc("CustomerID"))
-    ranked = top.withColumn("Rank", F.row_number().over(w)) \
+    ranked = top.withColumn("Rank", F.row_number().over(w).cast("bigint")) \
         .withColumn("CumulativeRevenue", F.sum("Monetary").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     total = F.sum("Monetary").over(Window.partitionBy())
     return ranked.withColumn("CumulativePercent", F.col("CumulativeRevenue") / total * F.lit(100.0))

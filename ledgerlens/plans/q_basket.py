@@ -166,10 +166,10 @@ def mbk7_cross_sell(spark, sf_dir):
 sz AS (SELECT basket_id, sum(lines) AS size FROM bk GROUP BY basket_id),
 fq AS (SELECT item, sum(lines) AS freq FROM bk GROUP BY item)
 SELECT round((SELECT avg(size) FROM sz), 10) AS avg_basket_size,
-       (SELECT median(size) FROM sz) AS median_basket_size, (SELECT max(size) FROM sz) AS max_basket_size,
+       (SELECT median(size) FROM sz) AS median_basket_size, (SELECT CAST(max(size) AS BIGINT) FROM sz) AS max_basket_size,
        (SELECT count(*) FROM fq) AS total_unique_items,
        (SELECT item FROM fq ORDER BY freq DESC, item LIMIT 1) AS most_popular_item,
-       (SELECT max(freq) FROM fq) AS most_popular_count, round((SELECT avg(freq) FROM fq), 10) AS avg_item_frequency""")
+       (SELECT CAST(max(freq) AS BIGINT) FROM fq) AS most_popular_count, round((SELECT avg(freq) FROM fq), 10) AS avg_item_frequency""")
 def mbk8_basket_metrics(spark, sf_dir):
     out = mb.basket_metrics(baskets(spark, sf_dir, "ProductName"))
     return finish(out, {"avg_basket_size": 10, "median_basket_size": None, "max_basket_size": None,
@@ -179,7 +179,7 @@ def mbk8_basket_metrics(spark, sf_dir):
 
 @query("mbk9_co_occurrence", _bk(BRAND) + """
 SELECT a.item AS item_a, b.item AS item_b,
-       sum(CASE WHEN a.item = b.item THEN a.lines * (a.lines - 1) ELSE a.lines * b.lines END) AS co_count
+       CAST(sum(CASE WHEN a.item = b.item THEN a.lines * (a.lines - 1) ELSE a.lines * b.lines END) AS BIGINT) AS co_count
 FROM bk a JOIN bk b ON a.basket_id = b.basket_id GROUP BY a.item, b.item HAVING co_count > 0""")
 def mbk9_co_occurrence(spark, sf_dir):
     return mb.co_occurrence(baskets(spark, sf_dir))
@@ -211,6 +211,6 @@ def mbk11_cross_sell_table(spark, sf_dir):
 
 
 @query("top7_top_items", _bk("ProductName") + """
-SELECT item, sum(lines) AS occurrences FROM bk GROUP BY item ORDER BY occurrences DESC, item LIMIT 100""")
+SELECT item, CAST(sum(lines) AS BIGINT) AS occurrences FROM bk GROUP BY item ORDER BY occurrences DESC, item LIMIT 100""")
 def top7_top_items(spark, sf_dir):
     return mb.top_items(baskets(spark, sf_dir, "ProductName"), 100)

@@ -28,7 +28,8 @@ def survival(spark, sf_dir):
 
 
 @query("chn4_kaplan_meier", with_ctes("cust_feats") + """
-SELECT time, at_risk, events, censored,
+SELECT time, CAST(at_risk AS BIGINT) AS at_risk, CAST(events AS BIGINT) AS events,
+       CAST(censored AS BIGINT) AS censored,
        round(CASE WHEN zero > 0 THEN 0.0 ELSE exp(lg) END, 12) AS survival FROM (
   SELECT *, sum(CASE WHEN events < at_risk THEN ln(1.0 - events / at_risk) ELSE 0.0 END)
               OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lg,

@@ -29,10 +29,10 @@ def metrics_with_health(spark, sf_dir):
 
 
 @query("dsh1_kpi_row", with_ctes("rfm", "metrics_h", "segmented") + """
-SELECT r.n AS TotalCustomers, r.active AS ActiveCustomers,
+SELECT r.n AS TotalCustomers, CAST(r.active AS BIGINT) AS ActiveCustomers,
        round(CASE WHEN r.n > 0 THEN r.active / r.n * 100.0::DOUBLE ELSE 0.0 END, 8) AS ActivePct,
        round(coalesce(m.avg_clv, 0.0), 4) AS AvgCLV, round(coalesce(m.avg_clv, 0.0) - 3000.0, 4) AS AvgCLVDelta,
-       s.at_risk AS AtRiskCustomers,
+       CAST(s.at_risk AS BIGINT) AS AtRiskCustomers,
        round(CASE WHEN r.n > 0 THEN s.at_risk / r.n * 100.0::DOUBLE ELSE 0.0 END, 8) AS AtRiskPct,
        round(coalesce(m.avg_h, 0.0), 6) AS AvgHealth, round(coalesce(m.avg_h, 0.0) - 50.0, 6) AS AvgHealthDelta,
        round(CASE WHEN r.n > 0 THEN r.churned / r.n * 100.0::DOUBLE ELSE 0.0 END, 8) AS ChurnRate,
@@ -313,3 +313,19 @@ ORDER BY ('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 8))::BIGINT, Custo
 def top9_rfm_sample(spark, sf_dir):
     out = rep.hash_sample(rfm_table(spark, sf_dir), "CustomerID", 500)
     return finish(out, {"CustomerID": None, "Recency": None, "Frequency": None, "Monetary": 4})
+
+
+@query("src1_parametrized_sql", with_ctes("sales") + """
+SELECT CustomerID, count(DISTINCT SalesOrderID) AS Orders,
+       round(CAST(sum(CAST(LineTotal AS DECIMAL(18,4))) AS DOUBLE), 4) AS Revenue
+FROM sales WHERE OrderDate >= TIMESTAMP '1999-01-01' AND CategoryName = 'ECONOMY' GROUP BY CustomerID""")
+def src1_parametrized_sql(spark, sf_dir):
+    from ledgerlens.sources.extracts import run_sql
+    view = f"sales_lines_{abs(hash(sf_dir)) % 10**8}"
+    catalog(spark, sf_dir).sales_lines().createOrReplaceTempView(view)
+    out = run_sql(spark, f"""
+        SELECT CustomerID, count(DISTINCT SalesOrderID) AS Orders,
+               CAST(sum(CAST(LineTotal AS DECIMAL(18,4))) AS DOUBLE) AS Revenue
+        FROM {view} WHERE OrderDate >= :since AND CategoryName = :category GROUP BY CustomerID""",
+                  {"since": dt.datetime(1999, 1, 1), "category": "ECONOMY"})
+    return finish(out, {"CustomerID": None, "Orders": None, "Revenue": 4})

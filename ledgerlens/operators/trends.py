@@ -45,7 +45,10 @@ def theil_sen_trends(lines: DataFrame, targets: dict[str, str], order_cols: list
                      key: str = "CustomerID", local_max: int | None = None) -> DataFrame:
     """One row per key with a Theil-Sen slope column per ``targets`` entry.
 
-    ``targets`` maps output column -> y column of ``lines``.
+    ``targets`` maps output column -> y column of ``lines``.  Light keys
+    (at most ``local_max`` lines) are gathered as one ordered array per key
+    (bounded by ``local_max``) and solved by a vectorised Pandas UDF, many
+    keys per Arrow batch; heavy keys take the distributed path.
     """
     local_max = LOCAL_MAX if local_max is None else local_max
     ycols = list(dict.fromkeys(targets.values()))
@@ -55,25 +58,28 @@ def theil_sen_trends(lines: DataFrame, targets: dict[str, str], order_cols: list
     sized = base.join(counts, on=key, how="inner")
     light = sized.where(F.col("_n") <= local_max).drop("_n")
     out_schema = T.StructType([lines.schema[key]] + [T.StructField(o, T.DoubleType()) for o in targets])
-    order = list(order_cols)
-    outs = list(targets.items())
-
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort")
-        row = {key: pdf[key].iloc[0]}
-        for out, ycol in outs:
-            row[out] = _median_pair_slope(pdf[ycol].to_numpy(dtype=np.float64))
-        return pd.DataFrame([row])
-
-    light_out = light.groupBy(key).applyInPandas(per_key, out_schema)
+    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order_cols],
+                                                   *[F.col(y) for y in set(targets.values())])))
+    arrays = light.groupBy(key).agg(ordered.alias("_rows"))
+    slope = F.pandas_udf(_median_slopes, T.DoubleType())
+    light_out = arrays.select(key, *[slope(F.transform("_rows", _field(y))).alias(out)
+                                     for out, y in targets.items()])
     heavy_keys = counts.where(F.col("_n") > local_max)
     heavy = sized.where(F.col("_n") > local_max).drop("_n")
-    if local_max >= 0 and _has_rows(heavy_keys):
-        heavy_out = _heavy_trends(heavy, targets, order, key, out_schema)
+    if _has_rows(heavy_keys):
+        heavy_out = _heavy_trends(heavy, targets, list(order_cols), key, out_schema)
         return light_out.unionByName(heavy_out)
     return light_out
 
 
+def _field(name: str):
+    return lambda r: r[name]
+
+
+def _median_slopes(ys: pd.Series) -> pd.Series:
+    return pd.Series([_median_pair_slope(np.asarray(y, dtype=np.float64)) for y in ys], dtype="float64")
+
+
 def _has_rows(df: DataFrame) -> bool:
     return len(df.limit(1).collect()) > 0
 

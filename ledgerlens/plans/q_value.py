@@ -11,17 +11,22 @@ from ledgerlens.plans.registry import query
 from ledgerlens.plans.sql import health_category_sql, with_ctes
 
 
+# The per-customer tables are read by several bounded scalar passes
+# (moments, CLV spread, min/max, exact medians) before the final projection;
+# they are persisted (memory and disk) so each pass scans the customer table,
+# not the line fact and its joins again.
+
 def rfm_table(spark, sf_dir):
-    return val.calculate_rfm(catalog(spark, sf_dir).order_grain())
+    return val.calculate_rfm(catalog(spark, sf_dir).order_grain()).persist()
 
 
 def clv_table(spark, sf_dir):
     clv, _ = val.fit_btyd(rfm_table(spark, sf_dir))
-    return clv
+    return clv.persist()
 
 
 def segmented_table(spark, sf_dir):
-    return val.segment_customers(clv_table(spark, sf_dir))
+    return val.segment_customers(clv_table(spark, sf_dir)).persist()
 
 
 @query("set1_order_grain", with_ctes("og") + """

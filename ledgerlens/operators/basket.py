@@ -243,3 +243,19 @@ def cross_sell_table(rules: DataFrame, n: int = 10) -> DataFrame:
         F.col("antecedent_key").alias("IfCustomerBuys"), F.col("consequent_key").alias("Recommend"),
         F.format_string("%.1fx", F.col("lift")).alias("Lift"),
         F.format_string("%.1f%%", F.col("confidence") * 100.0).alias("Confidence"))
+
+
+def filter_rules(rules: DataFrame, min_lift: float | None = None, min_confidence: float | None = None,
+                 antecedent_item: str | None = None, item_substring: str | None = None) -> DataFrame:
+    """FLT-7: lift / confidence thresholds, antecedent membership and
+    substring match on any item of a rule."""
+    out = rules
+    if min_lift is not None:
+        out = out.where(F.col("lift") >= F.lit(float(min_lift)))
+    if min_confidence is not None:
+        out = out.where(F.col("confidence") >= F.lit(float(min_confidence)))
+    if antecedent_item is not None:
+        out = out.where(F.array_contains("antecedents", antecedent_item))
+    if item_substring is not None:
+        out = out.where(F.exists(F.array_union("antecedents", "consequents"), lambda x: x.contains(item_substring)))
+    return out

@@ -190,3 +190,15 @@ def parallel_ranges(df: DataFrame, dims: list[str]) -> DataFrame:
     s = collect_scalars(df.agg(*[e for d in dims for e in (F.min(d).alias(f"lo_{d}"), F.max(d).alias(f"hi_{d}"))]))
     return df.sparkSession.createDataFrame([(d, float(s[f"lo_{d}"]), float(s[f"hi_{d}"])) for d in dims],
                                            "dimension string, min double, max double")
+
+
+def geo_density(df: DataFrame, lat: str, lon: str, value: str | None = None, cell_deg: float = 0.5):
+    """CHT-7: weight per lat/lon grid cell (weights default 1) and the map
+    centre (mean latitude / longitude).  Returns (cells, (lat0, lon0))."""
+    w = F.col(value).cast("double") if value else F.lit(1.0)
+    cells = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(
+        F.floor(F.col(lat) / cell_deg).alias("lat_cell"), F.floor(F.col(lon) / cell_deg).alias("lon_cell")).agg(
+        F.sum(w).alias("weight"), F.count(F.lit(1)).alias("points")).select(
+        (F.col("lat_cell") * cell_deg).alias("lat"), (F.col("lon_cell") * cell_deg).alias("lon"), "weight", "points")
+    c = collect_scalars(df.agg(F.avg(lat).alias("a"), F.avg(lon).alias("b")))
+    return cells, (c["a"], c["b"])

@@ -94,12 +94,12 @@ class Catalog:
 
     # -- dimensions ----------------------------------------------------
     def territories(self) -> DataFrame:
-        """SRC-5: territory with YTD / last-year sales and cost.
+        """SRC-5: territory with YTD / last-year sales.
 
         Sales YTD = order totals in the calendar year of the latest order up
         to that order's day-of-year; last year = the same window one year
-        earlier.  Cost columns use the line discount amount as the cost
-        proxy (extendedprice * discount).
+        earlier.  The test tables carry no cost figures, so the cost columns
+        of the reference extract are not produced.
         """
         n = self.raw("nation")
         r = self.raw("region")

@@ -71,8 +71,11 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, max_len: in
         a, b = fb.alias("a"), fb.alias("b")
         pairs = a.join(b, (F.col("a.basket_id") == F.col("b.basket_id")) & (F.col("a.item") < F.col("b.item"))) \
             .select(F.col("a.basket_id").alias("basket_id"), F.col("a.item").alias("i1"), F.col("b.item").alias("i2"))
+        # the pair candidates feed the L2 counts and the L3 step: materialise once
+        pairs = pairs.persist()
         l2 = pairs.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("count")).withColumn("support", sup("count")) \
             .where(F.col("support") >= min_count)
+        l2 = l2.coalesce(max(1, baskets.sparkSession.sparkContext.defaultParallelism)).persist()
         out = out.unionByName(l2.select(F.array("i1", "i2").alias("items"), F.lit(2).alias("length"),
                                         "count", "support"))
         if max_len >= 3:
@@ -89,7 +92,10 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, max_len: in
                                             "count", "support"))
     # the itemset table is small (bounded by the frequent itemsets) and is
     # read three times by rule generation
-    return out.withColumn("itemset", _key(F.col("items"))).persist()
+    # (a union of three aggregates: coalesced so later joins do not re-scan
+    # three times the shuffle partition count of near-empty partitions)
+    parts = max(1, out.sparkSession.sparkContext.defaultParallelism)
+    return out.withColumn("itemset", _key(F.col("items"))).coalesce(parts).persist()
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence: float | None = 0.1) -> DataFrame:

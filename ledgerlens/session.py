@@ -39,8 +39,10 @@ def get_spark(app: str = "ledgerlens", master: str | None = None,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on, applied to a caller's session."""
+    """Session settings the operators rely on, applied to a caller's session:
+    UTC day arithmetic and a checkpoint folder (the cluster's own when set)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
     return spark
 
 

@@ -272,19 +272,31 @@ def next_in_order(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
         T.StructField(prefix + v, ordered.schema[v].dataType) for v in value_cols])
 
     def shift(batches):
-        frames = [pdf for pdf in batches if len(pdf)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        gk = pdf[group_cols].astype(object).apply(tuple, axis=1) if group_cols else pd.Series([()] * len(pdf))
-        same_next = gk.shift(-1) == gk
-        for v in value_cols:
-            pdf[prefix + v] = pdf[v].shift(-1).where(same_next, None).astype(object)
-        nxt = following.get(int(pdf["_pid"].iloc[0]))
-        if nxt is not None and tuple(nxt[c] for c in group_cols) == gk.iloc[-1]:
+        # stream batch by batch; the last row of a batch is held back until
+        # the first row of the next batch (or the next partition) is known
+        held = None
+        pid = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            pid = int(pdf["_pid"].iloc[0])
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            gk = pdf[group_cols].astype(object).apply(tuple, axis=1) if group_cols else pd.Series([()] * len(pdf))
+            same_next = gk.shift(-1) == gk
+            out = pdf.copy()
+            for v in value_cols:
+                out[prefix + v] = pdf[v].shift(-1).where(same_next, None).astype(object)
+            held = pdf.iloc[[-1]].reset_index(drop=True)
+            yield out.iloc[:-1]
+        if held is not None:
+            last = held.copy()
+            nxt = following.get(pid)
+            gk_last = tuple(last[c].iloc[0] for c in group_cols)
+            same = nxt is not None and tuple(nxt[c] for c in group_cols) == gk_last
             for v in value_cols:
-                pdf.loc[len(pdf) - 1, prefix + v] = nxt[v]
-        yield pdf
+                last[prefix + v] = pd.Series([nxt[v] if same else None], dtype=object)
+            yield last
 
     return ordered.mapInPandas(shift, out_schema).drop("_pid")
 

@@ -137,38 +137,34 @@ def _count_dominated(points: DataFrame, key: str, n_levels: int, strict: bool =
                            T.StructField("n_right", T.LongType()), T.StructField("local", T.LongType())])
 
     def scan(batches):
-        frames = []
-        carry = {}
+        # rows arrive sorted by (group, z, half); a group never reappears after
+        # it ends, so only the running left count of the current group is
+        # carried between batches and each batch emits its own partial sums
+        carry_key, carry_left = None, 0
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             g = pdf[[key, "tid", "lvl", "blk"]].astype(object).apply(tuple, axis=1)
             is_left = (pdf["half"] == 0).astype("int64")
             left = is_left * pdf["w"].astype("int64")
-            # left rows before each row within the same block, across batches
             seg = (g != g.shift(1)).cumsum()
             before = left.groupby(seg).cumsum() - left
-            first = g.iloc[0]
-            if first in carry:
-                before[seg == seg.iloc[0]] += carry[first]["left"]
+            if carry_key is not None and g.iloc[0] == carry_key:
+                before[seg == seg.iloc[0]] += carry_left
             right = 1 - is_left
             part = pd.DataFrame({"g": g, "left": left, "right": right, "local": before * right})
             agg = part.groupby("g", sort=False).agg(left=("left", "sum"), right=("right", "sum"),
                                                     local=("local", "sum"))
-            for gk, r in agg.iterrows():
-                acc = carry.setdefault(gk, {"left": 0, "right": 0, "local": 0})
-                acc["left"] += int(r["left"])
-                acc["right"] += int(r["right"])
-                acc["local"] += int(r["local"])
+            last = g.iloc[-1]
+            carry_left = (carry_left if carry_key == last and (g == last).all() else 0) + int(left[g == last].sum())
+            carry_key = last
             pid = int(pdf["_pid"].iloc[0])
-            frames.append(pid)
-        if carry:
-            pid = frames[0] if frames else 0
-            rows = [(pid, k[0], int(k[1]), int(k[2]), int(k[3]), v["left"], v["right"], v["local"])
-                    for k, v in carry.items()]
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    summary = ordered.mapInPandas(scan, schema)
+            yield pd.DataFrame([(pid, k[0], int(k[1]), int(k[2]), int(k[3]), int(r["left"]), int(r["right"]),
+                                 int(r["local"])) for k, r in agg.iterrows()],
+                               columns=[f.name for f in schema.fields])
+
+    summary = ordered.mapInPandas(scan, schema).groupBy("_pid", key, "tid", "lvl", "blk").agg(
+        F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"), F.sum("local").alias("local"))
     w = Window.partitionBy(key, "tid", "lvl", "blk").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     combined = summary.withColumn("_off", F.coalesce(F.sum("n_left").over(w), F.lit(0)))
     totals = combined.groupBy(key, "tid").agg(

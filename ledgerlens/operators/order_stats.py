@@ -32,7 +32,8 @@ def collect_scalars(df: DataFrame) -> Row:
     return df.collect()[0]
 
 
-def _order_statistics(values: DataFrame, targets: list[dict], group_cols: list[str]) -> dict:
+def _order_statistics(values: DataFrame, targets: list[dict], group_cols: list[str],
+                      bounds: dict | None = None) -> dict:
     """Exact r-th smallest value (0-based) for each target.
 
     ``values``: columns group_cols + ['v'] (non-null doubles).
@@ -45,9 +46,12 @@ def _order_statistics(values: DataFrame, targets: list[dict], group_cols: list[s
         group_cols = ["_g"]
         targets = [{**t, "_g": 0} for t in targets]
     gkey = [F.col(c) for c in group_cols]
-    bounds = {tuple(r[c] for c in group_cols): (r["lo"], r["hi"], r["n"]) for r in
-              values.groupBy(*gkey).agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                                        F.count(F.lit(1)).alias("n")).collect()}
+    if bounds is None:
+        bounds = {tuple(r[c] for c in group_cols): (r["lo"], r["hi"], r["n"]) for r in
+                  values.groupBy(*gkey).agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                            F.count(F.lit(1)).alias("n")).collect()}
+    elif group_cols == ["_g"] and () in bounds:
+        bounds = {(0,): bounds[()]}
     pending = []
     for t in targets:
         key = tuple(t[c] for c in group_cols)
@@ -116,7 +120,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     values = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v")).persist()
     try:
-        counts = values.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = values.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                                 F.max("v").alias("hi")).collect()
+        bounds = {tuple(g[c] for c in group_cols): (g["lo"], g["hi"], g["n"]) for g in counts}
         targets, plan = [], []
         tid = 0
         for g in counts:
@@ -130,7 +136,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                 targets.append({**key, "tid": tid + 1, "r": hi_r})
                 plan.append((key, p, tid, tid + 1, frac))
                 tid += 2
-        got = _order_statistics(values, targets, group_cols) if targets else {}
+        got = _order_statistics(values, targets, group_cols, bounds) if targets else {}
         out = []
         for key, p, a, b, frac in plan:
             va, vb = got[a], got[b]

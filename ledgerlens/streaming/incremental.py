@@ -5,7 +5,7 @@ operators cover it.  For sources that keep appending order lines (files
 landing in a folder), the same per-customer aggregate runs incrementally:
 ``readStream`` over the order-grain files, a streaming ``groupBy`` whose
 state is the running (last order, distinct orders, monetary, first order)
-per customer, written in ``update`` mode.  Recency and age are derived at
+per customer, written in ``complete`` mode to the in-memory table.  Recency and age are derived at
 read time against the latest order date, exactly as the batch operator does.
 """
 
@@ -41,8 +41,10 @@ def rfm_state_stream(spark: SparkSession, path: str, watermark: str | None = Non
 
 def start_rfm_stream(spark: SparkSession, path: str, checkpoint: str, query_name: str = "rfm_state"):
     """Start the stream into an in-memory table (tests / dashboards) with a
-    checkpoint in the shared folder, so a restarted driver resumes."""
-    return (rfm_state_stream(spark, path).writeStream.outputMode("update").format("memory")
+    checkpoint in the shared folder, so a restarted driver resumes.  The
+    in-memory table is rewritten each trigger (complete mode: one row per
+    customer); a table sink would use update mode with a merge per batch."""
+    return (rfm_state_stream(spark, path).writeStream.outputMode("complete").format("memory")
             .queryName(query_name).option("checkpointLocation", checkpoint).start())
 
 

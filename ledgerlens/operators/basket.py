@@ -36,11 +36,13 @@ def _key(arr: Column) -> Column:
 def prepare_baskets(sales: DataFrame, item_col: str = "ProductName", min_products: int = 2) -> DataFrame:
     """MBK-1 / FLT-6: lines of orders with at least ``min_products`` non-null
     product lines, as (basket_id, item, lines) with duplicates counted."""
-    counts = sales.groupBy("SalesOrderID").agg(F.count("ProductID").alias("_n"))
-    valid = counts.where(F.col("_n") >= min_products).select("SalesOrderID")
-    lines = sales.join(valid, "SalesOrderID", "left_semi").where(F.col(item_col).isNotNull())
-    return lines.groupBy(F.col("SalesOrderID").alias("basket_id"), F.col(item_col).alias("item")) \
-        .agg(F.count(F.lit(1)).alias("lines"))
+    # one pass over the lines: (basket, item) counts, then the basket's
+    # product-line total over that aggregated table (one row per distinct item)
+    per_item = sales.groupBy(F.col("SalesOrderID").alias("basket_id"), F.col(item_col).alias("item")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count("ProductID").alias("_p"))
+    total = F.sum("_p").over(Window.partitionBy("basket_id"))
+    return per_item.withColumn("_n", total).where((F.col("_n") >= min_products) & F.col("item").isNotNull()) \
+        .select("basket_id", "item", "lines")
 
 
 def basket_count(baskets: DataFrame) -> int:

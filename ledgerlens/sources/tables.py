@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import safe_div, whole_days
+from ledgerlens.functions.exprs import safe_div
 from ledgerlens.session import prepare
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -164,6 +164,3 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     agg = df.groupBy(*keys).agg(F.min(packed).alias("_s"))
     return agg.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in others])
 
-
-def as_of_days(ts_col: str, ref) -> F.Column:
-    return whole_days(F.col(ts_col), ref)

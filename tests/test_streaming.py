@@ -13,11 +13,12 @@ def test_streaming_rfm_matches_batch(spark):
     og = Catalog(spark, SMOKE).order_grain()
     src = tempfile.mkdtemp(prefix="ledgerlens-stream-src-", dir="/tmp")
     ckpt = tempfile.mkdtemp(prefix="ledgerlens-stream-ckpt-", dir="/tmp")
-    og.where(F.col("SalesOrderID") % 2 == 0).write.mode("append").parquet(src)
+    cut = og.agg(F.max("OrderDate")).collect()[0][0].replace(month=1, day=1)  # orders arrive by date
+    og.where(F.col("OrderDate") < F.lit(cut)).write.mode("append").parquet(src)
     q = start_rfm_stream(spark, src, ckpt, "rfm_state_test")
     try:
         q.processAllAvailable()
-        og.where(F.col("SalesOrderID") % 2 == 1).write.mode("append").parquet(src)
+        og.where(F.col("OrderDate") >= F.lit(cut)).write.mode("append").parquet(src)
         q.processAllAvailable()
         state = spark.sql("SELECT * FROM rfm_state_test")
         assert state.count() == state.select("CustomerID").distinct().count()

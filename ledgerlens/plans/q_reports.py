@@ -22,8 +22,7 @@ FILTER_TERRITORY = "NATION_1"
 
 def metrics_with_health(spark, sf_dir):
     cat = catalog(spark, sf_dir)
-    rfm = val.calculate_rfm(cat.order_grain())
-    clv, _ = val.fit_btyd(rfm)
+    rfm, clv = rfm_table(spark, sf_dir), clv_table(spark, sf_dir)   # persisted customer tables
     health = val.health_score(rfm, feat.order_consistency(cat.sales_lines()))
     return clv.join(health.select("CustomerID", "HealthScore", "HealthCategory"), "CustomerID", "left")
 

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import exact_dedup, license_scan, line_dedup
+from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup
 from ledgerlens.llm.common import table
 
+RANK_FILE = "byte_bpe_50k.tiktoken"
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -20,10 +32,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op7_line_dedup, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_decontamination, op5_byte_bpe, op7_line_dedup, op9_license_scan)}
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_decontamination": decontam.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_license_scan": license_scan.sql(),
 }

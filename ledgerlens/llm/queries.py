@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup
+from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, near_dedup
 from ledgerlens.llm.common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), 4)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,10 +36,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_decontamination, op5_byte_bpe, op7_line_dedup, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_near_dedup, op4_decontamination, op5_byte_bpe, op7_line_dedup, op9_license_scan)}
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op3_near_dedup": near_dedup.sql(4),
     "op4_decontamination": decontam.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_license_scan": license_scan.sql(),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, near_dedup
+from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, near_dedup, toxicity
 from ledgerlens.llm.common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -36,7 +36,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_near_dedup, op4_decontamination, op5_byte_bpe, op7_line_dedup, op9_license_scan)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_near_dedup, op4_decontamination, op5_byte_bpe, op7_line_dedup, op9_license_scan, op10_toxicity)}
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, near_dedup, toxicity
+from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, lm_score, near_dedup, pii, toxicity
 from ledgerlens.llm.common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), 4)
 
@@ -32,6 +36,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -40,10 +48,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_near_dedup, op4_decontamination, op5_byte_bpe, op7_line_dedup, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op4_decontamination, op5_byte_bpe, op7_line_dedup, op8_pii, op9_license_scan, op10_toxicity)}
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op2_lm_score": lm_score.SQL,
     "op3_near_dedup": near_dedup.sql(4),
     "op4_decontamination": decontam.SQL,
     "op7_line_dedup": line_dedup.SQL,

@@ -6,14 +6,16 @@ Four transducers are composed, each reading the output of the one before it:
 * scope: an insult or threat shortly after a negation is ``negated``, one after
   a reporting word is ``reported``, else it is ``plain``;
 * aim: an insult or threat near a target of its clause is ``aimed``;
-* weights: a clause is worth the sum of its matches' weights, a text is scored
-  by a logistic function of its matches of each kind.
+* weights: a match is worth the weight of its word times the factor of its
+  kind; a text is scored by a logistic function of the sum over its clauses,
+  the number of matches and their density.
 
-The insult vocabulary is a fixed list plus word stems learned from labels: the
-stems that hardly ever occur in clean texts, chosen one after another by how
-many toxic texts they explain that no earlier stem does.  So a word that only
-happens to stand in copies of one toxic text is not taken.  The weights of the
-kinds are fitted on the same rows, shrunk towards the fixed ones.
+The insult vocabulary is a fixed list plus word stems learned from labels, each
+with its log-odds as weight: stems are chosen one after another by how many
+toxic texts they explain that no earlier stem does, less a share of the clean
+texts they would touch.  So a word that only happens to stand in copies of one
+toxic text is not taken.  The logistic weights are fitted on the same rows,
+shrunk towards fixed ones.
 
 Labels are learned from a sample of at most ``SAMPLE`` labelled rows (those
 with the smallest hash of doc_id), never from rows that are held out.  Stems
@@ -29,6 +31,7 @@ row gives a row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -38,13 +41,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import pick
+from ledgerlens.llm.common import Scratch, pick
 
 SAMPLE = 20_000
 CANDIDATES = 5_000
 STEMS = (4, 5, 6, 7, 8)
+ENDING = 6
 MIN_TEXTS = 3
-MIN_SHARE = 0.97
+MIN_ODDS = 8.0
+CLEAN_COST = 0.25
 SCOPE = 4
 
 # Seed lexicon.
@@ -58,9 +63,11 @@ TARGETS = """you your yours yourself he him his she her they them their ye thou
 NEGATIONS = """not no never none neither nor isn't aren't don't nicht kein keine nie ne pas jamais nunca jamás""".split()
 REPORTS = """said says say called calls wrote writes quoted quote claimed reported alleged sagte dit dijo llamó""".split()
 
-KINDS = ("plain", "aimed", "negated", "reported", "threat")
-#: Weights of the base and of log(1 + matches) of each kind before any label is seen.
-PRIOR = np.array([-3.0, 5.0, 6.0, 3.0, 3.5, 2.5])
+#: Kinds of matches and the factor of a match's weight.
+KINDS = {"plain": 1.0, "aimed": 1.25, "negated": 0.6, "reported": 0.75, "threat": 1.0}
+INSULT_WEIGHT, THREAT_WEIGHT = 5.0, 2.5
+#: Weights of the base, of log(1 + sum), log(1 + matches) and log(1 + sum per 1000 words) before any label is seen.
+PRIOR = np.array([-5.5, 2.0, 0.0, 1.0])
 SCORED = "doc_id bigint, score double"
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -77,41 +84,43 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Matcher:
-    """The composed transducers; ``kinds`` counts a text's matches of each kind."""
+    """The composed transducers; ``facts`` is what a text's score is made of."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems, self.memo = stems, {}
-        self.lengths = sorted({len(s) for s in stems})
-        self.fixed = {w: "T" for w in THREATS} | {w: "Y" for w in TARGETS} | {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS}
-        self.insults = set(INSULTS)
+        self.fixed = {w: ("T", THREAT_WEIGHT) for w in THREATS} | {w: ("I", INSULT_WEIGHT) for w in INSULTS}
+        self.fixed |= {w: (s, 0.0) for s, words in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
 
-    def symbol(self, word: str) -> str:
+    def symbol(self, word: str) -> tuple[str, float]:
         known = self.memo.get(word)
         if known is None:
-            if word in self.insults or any(word[:n] in self.stems for n in self.lengths if n <= len(word)) or word + "$" in self.stems:
-                known = "I"
-            else:
-                known = self.fixed.get(word, "")
+            weight = max((self.stems[f] for f in forms(word) if f in self.stems), default=0.0)
+            known = ("I", weight) if weight else self.fixed.get(word, ("", 0.0))
             if len(self.memo) > 500_000:
                 self.memo.clear()
             self.memo[word] = known
         return known
 
-    def kinds(self, text: str) -> list[int]:
-        count = dict.fromkeys(KINDS, 0)
+    def matches(self, text: str):
+        """(kind, weight) of each match, and at last the number of words."""
+        words = 0
         for clause in CLAUSE.split(text.lower()):
             symbols = [self.symbol(w) for w in WORD.findall(clause)]
-            if "I" not in symbols and "T" not in symbols:
-                continue
-            for kind in self.aim(self.scope(symbols)):
-                count[kind] += 1
-        return [count[k] for k in KINDS]
+            words += len(symbols)
+            if any(s in ("I", "T") for s, _ in symbols):
+                yield from self.aim(self.scope(symbols))
+        yield "words", words
+
+    def facts(self, text: str) -> list[float]:
+        *found, (_, words) = self.matches(text)
+        total = sum(KINDS[kind] * weight for kind, weight in found)
+        return [1.0, math.log1p(total), math.log1p(len(found)), math.log1p(1000 * total / (words + 10))]
 
     @staticmethod
     def scope(symbols):
-        """(position, symbol, state) with the state plain, negated or reported."""
+        """(position, symbol, weight, state) with the state plain, negated or reported."""
         negated, reported = 0, False
-        for at, s in enumerate(symbols):
+        for at, (s, weight) in enumerate(symbols):
             if s == "N":
                 negated = SCOPE
                 continue
@@ -119,35 +128,39 @@ class Matcher:
             state = "negated" if negated else "reported" if reported else "plain"
             negated = max(0, negated - 1)
             if s in ("I", "T", "Y"):
-                yield at, s, state
+                yield at, s, weight, state
 
     @staticmethod
     def aim(scoped):
-        """The kind of each insult, and of each threat that has a target in reach."""
+        """The kind and weight of each insult, and of each threat that has a target in reach."""
         scoped = list(scoped)
-        targets = [at for at, s, _ in scoped if s == "Y"]
-        for at, s, state in scoped:
+        targets = [at for at, s, _, _ in scoped if s == "Y"]
+        for at, s, weight, state in scoped:
             if s == "Y":
                 continue
             near = any(abs(at - t) <= SCOPE for t in targets)
-            if s == "T":
-                if near and state == "plain":
-                    yield "threat"
-            else:
-                yield "aimed" if near and state == "plain" else state
+            if s == "I":
+                yield "aimed" if near and state == "plain" else state, weight
+            elif near and state == "plain":
+                yield "threat", weight
+
+
+def scores(facts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(facts @ weights, -30, 30)))
 
 
-def scores(kinds: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    x = np.hstack([np.ones((len(kinds), 1)), np.log1p(kinds)])
-    return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+def forms(word: str):
+    """The stems of a word: itself ($), its beginnings, and beginnings with a short ending (~)."""
+    yield word + "$"
+    for n in STEMS:
+        if n <= len(word):
+            yield word[:n]
+            if len(word) - n <= ENDING:
+                yield word[:n] + "~"
 
 
 def features(text: str) -> set[str]:
-    out = set()
-    for w in set(WORD.findall(text.lower())):
-        out.add(w + "$")
-        out.update(w[:n] for n in STEMS if n <= len(w))
-    return out
+    return {f for w in set(WORD.findall(text.lower())) for f in forms(w)}
 
 
 def counted(batches):
@@ -166,20 +179,22 @@ def counted(batches):
         yield pd.DataFrame({"feature": part, "toxic": [0] * len(part), "clean": [clean[f] for f in part]})
 
 
-def cover(texts: list[set[str]], share: dict[str, float]) -> dict[str, float]:
-    """Stems by how many texts they explain that no stem before them does."""
-    at: dict[str, set[int]] = {}
-    for k, found in enumerate(texts):
+def cover(texts: list[tuple[bool, list[str]]], weight: dict[str, float]) -> dict[str, float]:
+    """Stems by how many toxic texts they explain that no stem before them does, less CLEAN_COST for each clean one."""
+    toxic, clean = {f: set() for f in weight}, {f: set() for f in weight}
+    for k, (label, found) in enumerate(texts):
         for f in found:
-            at.setdefault(f, set()).add(k)
+            (toxic if label else clean)[f].add(k)
     chosen = {}
-    while at:
-        best = max(at, key=lambda f: (len(at[f]), len(f.rstrip("$")), f))
-        gone = at.pop(best)
-        if len(gone) < MIN_TEXTS:
+    while toxic:
+        gain = {f: len(ks) - CLEAN_COST * len(clean[f]) for f, ks in toxic.items()}
+        best = max(gain, key=lambda f: (gain[f], len(f.rstrip("$~")), f))
+        if gain[best] < MIN_TEXTS:
             break
-        chosen[best] = share[best]
-        at = {f: rest for f, ks in at.items() if (rest := ks - gone)}
+        chosen[best] = weight[best]
+        gone, touched = toxic.pop(best), clean.pop(best)
+        toxic = {f: rest for f, ks in toxic.items() if (rest := ks - gone)}
+        clean = {f: clean[f] - touched for f in toxic}
     return chosen
 
 
@@ -190,39 +205,42 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     d = pick(docs, doc_id="bigint", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = d.join(F.broadcast(marks), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).alias("toxic")).dropDuplicates(["doc_id"])
+    rows = Scratch(docs.sparkSession, "labelled").write(rows.select("text", "toxic"))
 
-    counts = rows.select("text", "toxic").mapInPandas(counted, "feature string, toxic bigint, clean bigint")
+    n = rows.agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")).first()
+    counts = rows.mapInPandas(counted, "feature string, toxic bigint, clean bigint")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    good = (F.col("toxic") >= MIN_TEXTS) & (F.col("toxic") >= MIN_SHARE * (F.col("toxic") + F.col("clean")))
-    best = counts.where(good).orderBy(F.desc("toxic"), "feature").limit(CANDIDATES).collect()
-    share = {r.feature: r.toxic / (r.toxic + r.clean) for r in best}
+    odds = (F.col("toxic") + 0.5) / (n.toxic + 1.0) / ((F.col("clean") + 0.5) / (n.clean + 1.0))
+    best = counts.withColumn("odds", odds).where((F.col("toxic") >= MIN_TEXTS) & (F.col("odds") >= MIN_ODDS))
+    best = best.orderBy(F.desc("toxic"), "feature").limit(CANDIDATES).collect()
+    weight = {r.feature: math.log(r.odds) for r in best}
 
     def explained(batches):
         for batch in batches:
-            found = [sorted(features(t) & share.keys()) for t in batch["text"]]
-            yield pd.DataFrame({"found": found})
+            found = [sorted(features(t) & weight.keys()) for t in batch["text"]]
+            yield pd.DataFrame({"toxic": batch["toxic"].tolist(), "found": found})
 
-    toxic_texts = rows.where("toxic").select("text").mapInPandas(explained, "found array<string>").collect()
-    stems = cover([set(r.found) for r in toxic_texts], share)
+    texts = rows.mapInPandas(explained, "toxic boolean, found array<string>").where(F.size("found") > 0).collect()
+    stems = cover([(r.toxic, r.found) for r in texts], weight)
 
     def observed(batches):
         m = Matcher(stems)
         for batch in batches:
-            yield pd.DataFrame({"kinds": [m.kinds(t) for t in batch["text"]], "toxic": batch["toxic"]})
+            yield pd.DataFrame({"facts": [m.facts(t) for t in batch["text"]], "toxic": batch["toxic"]})
 
-    seen = rows.select("text", "toxic").mapInPandas(observed, "kinds array<int>, toxic boolean").collect()
-    kinds = np.array([r.kinds for r in seen], dtype=float).reshape(-1, len(KINDS))
-    return Grammar(stems, fitted(kinds, np.array([r.toxic for r in seen], dtype=float)))
+    seen = rows.mapInPandas(observed, "facts array<double>, toxic boolean").collect()
+    facts = np.array([r.facts for r in seen], dtype=float).reshape(-1, len(PRIOR))
+    return Grammar(stems, fitted(facts, np.array([r.toxic for r in seen], dtype=float)))
 
 
-def fitted(kinds: np.ndarray, labels: np.ndarray, shrink: float = 1.0) -> np.ndarray:
+def fitted(x: np.ndarray, labels: np.ndarray, shrink: float = 0.3) -> np.ndarray:
     """Logistic weights by Newton steps, shrunk towards the fixed ones."""
-    x, w = np.hstack([np.ones((len(kinds), 1)), np.log1p(kinds)]), PRIOR.copy()
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    w = PRIOR.copy()
+    for _ in range(50):
+        p = scores(x, w)
         slope = x.T @ (p - labels) + shrink * (w - PRIOR)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + shrink * np.eye(len(w)), slope)
-        w -= step
+        w -= step * min(1.0, 4.0 / np.abs(step).max()) if step.any() else 0
         if np.abs(step).max() < 1e-9:
             break
     return w
@@ -235,8 +253,8 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     def run(batches):
         m = Matcher(stems)
         for batch in batches:
-            kinds = np.array([m.kinds(t or "") for t in batch["text"]], dtype=float).reshape(-1, len(KINDS))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": scores(kinds, weights)})
+            facts = np.array([m.facts(t or "") for t in batch["text"]], dtype=float).reshape(-1, len(PRIOR))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": scores(facts, weights)})
 
     scored = pick(docs, doc_id="bigint", text="string").mapInPandas(run, SCORED)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -256,7 +274,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         m = Matcher(stems)
         for batch in batches:
-            kinds = np.array([m.kinds(t or "") for t in batch["text"]], dtype=float).reshape(-1, len(KINDS))
-            yield batch[scores(kinds, weights) < 0.5]
+            facts = np.array([m.facts(t or "") for t in batch["text"]], dtype=float).reshape(-1, len(PRIOR))
+            yield batch[scores(facts, weights) < 0.5]
 
     return d.mapInPandas(run, d.schema)

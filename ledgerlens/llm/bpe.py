@@ -218,8 +218,11 @@ def coded(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return d.mapInPandas(run, CODED)
 
 
+def digest_columns() -> list:
+    return [F.col("doc_id"), (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+            F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return coded(docs, rank_file, pattern).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded(docs, rank_file, pattern).select(*digest_columns())

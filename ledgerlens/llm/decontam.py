@@ -28,7 +28,7 @@ import re
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import UPPER, Scratch, lower_az, pick
@@ -140,14 +140,19 @@ def united(found: DataFrame) -> DataFrame:
     return per_doc.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("row", "rows")
 
 
+def text_key(text: Column) -> Column:
+    """The text_key of a text, on the JVM side."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key."""
     s = search(docs, benchmark, size, block_rows)
     n_hit = F.size("places").cast("bigint")
     return s.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"))
+        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), "text_key")
 
 
 SQL = f"""

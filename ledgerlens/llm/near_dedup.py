@@ -38,7 +38,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import Scratch, pick
@@ -46,7 +46,7 @@ from ledgerlens.llm.common import Scratch, pick
 WORD = rb"[^\x20\x09-\x0D]+"
 BANDS, ROWS = 40, 4
 ROUNDS, SPREAD = 6, 4
-SIGNED = "doc_id bigint, n_shingles bigint, class bigint, bands array<bigint>"
+SIGNED = "doc_id bigint, text_key bigint, n_shingles bigint, class bigint, bands array<bigint>"
 
 # Odd multipliers of the two permutations of the 32-bit universe.
 SCATTER = (0x85EBCA6B, 0xC2B2AE35)
@@ -100,16 +100,16 @@ def signer(size: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
                 s = shingles(text, size)
                 if not len(s):
-                    out.append((doc_id, 0, None, []))
+                    out.append((doc_id, key, 0, None, []))
                     continue
                 sig = signature(s, bands * rows).reshape(bands, rows).astype("<u4")
                 keys = [int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8, salt=bytes([b])).digest(), "little", signed=True)
                         for b, r in enumerate(sig)]
-                out.append((doc_id, len(s), class_of(s), keys))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "bands"]).astype({"doc_id": "Int64", "class": "Int64"})
+                out.append((doc_id, key, len(s), class_of(s), keys))
+            yield pd.DataFrame(out, columns=["doc_id", "text_key", "n_shingles", "class", "bands"]).astype({"doc_id": "Int64", "class": "Int64"})
 
     return run
 
@@ -239,11 +239,16 @@ def leftover(rows: DataFrame) -> DataFrame:
     return x.join(y, ["band", "key"]).where("a < b AND c_a <> c_b").select("a", "b", "n_a", "n_b")
 
 
+def text_key(text: Column) -> Column:
+    """Tells a doc_id's texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_groups(docs: DataFrame, size: int, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, text_key."""
     scratch = Scratch(docs.sparkSession, "near")
     d = pick(docs, doc_id="bigint", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = scratch.write(d.mapInPandas(signer(size, bands, rows), SIGNED), "signed")
+    signed = scratch.write(d.withColumn("text_key", text_key(F.col("text"))).mapInPandas(signer(size, bands, rows), SIGNED), "signed")
     full = signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     # copies combine before the shuffle
     classes = full.groupBy(F.col("class").alias("id")).agg(
@@ -261,7 +266,7 @@ def near_groups(docs: DataFrame, size: int, percent: int = 80, bands: int = BAND
         own = scratch.write(member.drop("component_id").join(first, "component").select("class", "component_id"), "own")
     out = signed.join(own, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
 
 
 def sql(size: int) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, lm_score, near_dedup, pii, toxicity
+from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, lm_score, near_dedup, pii, repeats, toxicity
 from ledgerlens.llm.common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -19,11 +19,11 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"), 4)
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), 4).drop("text_key")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op4_decontamination, op5_byte_bpe, op7_line_dedup, op8_pii, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op4_decontamination, op5_byte_bpe, op6_suffix_dedup, op7_line_dedup, op8_pii, op9_license_scan, op10_toxicity)}
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,

@@ -1,88 +1,80 @@
 """Survival functions of the chi-square, t, F and normal distributions.
 
 Used on a handful of aggregated statistics on the driver (no scipy here).
-Regularised incomplete gamma and beta functions follow the published
-series / continued-fraction expansions (Numerical Recipes, ch. 6.2 & 6.4).
-``sql_*`` return DuckDB expressions evaluating the same quantities by
-power series, for the oracle queries.
+The regularised incomplete gamma and beta functions are the power series
+P(a, x) = p(a, x) * sum x^n / ((a + 1) ... (a + n)) / a and the continued
+fractions DLMF 8.9.2 and 8.17.22.  Their leading factors are written as
+deviances from the mean, so they keep their digits for millions of degrees of
+freedom.  Expansions run until they converge (about sqrt(degrees of freedom)
+terms) or raise.  ``sql_*`` return DuckDB expressions evaluating the same
+quantities by power series, for the oracle queries.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterable
 
 EPS = 1e-15
-MAX_ITER = 10000
+MOST_TERMS = 50_000_000
 
 
-def _gser(a: float, x: float) -> float:
-    """Lower regularised gamma P(a, x) by series (x < a + 1)."""
-    ap, s, d = a, 1.0 / a, 1.0 / a
-    for _ in range(MAX_ITER):
-        ap += 1.0
-        d *= x / ap
-        s += d
-        if abs(d) < abs(s) * EPS:
-            break
-    return s * math.exp(-x + a * math.log(x) - math.lgamma(a))
+def _fraction(terms: Iterable[tuple[float, float]]) -> float:
+    """n1 / (d1 + n2 / (d2 + ...)) for (n, d) terms, by products of the ratios of successive convergents."""
+    tiny = 1e-300
+    value, up, down = tiny, tiny, 0.0
+    for n, d in itertools.islice(terms, MOST_TERMS):
+        down = 1.0 / ((d + n * down) or tiny)
+        up = (d + n / up) or tiny
+        value *= up * down
+        if abs(up * down - 1.0) < EPS:
+            return value
+    raise ArithmeticError("a continued fraction did not converge")
 
 
-def _gcf(a: float, x: float) -> float:
-    """Upper regularised gamma Q(a, x) by continued fraction (x >= a + 1)."""
-    tiny = 1e-300
-    b = x + 1.0 - a
-    c, d = 1.0 / tiny, 1.0 / b
-    h = d
-    for i in range(1, MAX_ITER):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = tiny if abs(d) < tiny else d
-        c = b + an / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < EPS:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
+def _stirling_rest(z: float) -> float:
+    """log gamma(z) - ((z - 1/2) log z - z + log(2 pi) / 2)."""
+    if z < 15.0:
+        return math.lgamma(z) - ((z - 0.5) * math.log(z) - z + 0.5 * math.log(2 * math.pi))
+    q = 1.0 / (z * z)
+    return (1 / 12 - q * (1 / 360 - q * (1 / 1260 - q * (1 / 1680 - q / 1188)))) / z
+
+
+def _deviance(u: float) -> float:
+    """u - log(1 + u), without cancellation near 0."""
+    if abs(u) > 0.01:
+        return u - math.log1p(u)
+    return sum((-u) ** n / n for n in range(2, 12))
+
+
+def _gamma_factor(a: float, x: float) -> float:
+    """x^a e^-x / gamma(a)."""
+    return math.sqrt(a / (2 * math.pi)) * math.exp(-a * _deviance((x - a) / a) - _stirling_rest(a))
+
+
+def _beta_factor(a: float, b: float, x: float) -> float:
+    """x^a (1 - x)^b / B(a, b)."""
+    off = x * (a + b) - a
+    log = -a * _deviance(off / a) - b * _deviance(-off / b)  # the linear parts cancel
+    log += _stirling_rest(a + b) - _stirling_rest(a) - _stirling_rest(b)
+    return math.sqrt(a * b / (2 * math.pi * (a + b))) * math.exp(log)
 
 
 def gammaincc(a: float, x: float) -> float:
+    """Upper regularised incomplete gamma Q(a, x)."""
     if x <= 0:
         return 1.0
     if x < a + 1.0:
-        return 1.0 - _gser(a, x)
-    return _gcf(a, x)
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, MAX_ITER):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < EPS:
-            break
-    return h
+        term = total = 1.0 / a
+        n = 0
+        while term > total * EPS:
+            n += 1
+            term *= x / (a + n)
+            total += term
+        return 1.0 - _gamma_factor(a, x) * total
+    later = ((-k * (k - a), x + 2 * k + 1 - a) for k in itertools.count(1))
+    return _gamma_factor(a, x) * _fraction(itertools.chain([(1.0, x + 1 - a)], later))
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -91,11 +83,20 @@ def betainc(a: float, b: float, x: float) -> float:
         return 0.0
     if x >= 1:
         return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
+    if x >= (a + 1.0) / (a + b + 2.0):  # the fraction converges fast on the other side
+        return 1.0 - _beta_tail(b, a, 1.0 - x)
+    return _beta_tail(a, b, x)
+
+
+def _beta_tail(a: float, b: float, x: float) -> float:
+    def terms():
+        yield 1.0, 1.0
+        for m in itertools.count():
+            yield -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), 1.0
+            k = m + 1
+            yield k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)), 1.0
+
+    return _beta_factor(a, b, x) / a * _fraction(terms())
 
 
 def chi2_sf(x: float, dof: float) -> float:

@@ -147,13 +147,11 @@ def top_items(baskets: DataFrame, n: int = 100) -> DataFrame:
 
 
 def market_basket_metrics(baskets: DataFrame, min_support: float = 0.01, min_lift: float = 1.0,
-                          max_items: int = 100) -> DataFrame:
-    """MBK-4: keep the top ``max_items`` items when there are more, mine up to
-    3 items, rules with lift >= min_lift (no confidence filter)."""
-    n = basket_count(baskets)
-    n_items = collect_scalars(baskets.agg(F.countDistinct("item")))[0]
-    items = top_items(baskets, max_items) if n_items > max_items else None
-    its = frequent_itemsets(baskets, min_support, 3, items=items, n_baskets=n)
+                          items: DataFrame | None = None) -> DataFrame:
+    """MBK-4: itemsets of up to 3 items over all items, rules with lift >=
+    min_lift (no confidence filter).  ``items`` restricts the mining to a
+    chosen list, for instance ``top_items`` (TOP-7)."""
+    its = frequent_itemsets(baskets, min_support, 3, items=items)
     return association_rules(its, min_lift, None)
 
 
@@ -231,12 +229,11 @@ def co_occurrence(baskets: DataFrame) -> DataFrame:
     return j.groupBy("item_a", "item_b").agg(F.sum("c").alias("co_count")).where(F.col("co_count") > 0)
 
 
-def affinity_edges(rules: DataFrame, n_rules: int = 20, max_nodes: int = 30) -> DataFrame:
-    """MBK-10 / SET-4 / CHT-13: top rules -> sorted node list (first
-    ``max_nodes``) -> (source, target, indices, lift) for known nodes."""
+def affinity_edges(rules: DataFrame, n_rules: int = 20) -> DataFrame:
+    """MBK-10 / SET-4 / CHT-13: top rules -> sorted list of all their nodes ->
+    (source, target, indices, lift).  Nodes are bounded by the top rules."""
     top = top_rules(rules, n_rules)
-    nodes = top.select(F.explode(F.array_union("antecedents", "consequents")).alias("node")).distinct() \
-        .orderBy("node").limit(max_nodes)
+    nodes = top.select(F.explode(F.array_union("antecedents", "consequents")).alias("node")).distinct()
     idx = nodes.withColumn("idx", F.row_number().over(Window.orderBy("node")) - 1)
     e = top.select(F.explode("antecedents").alias("source"), "consequents", "lift") \
         .select("source", F.explode("consequents").alias("target"), "lift")

@@ -70,14 +70,12 @@ def kde(df: DataFrame, col: str, points: int = KDE_POINTS) -> DataFrame:
                        (F.col("_s") / F.lit(n * math.sqrt(2 * math.pi) * bw)).alias("density"))
 
 
-def rfm_cube(sample: DataFrame, color_col: str = "Monetary") -> DataFrame:
+def rfm_cube(rfm: DataFrame, color_col: str = "Monetary") -> DataFrame:
     """CHT-3: marker size M / max(M) * 20 + 5 and the category code of the
-    colour column (position among its sorted distinct values) over a
-    bounded sample (TOP-9)."""
-    mx = collect_scalars(sample.agg(F.max("Monetary")))[0]
-    codes = sample.select(color_col).distinct().withColumn(
-        "ColorCode", F.dense_rank().over(Window.orderBy(color_col)) - 1)
-    out = sample.join(F.broadcast(codes), color_col, "left")
+    colour column (position among its sorted distinct values)."""
+    mx = collect_scalars(rfm.agg(F.max("Monetary")))[0]
+    codes = row_index(rfm.select(color_col).distinct(), [color_col], out_col="ColorCode")
+    out = rfm.join(codes, color_col, "left")
     return out.select("CustomerID", "Recency", "Frequency", "Monetary",
                       (F.col("Monetary") / F.lit(mx) * CUBE_SIZE_SCALE + CUBE_SIZE_BASE).alias("MarkerSize"),
                       F.col("ColorCode").cast("int").alias("ColorCode"))

@@ -14,7 +14,6 @@
 from __future__ import annotations
 
 import math
-import os
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -63,11 +62,10 @@ def risk_segment(prob):
             .when(prob < RISK_MEDIUM, "Low Risk").otherwise("Unknown"))
 
 
-def retention_impact(df: DataFrame, prob_col: str, clv_col: str, costs=(100.0, 500.0, 5000.0)) -> DataFrame:
+def retention_impact(df: DataFrame, prob_col: str, clv_col: str, cost: float = 500.0) -> DataFrame:
     """CHN-10: expected loss, ROI (+inf when cost <= 0), retain flag and
-    break-even probability (1 when CLV <= 0) per row x retention cost."""
-    grid = F.array(*[F.lit(float(c)) for c in costs])
-    out = df.withColumn("RetentionCost", F.explode(grid))
+    break-even probability (1 when CLV <= 0) of each row at one retention cost."""
+    out = df.withColumn("RetentionCost", F.lit(float(cost)))
     loss = F.col(prob_col) * F.col(clv_col)
     cost = F.col("RetentionCost")
     return out.withColumn("ExpectedLoss", loss).withColumn(
@@ -175,6 +173,15 @@ class CoxResult:
         return [r["covariate"] for r in self.summary.where(F.col("p") < 0.05).collect()]
 
 
+def _newton_step(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """-h step = g; a small ridge is added when the covariates are collinear."""
+    for ridge in (0.0, 1e-8, 1e-6, 1e-4, 1e-2):
+        m = -h + ridge * max(1.0, float(np.abs(h).max(initial=0.0))) * np.eye(len(g))
+        if not len(g) or np.linalg.cond(m) < 1e14:
+            return np.linalg.solve(m, g)
+    raise RuntimeError("Cox fit: the covariates are collinear")
+
+
 def fit_cox(df: DataFrame, duration_col: str = "Time", event_col: str = "Churned",
             feature_cols: list[str] | None = None, max_iter: int = 50, tol: float = 1e-9,
             penalizer: float = 0.0) -> CoxResult:
@@ -201,18 +208,22 @@ def fit_cox(df: DataFrame, duration_col: str = "Time", event_col: str = "Churned
     for it in range(1, max_iter + 1):
         hp = h - penalizer * np.eye(k)
         gp = g - penalizer * beta
-        step = np.linalg.solve(-hp, gp)
+        step = _newton_step(hp, gp)
         new = beta + step
-        for _ in range(30):
+        for halving in range(30):
             rows_n = _time_sums(data, new, zs)
             ll_n, g_n, h_n = _efron(rows_n, k)
             if ll_n - 0.5 * penalizer * new @ new >= ll - 0.5 * penalizer * beta @ beta - 1e-12:
                 break
+            if halving == 29:
+                raise RuntimeError("Cox fit did not converge: no step raises the likelihood")
             step /= 2.0
             new = beta + step
         beta, ll, g, h = new, ll_n, g_n, h_n
-        if np.max(np.abs(step)) < tol:
+        if np.max(np.abs(step), initial=0.0) < tol:
             break
+    else:
+        raise RuntimeError(f"Cox fit did not converge in {max_iter} steps")
     cov = np.linalg.inv(-(h - penalizer * np.eye(k)))
     se = np.sqrt(np.diag(cov))
     out = []
@@ -289,7 +300,11 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
 
 
 class ChurnClassifier:
-    """CHN-5 / CHN-6 / CHN-7 / SNK-1: balanced random forest (or GBT)."""
+    """CHN-5 / CHN-6 / CHN-7 / SNK-1: random forest with balanced class weights, or GBT without weights.
+
+    ``minInstancesPerNode=10`` bounds the leaves; Spark's trees have no
+    minimum number of rows for a split.
+    """
 
     def __init__(self, kind: str = "random_forest", features: list[str] | None = None, seed: int = 42):
         self.kind = kind
@@ -307,8 +322,7 @@ class ChurnClassifier:
             clf = RandomForestClassifier(numTrees=200, maxDepth=10, minInstancesPerNode=10, seed=self.seed,
                                          labelCol="label", weightCol="weight")
         else:
-            clf = GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1, seed=self.seed, labelCol="label",
-                                weightCol="weight")
+            clf = GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1, seed=self.seed, labelCol="label")
         return Pipeline(stages=[imp, va, clf])
 
     def prepare(self, df: DataFrame, label: str) -> DataFrame:
@@ -375,10 +389,12 @@ class ChurnClassifier:
         raises when there is neither (reference contract)."""
         from pyspark.ml.functions import vector_to_array
         if self.model is None:
-            if path and os.path.exists(path):
-                self.load(path)
-            else:
+            if not path:
                 raise ValueError("Model not trained yet")
+            try:  # the path may be on any file system that Spark reads
+                self.load(path)
+            except Exception as e:
+                raise ValueError("Model not trained yet") from e
         data = df.select("CustomerID", *[F.col(c).cast("double").alias(c) for c in self.features])
         return self.model.transform(data).select("CustomerID", vector_to_array("probability")[1]
                                                  .alias("ChurnProbability"))

@@ -76,8 +76,7 @@ def cohort_table(sales: DataFrame, value_col: str = "TotalDue") -> DataFrame:
         F.sum("Revenue").alias("Value"), F.count(F.lit(1)).alias("Customers"))
 
 
-def cohort_retention(sales: DataFrame, measure: str = "Value", max_cohorts: int | None = None,
-                     max_periods: int | None = None) -> DataFrame:
+def cohort_retention(sales: DataFrame, measure: str = "Value") -> DataFrame:
     """MET-4 (measure='Value') / MET-5 (measure='Customers'): each cell divided
     by the cohort's period-0 cell x 100 (SET-6), long form.  Cohorts are
     months, so the per-cohort divisor table is bounded by the calendar."""
@@ -87,18 +86,14 @@ def cohort_retention(sales: DataFrame, measure: str = "Value", max_cohorts: int
         "Retention", safe_div(F.col(measure).cast("double") * 100.0, F.col("_base").cast("double")))
     out = out.withColumn("CohortMonth", F.make_date(
         ((F.col("CohortIdx") - 1) / 12).cast("int"), ((F.col("CohortIdx") - 1) % 12 + 1).cast("int"), F.lit(1)))
-    if max_cohorts is not None:
-        first = out.select("CohortIdx").distinct().orderBy("CohortIdx").limit(max_cohorts)
-        out = out.join(F.broadcast(first), "CohortIdx", "left_semi")
-    if max_periods is not None:
-        out = out.where(F.col("Period") < max_periods)
     return out.select("CohortMonth", "Period", F.col(measure).alias(measure), "Retention")
 
 
-def cohort_matrix(long: DataFrame, periods: int = 12) -> DataFrame:
-    """SET-5: pivot the long cohort table to one column per period, with an
-    explicit value list (no discovery pass); missing cells stay NULL."""
-    return long.groupBy("CohortMonth").pivot("Period", list(range(periods))).agg(F.first("Retention"))
+def cohort_matrix(long: DataFrame) -> DataFrame:
+    """SET-5: pivot the long cohort table to one column per period that occurs
+    (months, so bounded by the calendar); missing cells stay NULL."""
+    periods = sorted(r["Period"] for r in long.select("Period").distinct().collect())
+    return long.groupBy("CohortMonth").pivot("Period", periods).agg(F.first("Retention"))
 
 
 def migration_matrix(prev: DataFrame, cur: DataFrame) -> DataFrame:

@@ -52,12 +52,25 @@ def _order_statistics(values: DataFrame, targets: list[dict], group_cols: list[s
                                             F.count(F.lit(1)).alias("n")).collect()}
     elif group_cols == ["_g"] and () in bounds:
         bounds = {(0,): bounds[()]}
+    result: dict = {}
+    below = {}  # infinities are counted apart; only finite values are narrowed
+    if any(math.isinf(x) for lo, hi, _ in bounds.values() for x in (lo, hi)):
+        inf, finite = F.lit(float("inf")), F.abs("v") < F.lit(float("inf"))
+        edges = values.groupBy(*gkey).agg(
+            F.count_if(F.col("v") == -inf).alias("below"), F.count_if(finite).alias("n"),
+            F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi")).collect()
+        bounds = {tuple(r[c] for c in group_cols): (r["lo"], r["hi"], r["n"]) for r in edges}
+        below = {tuple(r[c] for c in group_cols): r["below"] for r in edges}
+        values = values.where(finite)
     pending = []
     for t in targets:
         key = tuple(t[c] for c in group_cols)
         lo, hi, n = bounds[key]
-        pending.append({**t, "lo": lo, "hi": hi, "r_left": t["r"], "cnt": n})
-    result: dict = {}
+        rank = t["r"] - below.get(key, 0)
+        if 0 <= rank < n:
+            pending.append({**t, "lo": lo, "hi": hi, "r_left": rank, "cnt": n})
+        else:
+            result[t["tid"]] = float("-inf") if rank < 0 else float("inf")
     tschema = T.StructType(
         [values.schema[c] for c in group_cols]
         + [T.StructField("tid", T.LongType()), T.StructField("lo", T.DoubleType()),
@@ -86,8 +99,8 @@ def _order_statistics(values: DataFrame, targets: list[dict], group_cols: list[s
         tdf = spark.createDataFrame(
             [tuple(t[c] for c in group_cols) + (t["tid"], float(t["lo"]), float(t["hi"])) for t in pending], tschema)
         joined = values.join(F.broadcast(tdf), on=group_cols, how="inner")
-        width = F.col("hi") - F.col("lo")
-        bucket = F.least(F.floor((F.col("v") - F.col("lo")) / width * N_BUCKETS), F.lit(N_BUCKETS - 1))
+        half = lambda c: F.col(c) / 2  # noqa: E731  the full width may overflow
+        bucket = F.least(F.floor((half("v") - half("lo")) / (half("hi") - half("lo")) * N_BUCKETS), F.lit(N_BUCKETS - 1))
         hist = (joined.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
                 .groupBy("tid", bucket.alias("b"))
                 .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
@@ -140,7 +153,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         out = []
         for key, p, a, b, frac in plan:
             va, vb = got[a], got[b]
-            out.append({**key, "p": p, "value": va + (vb - va) * frac})
+            out.append({**key, "p": p, "value": va if va == vb or frac == 0 else va + (vb - va) * frac})
         return out
     finally:
         values.unpersist()
@@ -170,6 +183,16 @@ def top_k_sum(df: DataFrame, value_col: str, k: int) -> float:
         values.unpersist()
 
 
+def _differs(keys: pd.DataFrame, before: pd.Series | None = None) -> pd.Series:
+    """Whether each row's keys differ from those of the row before (``before`` for the first); NULL equals NULL."""
+    prev = keys.shift(1)
+    out = ((keys != prev) & ~(keys.isna() & prev.isna())).any(axis=1)
+    if len(keys):
+        first = keys.iloc[0]
+        out.iloc[0] = before is None or bool(((first != before) & ~(first.isna() & before.isna())).any())
+    return out
+
+
 def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str | None = None,
                 group_cols: Sequence[str] = (), out_col: str = "running",
                 num_partitions: int | None = None) -> DataFrame:
@@ -191,11 +214,12 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str | None
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     val = F.lit(1).cast("double") if value_col is None else F.col(value_col).cast("double")
     # Both the local pass and the per-partition totals must see the same
-    # range partitioning: the bounds are sampled per exchange, so the
-    # partitioned rows are materialised once and read twice.
-    ordered = (df.withColumn("_val", F.coalesce(val, F.lit(0.0)))
-               .repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-               .withColumn("_pid", F.spark_partition_id())).persist()
+    # range partitioning, also after an executor is lost: the bounds are
+    # sampled per exchange, so the partitioned rows are checkpointed and read
+    # twice.  The last key splits ties over partitions.
+    tied = df.withColumn("_val", F.coalesce(val, F.lit(0.0))).withColumn("_tie", F.monotonically_increasing_id())
+    ordered = (tied.repartitionByRange(n_parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+               .withColumn("_pid", F.spark_partition_id())).checkpoint()
     schema = T.StructType(ordered.schema.fields + [T.StructField("_local", T.DoubleType())])
 
     def accumulate(batches):
@@ -206,14 +230,12 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str | None
                 continue
             v = pdf["_val"].astype("float64")
             if group_cols:
-                gk = pdf[group_cols].astype(object).apply(tuple, axis=1)
-                change = gk != gk.shift(1)
-                change.iloc[0] = last_key is None or gk.iloc[0] != last_key
+                change = _differs(pdf[group_cols], last_key)
                 seg = change.cumsum()
                 local = v.groupby(seg).cumsum()
                 if not change.iloc[0]:
                     local[seg == seg.iloc[0]] += carry
-                last_key = gk.iloc[-1]
+                last_key = pdf[group_cols].iloc[-1]
             else:
                 local = v.cumsum() + carry
             carry = float(local.iloc[-1])
@@ -261,8 +283,9 @@ def next_in_order(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     keys = group_cols + order_cols
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-               .withColumn("_pid", F.spark_partition_id())).persist()
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ordered = (tied.repartitionByRange(n_parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+               .withColumn("_pid", F.spark_partition_id())).checkpoint()
     head_schema = T.StructType([ordered.schema["_pid"]] + [ordered.schema[c] for c in group_cols + value_cols])
 
     def heads(batches):
@@ -288,8 +311,7 @@ def next_in_order(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
             pid = int(pdf["_pid"].iloc[0])
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
-            gk = pdf[group_cols].astype(object).apply(tuple, axis=1) if group_cols else pd.Series([()] * len(pdf))
-            same_next = gk.shift(-1) == gk
+            same_next = ~_differs(pdf[group_cols]).shift(-1, fill_value=True)
             out = pdf.copy()
             for v in value_cols:
                 out[prefix + v] = pdf[v].shift(-1).where(same_next, None).astype(object)

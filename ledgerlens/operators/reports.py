@@ -227,11 +227,7 @@ def persuasion_quadrants(responses: DataFrame, segmented: DataFrame) -> DataFram
         F.avg(F.when(~F.col("Promoted"), F.col("Responded"))).alias("BaselineProbability"))
     out = cust.join(F.broadcast(seg), "Segment", "left")
     e, b = F.col("TreatmentEffect"), F.col("BaselineProbability")
-    quadrant = (F.when(e < QUADRANT_EFFECT_LO, "Sleeping Dogs")
-                .when((e < QUADRANT_EFFECT_HI) & (b > QUADRANT_BASE), "Sure Things")
-                .when((e > QUADRANT_EFFECT_HI) & (b < QUADRANT_BASE), "Persuadables")
-                .otherwise("Lost Causes"))
-    return out.withColumn("Quadrant", quadrant)
+    return out.withColumn("Quadrant", quadrant_label(e, b))
 
 
 def quadrant_label(effect, base):
@@ -241,16 +237,14 @@ def quadrant_label(effect, base):
             .otherwise("Lost Causes"))
 
 
-def promotion_roi(segmented: DataFrame, discounts=(5, 15, 25, 50), uptakes=(5, 20, 50, 80),
+def promotion_roi(segmented: DataFrame, discount: float = 15.0, uptake: float = 20.0,
                   campaign_cost: float = 50000.0) -> DataFrame:
-    """DSH-12: per segment x scenario: responders int(n * uptake %),
-    revenue = responders * (AOV - AOV * discount %), ROI vs. cost (0 if cost <= 0).
-    The scenario grid is a literal array exploded per segment row."""
+    """DSH-12: per segment, at one discount and uptake (per cent): responders
+    int(n * uptake %), revenue = responders * (AOV - AOV * discount %), ROI
+    vs. cost (0 if cost <= 0)."""
     seg = segmented.groupBy("Segment").agg(F.count(F.lit(1)).alias("TargetCustomers"),
                                            F.avg("AvgOrderValue").alias("AvgOrderValue"))
-    grid = F.array(*[F.struct(F.lit(float(d)).alias("DiscountPct"), F.lit(float(u)).alias("UptakePct"))
-                     for d in discounts for u in uptakes])
-    s = seg.withColumn("_s", F.explode(grid)).select("Segment", "TargetCustomers", "AvgOrderValue", "_s.*")
+    s = seg.withColumn("DiscountPct", F.lit(float(discount))).withColumn("UptakePct", F.lit(float(uptake)))
     responders = F.floor(F.col("TargetCustomers") * F.col("UptakePct") / F.lit(100.0)).cast("bigint")
     revenue = responders * (F.col("AvgOrderValue") - F.col("AvgOrderValue") * F.col("DiscountPct") / F.lit(100.0))
     cost = F.lit(float(campaign_cost))

@@ -72,25 +72,29 @@ def kmeans(df: DataFrame, cols: list[str], k: int = 5, key: str = "CustomerID",
            n_init: int = 10):
     """SEG-3 / SEG-4: best of ``n_init`` seeded KMeans fits by training cost;
     returns (labels DataFrame(key, Segment), inertia, silhouette)."""
-    from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     data = _vectors(df.select(key, *cols), cols).persist()
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="Segment").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    model, cost = best
+    model, cost = _best_fit(data, k, seed, n_init)
     pred = model.transform(data)
     sil = ClusteringEvaluator(featuresCol="features", predictionCol="Segment").evaluate(pred) if k > 1 else 0.0
     return pred.select(key, F.col("Segment").cast("int").alias("Segment")), float(cost), float(sil)
 
 
+def _best_fit(data: DataFrame, k: int, seed: int, n_init: int):
+    """The model of least training cost of ``n_init`` seeded fits."""
+    from pyspark.ml.clustering import KMeans
+    fits = (KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="Segment").fit(data) for i in range(n_init))
+    return min(((m, float(m.summary.trainingCost)) for m in fits), key=lambda x: x[1])
+
+
 def inertia_curve(df: DataFrame, cols: list[str], max_clusters: int = 10, key: str = "CustomerID",
-                  seed: int = 42, n_init: int = 3) -> list[tuple[int, float]]:
+                  seed: int = 42, n_init: int = 10) -> list[tuple[int, float]]:
     n = collect_scalars(df.agg(F.count(F.lit(1))))[0]
-    return [(k, kmeans(df, cols, k, key, seed, n_init)[1]) for k in range(2, min(max_clusters + 1, n))]
+    data = _vectors(df.select(key, *cols), cols).persist()
+    try:
+        return [(k, _best_fit(data, k, seed, n_init)[1]) for k in range(2, min(max_clusters + 1, n))]
+    finally:
+        data.unpersist()
 
 
 def optimal_k(inertias: list[float], rule: str = "reference") -> int:
@@ -106,30 +110,40 @@ def optimal_k(inertias: list[float], rule: str = "reference") -> int:
 
 
 def grid_density_clusters(points: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "CustomerID",
-                          cell: float = 0.25, min_samples: int = 10, min_cluster_size: int = 30,
-                          max_iter: int = 200) -> DataFrame:
-    """SEG-2 (re-aimed): grid density clusters with noise label -1."""
+                          cell: float = 0.25, min_samples: int = 10, min_cluster_size: int = 30) -> DataFrame:
+    """SEG-2 (re-aimed): grid density clusters with noise label -1.
+
+    Labels spread to neighbour cells and jump to their label's own label until
+    nothing changes, so long clusters need few rounds and none is broken up.
+    """
     pts = points.select(key, F.floor(F.col(x) / cell).cast("long").alias("cx"),
                         F.floor(F.col(y) / cell).cast("long").alias("cy")).persist()
     cells = pts.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
     dense = cells.where(F.col("n") >= min_samples).select(
         "cx", "cy", "n", (F.col("cx") * F.lit(1 << 32) + F.col("cy")).alias("label"))
-    dense = dense.checkpoint()
+    dense = dense.withColumn("id", F.col("label")).checkpoint()
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                         for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    for _ in range(max_iter):
+    while True:
         spread = dense.select("cx", "cy", "label", F.explode(offsets).alias("o")).select(
             (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"),
             F.col("label").alias("nl"))
         best = spread.groupBy("cx", "cy").agg(F.min("nl").alias("nl"))
         upd = dense.join(best, ["cx", "cy"], "left").select(
-            "cx", "cy", "n", F.least(F.col("label"), F.coalesce("nl", F.col("label"))).alias("label"),
-            (F.col("nl") < F.col("label")).alias("_chg"))
-        upd = upd.checkpoint()
+            "cx", "cy", "n", "id", F.least(F.col("label"), F.coalesce("nl", F.col("label"))).alias("label"),
+            F.col("label").alias("_old"))
+        # pointer jump: a label is a cell's id and takes that cell's label; the root learns of a smaller one
+        root = upd.groupBy(F.col("_old").alias("id")).agg(F.min("label").alias("_root"))
+        upd = upd.join(root, "id", "left").withColumn("label", F.least("label", F.coalesce("_root", "label"))).drop("_root")
+        jump = upd.select(F.col("id").alias("label"), F.col("label").alias("_to"))
+        upd = upd.join(jump, "label", "left").select(
+            "cx", "cy", "n", "id", F.least("label", F.coalesce("_to", "label")).alias("label"), "_old")
+        upd = upd.withColumn("_chg", F.col("label") < F.col("_old")).drop("_old").checkpoint()
         changed = collect_scalars(upd.agg(F.count_if(F.col("_chg"))))[0]
         dense = upd.drop("_chg")
         if changed == 0:
             break
+    dense = dense.drop("id")
     sizes = dense.groupBy("label").agg(F.sum("n").alias("size"))
     keep = sizes.where(F.col("size") >= min_cluster_size)
     # clusters are few (bounded by dense cells / min_cluster_size): a global

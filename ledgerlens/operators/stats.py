@@ -126,13 +126,30 @@ def anova(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
         "f_statistic double, p_value double, significant boolean, eta_squared double, effect_size string")
 
 
+def _spearman(data: DataFrame, cols: list[str]) -> DataFrame:
+    """Ranks are taken over the rows where both columns of a pair have values;
+    columns without missing values share theirs."""
+    whole = collect_scalars(data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]))
+    out = None
+    full = [c for c in cols if whole[c] == 0]
+    pairs = [p for p in combinations(cols, 2) if not set(p) <= set(full)]
+    groups = ([full] if full else []) + [list(p) for p in pairs] + [[c] for c in cols if c not in full]
+    for g in groups:
+        both = data.select(*g).dropna()
+        ranks = average_ranks(both, g, "_rank").select(*[F.col(c + "_rank").alias(c) for c in g])
+        part = correlation_matrix(ranks, g)
+        if g in [list(p) for p in pairs]:
+            part = part.where("var1 <> var2")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
     """STA-4: long (var1, var2, correlation, p_value, n) over pairwise-complete
     rows; Spearman = Pearson on average-tie ranks.  NULL for a constant column."""
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     if method == "spearman":
-        ranked = average_ranks(data, cols, "_rank")
-        data = ranked.select(*[F.col(c + "_rank").alias(c) for c in cols])
+        return _spearman(data, cols)
     aggs = []
     for a, b in list(combinations(cols, 2)) + [(c, c) for c in cols]:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()

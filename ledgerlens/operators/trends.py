@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.operators.order_stats import _differs
+
 LOCAL_MAX = 2048  # light path: at most ~2.1M pairwise slopes (~50 MB transient numpy) per customer
 
 
@@ -144,24 +146,22 @@ def _count_dominated(points: DataFrame, key: str, n_levels: int, strict: bool =
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            g = pdf[[key, "tid", "lvl", "blk"]].astype(object).apply(tuple, axis=1)
+            g = pdf[[key, "tid", "lvl", "blk"]]
             is_left = (pdf["half"] == 0).astype("int64")
             left = is_left * pdf["w"].astype("int64")
-            seg = (g != g.shift(1)).cumsum()
+            change = _differs(g, carry_key)
+            seg = change.cumsum()
             before = left.groupby(seg).cumsum() - left
-            if carry_key is not None and g.iloc[0] == carry_key:
+            if not change.iloc[0]:
                 before[seg == seg.iloc[0]] += carry_left
             right = 1 - is_left
-            part = pd.DataFrame({"g": g, "left": left, "right": right, "local": before * right})
-            agg = part.groupby("g", sort=False).agg(left=("left", "sum"), right=("right", "sum"),
-                                                    local=("local", "sum"))
-            last = g.iloc[-1]
-            carry_left = (carry_left if carry_key == last and (g == last).all() else 0) + int(left[g == last].sum())
-            carry_key = last
-            pid = int(pdf["_pid"].iloc[0])
-            yield pd.DataFrame([(pid, k[0], int(k[1]), int(k[2]), int(k[3]), int(r["left"]), int(r["right"]),
-                                 int(r["local"])) for k, r in agg.iterrows()],
-                               columns=[f.name for f in schema.fields])
+            sums = pd.DataFrame({"n_left": left, "n_right": right, "local": before * right}).groupby(seg, sort=False).sum()
+            heads = g[~seg.duplicated()].reset_index(drop=True)
+            whole = seg.iloc[0] == seg.iloc[-1] and not change.iloc[0]
+            carry_left = (carry_left if whole else 0) + int(sums["n_left"].iloc[-1])
+            carry_key = g.iloc[-1]
+            yield pd.concat([heads, sums.reset_index(drop=True)], axis=1).assign(_pid=int(pdf["_pid"].iloc[0]))[
+                [f.name for f in schema.fields]]
 
     summary = ordered.mapInPandas(scan, schema).groupBy("_pid", key, "tid", "lvl", "blk").agg(
         F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"), F.sum("local").alias("local"))

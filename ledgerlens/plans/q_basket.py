@@ -190,7 +190,7 @@ top AS (SELECT * FROM rules ORDER BY lift DESC, ak, ck LIMIT 20),
 nodes AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (
             SELECT DISTINCT node FROM (SELECT unnest(string_split(ak, ', ')) AS node FROM top
                                        UNION ALL SELECT unnest(string_split(ck, ', ')) FROM top)
-            ORDER BY node LIMIT 30)),
+            ORDER BY node)),
 e AS (SELECT s.source, unnest(string_split(s.ck, ', ')) AS target, s.lift
       FROM (SELECT unnest(string_split(ak, ', ')) AS source, ck, lift FROM top) s)
 SELECT e.target, e.source, round(e.lift, 10) AS lift, ns.idx AS source_idx, nt.idx AS target_idx

@@ -56,16 +56,13 @@ def cht2_clv_kde(spark, sf_dir):
     return finish(chx.kde(clv_table(spark, sf_dir), "PredictedCLV"), {"grid": None, "x": 6, "density": 16})
 
 
-@query("cht3_rfm_cube", with_ctes("rfm") + """,
-smp AS (SELECT * FROM rfm ORDER BY ('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 8))::BIGINT, CustomerID
-        LIMIT 500)
+@query("cht3_rfm_cube", with_ctes("rfm") + """
 SELECT CustomerID, Recency, Frequency, round(Monetary, 4) AS Monetary,
-       round(Monetary / (SELECT max(Monetary) FROM smp) * 20.0 + 5.0, 8) AS MarkerSize,
-       CAST(dense_rank() OVER (ORDER BY Monetary) - 1 AS INTEGER) AS ColorCode FROM smp""")
+       round(Monetary / (SELECT max(Monetary) FROM rfm) * 20.0 + 5.0, 8) AS MarkerSize,
+       CAST(dense_rank() OVER (ORDER BY Monetary) - 1 AS INTEGER) AS ColorCode FROM rfm""")
 def cht3_rfm_cube(spark, sf_dir):
-    sample = rep.hash_sample(rfm_table(spark, sf_dir), "CustomerID", 500)
-    return finish(chx.rfm_cube(sample), {"CustomerID": None, "Recency": None, "Frequency": None, "Monetary": 4,
-                                         "MarkerSize": 8, "ColorCode": None})
+    return finish(chx.rfm_cube(rfm_table(spark, sf_dir)), {
+        "CustomerID": None, "Recency": None, "Frequency": None, "Monetary": 4, "MarkerSize": 8, "ColorCode": None})
 
 
 TRANS_SQL = """trans AS (

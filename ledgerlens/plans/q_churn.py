@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -102,7 +102,7 @@ def chn6_gbt_metrics(spark, sf_dir):
 def chn7_churn_probability(spark, sf_dir):
     """Fit, save to the shared checkpoint folder (SNK-1), reload, score all customers."""
     model, _ = _classifier_metrics(spark, sf_dir, "random_forest")
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", "churn_rf")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/churn_rf-{uuid.uuid4().hex}"
     model.save(path)
     reloaded = ch.ChurnClassifier("random_forest")
     reloaded.load(path)
@@ -134,12 +134,10 @@ def chn9_risk_segments(spark, sf_dir):
 
 
 @query("chn10_retention_impact", with_ctes("clv") + """
-SELECT CustomerID, c AS RetentionCost, round(loss, 6) AS ExpectedLoss,
-       round(CASE WHEN c > 0 THEN (loss - c) / c * 100.0 ELSE 'inf'::DOUBLE END, 6) AS RetentionROI,
-       loss > c AS ShouldRetain,
-       round(CASE WHEN PredictedCLV > 0 THEN c / PredictedCLV ELSE 1.0 END, 12) AS BreakEvenProbability
-FROM (SELECT CustomerID, PredictedCLV, g.c, (1.0 - ProbAlive) * PredictedCLV AS loss
-      FROM clv, (VALUES (100.0::DOUBLE), (500.0::DOUBLE), (5000.0::DOUBLE)) g(c))""")
+SELECT CustomerID, 500.0::DOUBLE AS RetentionCost, round(loss, 6) AS ExpectedLoss,
+       round((loss - 500.0) / 500.0 * 100.0, 6) AS RetentionROI, loss > 500.0 AS ShouldRetain,
+       round(CASE WHEN PredictedCLV > 0 THEN 500.0 / PredictedCLV ELSE 1.0 END, 12) AS BreakEvenProbability
+FROM (SELECT CustomerID, PredictedCLV, (1.0 - ProbAlive) * PredictedCLV AS loss FROM clv)""")
 def chn10_retention_impact(spark, sf_dir):
     out = ch.retention_impact(_risk_inputs(spark, sf_dir), "ChurnProbability", "PredictedCLV")
     return finish(out, {"CustomerID": None, "RetentionCost": None, "ExpectedLoss": 6, "RetentionROI": 6,

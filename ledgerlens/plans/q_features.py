@@ -32,7 +32,7 @@ def _sql_select(spec, alias="f"):
 SELECT {_sql_select({k: v for k, v in CUS1_SPEC.items() if k not in ('TerritoryID', 'PersonID', 'StoreID', 'IsIndividual', 'IsStore')})},
        k.TerritoryID, k.PersonID, k.StoreID,
        CAST(k.PersonID IS NOT NULL AS INTEGER) AS IsIndividual, CAST(k.StoreID IS NOT NULL AS INTEGER) AS IsStore
-FROM cust_feats f LEFT JOIN customers k ON f.CustomerID = k.CustomerID""", headline=True)
+FROM cust_feats f LEFT JOIN customers k ON f.CustomerID = k.CustomerID""")
 def cus1_customer_features(spark, sf_dir):
     cat = catalog(spark, sf_dir)
     return finish(feat.engineer_customer_features(cat.sales_lines(), cat.customers()), CUS1_SPEC)

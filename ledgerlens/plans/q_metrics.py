@@ -73,33 +73,30 @@ def met4_cohort_value_retention(spark, sf_dir):
     return finish(out, {"CohortMonth": None, "Period": None, "Value": 4, "Retention": 8})
 
 
-@query("met5_cohort_customer_retention", _cohort_sql(
-    "Customers", "WHERE c.CohortIdx IN (SELECT DISTINCT CohortIdx FROM cohort_cells ORDER BY CohortIdx LIMIT 12) "
-                 "AND c.Period < 12"))
+@query("met5_cohort_customer_retention", _cohort_sql("Customers"))
 def met5_cohort_customer_retention(spark, sf_dir):
-    out = met.cohort_retention(catalog(spark, sf_dir).sales_lines(), "Customers", max_cohorts=12, max_periods=12)
+    out = met.cohort_retention(catalog(spark, sf_dir).sales_lines(), "Customers")
     return finish(out, {"CohortMonth": None, "Period": None, "Customers": None, "Retention": 8})
 
 
-@query("cht12_cohort_heatmap", _cohort_sql(
-    "Customers", "WHERE c.CohortIdx IN (SELECT DISTINCT CohortIdx FROM cohort_cells ORDER BY CohortIdx LIMIT 12) "
-                 "AND c.Period < 12").replace(
+@query("cht12_cohort_heatmap", _cohort_sql("Customers").replace(
     "round(CAST(c.Customers AS DOUBLE) * 100.0 / CAST(b.base AS DOUBLE), 8) AS Retention",
     "round(CAST(c.Customers AS DOUBLE) * 100.0 / CAST(b.base AS DOUBLE), 1) AS Retention"))
 def cht12_cohort_heatmap(spark, sf_dir):
-    out = met.cohort_retention(catalog(spark, sf_dir).sales_lines(), "Customers", max_cohorts=12, max_periods=12)
+    out = met.cohort_retention(catalog(spark, sf_dir).sales_lines(), "Customers")
     return finish(out, {"CohortMonth": None, "Period": None, "Customers": None, "Retention": 1})
 
 
-@query("set5_cohort_pivot", with_ctes("cohort_cells") + f"""
-SELECT {MONTH_SQL.replace('MonthIdx', 'c.CohortIdx')} AS CohortMonth,
-       {", ".join(f'round(max(CASE WHEN c.Period = {p} THEN CAST(c.Customers AS DOUBLE) * 100.0 / CAST(b.base AS DOUBLE) END), 8) AS "{p}"' for p in range(12))}
+@query("set5_cohort_pivot", with_ctes("cohort_cells") + f""", p AS (
+SELECT {MONTH_SQL.replace('MonthIdx', 'c.CohortIdx')} AS CohortMonth, c.Period,
+       round(CAST(c.Customers AS DOUBLE) * 100.0 / CAST(b.base AS DOUBLE), 8) AS Retention
 FROM cohort_cells c LEFT JOIN (SELECT CohortIdx, Customers AS base FROM cohort_cells WHERE Period = 0) b
-  ON c.CohortIdx = b.CohortIdx
-GROUP BY c.CohortIdx""")
+  ON c.CohortIdx = b.CohortIdx)
+SELECT * FROM (PIVOT p ON Period USING max(Retention) GROUP BY CohortMonth)""")
 def set5_cohort_pivot(spark, sf_dir):
     long = met.cohort_retention(catalog(spark, sf_dir).sales_lines(), "Customers")
-    return finish(met.cohort_matrix(long, 12), {"CohortMonth": None, **{str(p): 8 for p in range(12)}})
+    wide = met.cohort_matrix(long)
+    return finish(wide, {"CohortMonth": None, **{p: 8 for p in wide.columns[1:]}})
 
 
 @query("met6_segment_migration", with_ctes("segmented", "segmented_prev") + """

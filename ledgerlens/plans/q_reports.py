@@ -39,7 +39,7 @@ SELECT r.n AS TotalCustomers, CAST(r.active AS BIGINT) AS ActiveCustomers,
 FROM (SELECT count(*) AS n, count_if(Recency <= 90) AS active, count_if(Recency > 365) AS churned FROM rfm) r,
      (SELECT avg(PredictedCLV) AS avg_clv, avg(HealthScore) AS avg_h FROM metrics_h) m,
      (SELECT count_if(coalesce(regexp_matches(Segment, 'Risk|Dormant|At Risk'), false)) AS at_risk FROM segmented) s
-""", headline=True)
+""")
 def dsh1_kpi_row(spark, sf_dir):
     rfm = rfm_table(spark, sf_dir)
     out = rep.kpi_row(rfm, metrics_with_health(spark, sf_dir), segmented_table(spark, sf_dir))
@@ -172,8 +172,7 @@ FROM (SELECT *, Responders * (AvgOrderValue - AvgOrderValue * DiscountPct / 100.
                    CAST(floor(s.TargetCustomers * g.UptakePct / 100.0) AS BIGINT) AS Responders
             FROM (SELECT Segment, count(*) AS TargetCustomers, avg(AvgOrderValue) AS AvgOrderValue
                   FROM segmented GROUP BY Segment) s,
-                 (SELECT CAST(d AS DOUBLE) AS DiscountPct, CAST(u AS DOUBLE) AS UptakePct
-                  FROM (VALUES (5), (15), (25), (50)) dd(d), (VALUES (5), (20), (50), (80)) uu(u)) g))""")
+                 (SELECT 15.0::DOUBLE AS DiscountPct, 20.0::DOUBLE AS UptakePct) g))""")
 def dsh12_promotion_roi(spark, sf_dir):
     out = rep.promotion_roi(segmented_table(spark, sf_dir))
     return finish(out, {"Segment": None, "TargetCustomers": None, "AvgOrderValue": 4, "DiscountPct": None,

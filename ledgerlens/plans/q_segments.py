@@ -59,7 +59,7 @@ def seg4_kmeans_quality(spark, sf_dir):
 @query("seg5_optimal_k")
 def seg5_optimal_k(spark, sf_dir):
     z = sg.standardize(clv_table(spark, sf_dir), sg.GENOME_FEATURES).persist()
-    curve = sg.inertia_curve(z, sg.GENOME_FEATURES, max_clusters=10, n_init=3)
+    curve = sg.inertia_curve(z, sg.GENOME_FEATURES, max_clusters=10)
     inertias = [c for _, c in curve]
     k_ref, k_elbow = sg.optimal_k(inertias, "reference"), sg.optimal_k(inertias, "elbow")
     return spark.createDataFrame([(k, c, k_ref, k_elbow) for k, c in curve],

@@ -48,7 +48,7 @@ def cus4_rfm(spark, sf_dir):
 @query("cus5_clv", with_ctes("clv") + """
 SELECT CustomerID, round(ExpectedFutureTransactions, 8) AS ExpectedFutureTransactions,
        round(PredictedCLV, 4) AS PredictedCLV, round(CLV_Lower, 4) AS CLV_Lower,
-       round(CLV_Upper, 4) AS CLV_Upper, round(ProbAlive, 10) AS ProbAlive FROM clv""", headline=True)
+       round(CLV_Upper, 4) AS CLV_Upper, round(ProbAlive, 10) AS ProbAlive FROM clv""")
 def cus5_clv(spark, sf_dir):
     return finish(clv_table(spark, sf_dir), {
         "CustomerID": None, "ExpectedFutureTransactions": 8, "PredictedCLV": 4, "CLV_Lower": 4,
@@ -71,7 +71,7 @@ SELECT s.CustomerID, s.Segment, t.SegmentSize, round(t.SegmentRevenue, 4) AS Seg
 FROM segmented s JOIN (SELECT Segment, count(CustomerID) AS SegmentSize,
                               CAST(sum(CAST(Monetary AS DECIMAL(18,4))) AS DOUBLE) AS SegmentRevenue,
                               avg(PredictedCLV) AS SegmentAvgCLV FROM segmented GROUP BY Segment) t
-ON s.Segment = t.Segment""", headline=True)
+ON s.Segment = t.Segment""")
 def cus7_segments(spark, sf_dir):
     return finish(segmented_table(spark, sf_dir), {
         "CustomerID": None, "Segment": None, "SegmentSize": None, "SegmentRevenue": 4, "SegmentAvgCLV": 4})
@@ -80,7 +80,7 @@ def cus7_segments(spark, sf_dir):
 @query("dsh7_clv_by_segment", with_ctes("segmented") + """
 SELECT Segment, round(avg(PredictedCLV), 4) AS AvgCLV, count(CustomerID) AS Customers,
        round(CAST(sum(CAST(Monetary AS DECIMAL(18,4))) AS DOUBLE), 4) AS Revenue
-FROM segmented GROUP BY Segment""", headline=True)
+FROM segmented GROUP BY Segment""")
 def dsh7_clv_by_segment(spark, sf_dir):
     from ledgerlens.functions.exprs import money_sum
     seg = segmented_table(spark, sf_dir)

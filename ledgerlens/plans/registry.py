@@ -17,18 +17,17 @@ class QuerySpec:
     key: str
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
-    headline: bool = False
 
 
 REGISTRY: dict[str, QuerySpec] = {}
 
 
-def query(key: str, sql: str | None = None, headline: bool = False):
+def query(key: str, sql: str | None = None):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         if key in REGISTRY:
             raise ValueError(f"duplicate query key {key}")
         from ledgerlens.plans.common import sql_round
-        REGISTRY[key] = QuerySpec(key, fn, sql_round(sql) if sql else None, headline)
+        REGISTRY[key] = QuerySpec(key, fn, sql_round(sql) if sql else None)
         return fn
     return deco
 
@@ -36,5 +35,5 @@ def query(key: str, sql: str | None = None, headline: bool = False):
 def load_all() -> dict[str, QuerySpec]:
     # importing the modules registers their queries
     from ledgerlens.plans import (  # noqa: F401
-        q_value, q_features, q_filters, q_basket, q_churn, q_stats, q_metrics, q_reports, q_segments, q_charts)
+        q_value, q_features, q_basket, q_churn, q_stats, q_metrics, q_reports, q_segments, q_charts)
     return REGISTRY

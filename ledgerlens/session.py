@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -12,26 +13,32 @@ def get_spark(app: str = "ledgerlens", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every operator assumes.
 
+    Master, driver memory and shuffle partitions are set only when an argument
+    or an environment variable names them: settings made here would outrank
+    the submit command's.
     * UTC session time zone: day arithmetic must not move with DST.
     * AQE on, with skew-join splitting and partition coalescing: hot
       customers / baskets are split at run time, tiny stages are merged.
     * Spark UI off: no server is opened.
     """
-    master = master or os.environ.get("LEDGERLENS_MASTER", "local[*]")
-    parts = shuffle_partitions or int(os.environ.get("LEDGERLENS_SHUFFLE_PARTITIONS", "8"))
+    chosen = {
+        "spark.master": master or os.environ.get("LEDGERLENS_MASTER"),
+        "spark.driver.memory": os.environ.get("LEDGERLENS_DRIVER_MEMORY"),
+        "spark.sql.shuffle.partitions": shuffle_partitions or os.environ.get("LEDGERLENS_SHUFFLE_PARTITIONS"),
+    }
     builder = (
         SparkSession.builder.appName(app)
-        .master(master)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "16g"))
     )
+    for name, value in chosen.items():
+        if value:
+            builder = builder.config(name, str(value))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -50,8 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    used as is; without it an error is raised, since executors do not see the
+    driver's disk.  Only a local session gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -59,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path

@@ -1,12 +1,14 @@
 """Structured Streaming form of the RFM aggregate (CUS-4).
 
-The reference's "real-time" view is a cached batch load; the batch
-operators cover it.  For sources that keep appending order lines (files
-landing in a folder), the same per-customer aggregate runs incrementally:
-``readStream`` over the order-grain files, a streaming ``groupBy`` whose
-state is the running (last order, distinct orders, monetary, first order)
-per customer, written in ``complete`` mode to the in-memory table.  Recency and age are derived at
-read time against the latest order date, exactly as the batch operator does.
+The batch operators cover a cached load.  For sources that keep appending
+order lines (files landing in a folder), the same per-customer aggregate runs
+incrementally: ``readStream`` over the order-grain files, a streaming
+``groupBy`` whose state is the running (last order, distinct orders, monetary,
+first order) per customer.  Each trigger appends the customers that changed to
+a table in shared storage (update mode, one folder per batch, so a repeated
+batch overwrites itself); ``latest_state`` takes each customer's last row.
+Recency and age are derived at read time against the latest order date, as
+the batch operator does.
 """
 
 from __future__ import annotations
@@ -22,30 +24,35 @@ ORDER_GRAIN_SCHEMA = T.StructType([
     T.StructField("SalesOrderID", T.LongType()), T.StructField("TotalDue", T.DoubleType())])
 
 
-def rfm_state_stream(spark: SparkSession, path: str, watermark: str | None = None) -> DataFrame:
+def rfm_state_stream(spark: SparkSession, path: str, watermark: str) -> DataFrame:
     """Streaming per-customer RFM state from order-grain parquet files.
 
-    Orders are de-duplicated on SalesOrderID inside the stream (with a
-    watermark when given, so the de-duplication state is bounded).
+    Orders are de-duplicated on SalesOrderID within the watermark, which
+    bounds the de-duplication state.
     """
     src = spark.readStream.schema(ORDER_GRAIN_SCHEMA).parquet(path)
-    if watermark:
-        src = src.withWatermark("OrderDate", watermark).dropDuplicatesWithinWatermark(["SalesOrderID"])
-    else:
-        src = src.dropDuplicates(["SalesOrderID"])
+    src = src.withWatermark("OrderDate", watermark).dropDuplicatesWithinWatermark(["SalesOrderID"])
     return src.groupBy("CustomerID").agg(
         F.max("OrderDate").alias("LastOrder"), F.count(F.lit(1)).alias("Frequency"),
         F.sum(F.col("TotalDue").cast(MONEY)).cast("double").alias("Monetary"),
         F.min("OrderDate").alias("FirstPurchase"))
 
 
-def start_rfm_stream(spark: SparkSession, path: str, checkpoint: str, query_name: str = "rfm_state"):
-    """Start the stream into an in-memory table (tests / dashboards) with a
-    checkpoint in the shared folder, so a restarted driver resumes.  The
-    in-memory table is rewritten each trigger (complete mode: one row per
-    customer); a table sink would use update mode with a merge per batch."""
-    return (rfm_state_stream(spark, path).writeStream.outputMode("complete").format("memory")
-            .queryName(query_name).option("checkpointLocation", checkpoint).start())
+def start_rfm_stream(spark: SparkSession, path: str, table: str, checkpoint: str, watermark: str):
+    """Start the stream into the folder ``table``; table and checkpoint are in
+    shared storage, so a restarted driver resumes."""
+    def store(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
+    return (rfm_state_stream(spark, path, watermark).writeStream.outputMode("update").foreachBatch(store)
+            .option("checkpointLocation", checkpoint).start())
+
+
+def latest_state(spark: SparkSession, table: str) -> DataFrame:
+    """Each customer's state after the last batch that changed it."""
+    cols = ["LastOrder", "Frequency", "Monetary", "FirstPurchase"]
+    rows = spark.read.option("basePath", table).parquet(table)
+    return rows.groupBy("CustomerID").agg(F.max_by(F.struct(*cols), "batch").alias("s")).select("CustomerID", "s.*")
 
 
 def rfm_from_state(state: DataFrame) -> DataFrame:

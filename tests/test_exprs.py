@@ -56,8 +56,8 @@ def test_risk_segments_x24(spark):
 
 def test_retention_impact_x23(spark):
     df = spark.createDataFrame([(1, 0.15, 50000.0), (2, 0.15, 0.0)], "CustomerID int, p double, clv double")
-    out = {(r["CustomerID"], r["RetentionCost"]): r for r in
-           ch.retention_impact(df, "p", "clv", costs=(5000.0, 0.0)).collect()}
+    out = {(r["CustomerID"], r["RetentionCost"]): r for cost in (5000.0, 0.0) for r in
+           ch.retention_impact(df, "p", "clv", cost).collect()}
     r = out[(1, 5000.0)]
     assert r["ExpectedLoss"] == pytest.approx(7500.0)
     assert r["RetentionROI"] == pytest.approx(50.0)

@@ -3,7 +3,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from ledgerlens.sources.tables import Catalog
-from ledgerlens.streaming.incremental import rfm_from_state, start_rfm_stream
+from ledgerlens.streaming.incremental import latest_state, rfm_from_state, start_rfm_stream
 from ledgerlens.operators.value import calculate_rfm
 
 SMOKE = "/root/testdata/sf0.001"
@@ -15,12 +15,13 @@ def test_streaming_rfm_matches_batch(spark):
     ckpt = tempfile.mkdtemp(prefix="ledgerlens-stream-ckpt-", dir="/tmp")
     cut = og.agg(F.max("OrderDate")).collect()[0][0].replace(month=1, day=1)  # orders arrive by date
     og.where(F.col("OrderDate") < F.lit(cut)).write.mode("append").parquet(src)
-    q = start_rfm_stream(spark, src, ckpt, "rfm_state_test")
+    table = tempfile.mkdtemp(prefix="ledgerlens-stream-table-", dir="/tmp")
+    q = start_rfm_stream(spark, src, table, ckpt, "30 days")
     try:
         q.processAllAvailable()
         og.where(F.col("OrderDate") >= F.lit(cut)).write.mode("append").parquet(src)
         q.processAllAvailable()
-        state = spark.sql("SELECT * FROM rfm_state_test")
+        state = latest_state(spark, table)
         assert state.count() == state.select("CustomerID").distinct().count()
         got = {r["CustomerID"]: r for r in rfm_from_state(state).collect()}
     finally:

@@ -271,7 +271,8 @@ def concordance_index(df: DataFrame, duration_col: str, risk_col: str, event_col
     pos = row_index(d, ["t", "r", "_id"], out_col="x").select(
         F.lit(0).alias("_k"), F.lit(0).cast("long").alias("tid"), "x", F.col("r").alias("z"), "e")
     n = collect_scalars(d.agg(F.count(F.lit(1))))[0]
-    conc = _count_dominated(pos, "_k", max(1, int(n - 1).bit_length()), strict=True, weight_col="e").get((0, 0), 0)
+    counted = _count_dominated(pos, "_k", max(1, int(n - 1).bit_length()), strict=True, weight_col="e")
+    conc = collect_scalars(counted.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("c")))[0]
     d.unpersist()
     return (conc + 0.5 * ties) / adm
 

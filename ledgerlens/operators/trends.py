@@ -4,24 +4,30 @@ slope = median over all pairs i < j of (y_j - y_i) / (j - i), where i, j are
 positions of the customer's lines in a total order (OrderDate, then order,
 line and product keys).  Customers with fewer than 3 lines get 0.
 
-Two exact paths, chosen per customer by line count:
+Values are taken as whole multiples of 1 / ``SCALE``, so differences are exact
+and a slope is one rounding of a quotient of whole numbers.  Two ways of taking
+the median give the same double:
 
 * light (n <= LOCAL_MAX, virtually every customer): the customer's lines are
   grouped into one pandas batch (bounded size) and the median is taken over
   the pairwise slopes in numpy.
 * heavy (n > LOCAL_MAX): nothing of the customer is gathered in one task.
-  The median slope is found by bisection on the slope value t; the number
-  of pairs with slope <= t equals the number of pairs i < j with
-  z_i >= z_j for z = y - t * x, which is counted as a sum over bit levels
-  of the position: at level l the pairs whose positions first differ in bit
-  l are (left half, right half) of one block, counted by one range-sorted
-  pass with per-partition offsets (see ``_count_dominated``).
+  The middle slopes are found by bisection over the doubles t.  A rounded
+  slope is at most t if the exact one is at most T, the middle between t and
+  the next double, and never equals T.  With T = m / p in whole numbers that
+  is z_i >= z_j for z = y * p - m * x, in exact decimals.  Such pairs are
+  counted as a sum over bit levels of the position: at level l the pairs whose
+  positions first differ in bit l are (left half, right half) of one block,
+  counted by one range-sorted pass with per-partition offsets (see
+  ``_count_dominated``).  The state of the search is a table joined by key.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -30,17 +36,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators.order_stats import _differs
+from ledgerlens.session import stored
 
 LOCAL_MAX = 2048  # light path: at most ~2.1M pairwise slopes (~50 MB transient numpy) per customer
 
 
+SCALE = 1_000_000  # values have at most six decimals
+WAYS = 7  # thresholds tested in a pass, for three bits of the result
+
+
 def _median_pair_slope(y: np.ndarray) -> float:
+    """Median slope of whole numbers."""
     n = len(y)
     if n < 3:
         return 0.0
     i, j = np.triu_indices(n, k=1)
     slopes = (y[j] - y[i]) / (j - i).astype(np.float64)
-    return float(np.median(slopes))
+    return float(np.median(slopes)) / SCALE
 
 
 def theil_sen_trends(lines: DataFrame, targets: dict[str, str], order_cols: list[str],
@@ -55,7 +67,8 @@ def theil_sen_trends(lines: DataFrame, targets: dict[str, str], order_cols: list
     local_max = LOCAL_MAX if local_max is None else local_max
     ycols = list(dict.fromkeys(targets.values()))
     targets = {out: f"_y_{y}" for out, y in targets.items()}
-    base = lines.select(key, *order_cols, *[F.col(c).cast("double").alias(f"_y_{c}") for c in ycols])
+    whole = lambda c: F.round(F.col(c).cast("double") * SCALE).cast("bigint")
+    base = lines.select(key, *order_cols, *[whole(c).alias(f"_y_{c}") for c in ycols])
     counts = base.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     sized = base.join(counts, on=key, how="inner")
     light = sized.where(F.col("_n") <= local_max).drop("_n")
@@ -79,7 +92,7 @@ def _field(name: str):
 
 
 def _median_slopes(ys: pd.Series) -> pd.Series:
-    return pd.Series([_median_pair_slope(np.asarray(y, dtype=np.float64)) for y in ys], dtype="float64")
+    return pd.Series([_median_pair_slope(np.asarray(y, dtype=np.int64)) for y in ys], dtype="float64")
 
 
 def _has_rows(df: DataFrame) -> bool:
@@ -103,8 +116,8 @@ def _i2f(i: int) -> float:
 
 
 def _count_dominated(points: DataFrame, key: str, n_levels: int, strict: bool = False,
-                     weight_col: str | None = None) -> dict:
-    """For each (key, tid): number of pairs (i < j) with z_i >= z_j.
+                     weight_col: str | None = None) -> DataFrame:
+    """key, tid, cnt: the number of pairs (i < j) with z_i >= z_j.
 
     ``points``: key, tid, x (0..n-1 position), z.
     Each point is emitted once per bit level l; at level l a point belongs to
@@ -131,7 +144,7 @@ def _count_dominated(points: DataFrame, key: str, n_levels: int, strict: bool =
     half_order = F.col("half").desc() if strict else F.col("half").asc()
     ordered = (exploded.repartitionByRange(n_parts, *[F.col(c) for c in keys], F.col("z").desc(), half_order)
                .sortWithinPartitions(*keys, F.col("z").desc(), half_order)
-               .withColumn("_pid", F.spark_partition_id()))
+               .withColumn("_pid", F.spark_partition_id())).select("_pid", *keys, "half", "w")
     key_type = points.schema[key].dataType
     schema = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField(key, key_type),
                            T.StructField("tid", T.LongType()), T.StructField("lvl", T.IntegerType()),
@@ -167,63 +180,75 @@ def _count_dominated(points: DataFrame, key: str, n_levels: int, strict: bool =
         F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"), F.sum("local").alias("local"))
     w = Window.partitionBy(key, "tid", "lvl", "blk").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     combined = summary.withColumn("_off", F.coalesce(F.sum("n_left").over(w), F.lit(0)))
-    totals = combined.groupBy(key, "tid").agg(
-        F.sum(F.col("local") + F.col("n_right") * F.col("_off")).alias("cnt")).collect()
-    return {(r[key], r["tid"]): int(r["cnt"]) for r in totals}
+    return combined.groupBy(key, "tid").agg(
+        F.sum(F.col("local") + F.col("n_right") * F.col("_off")).alias("cnt"))
+
+
+def _threshold(t: float, n: int) -> tuple[int, int]:
+    """m, p with m / p between the exact slopes that round to t or less and the others (p a power of two).
+
+    Slopes of n lines are 0 or at least 1 / n, so thresholds nearer to 0 than
+    that can be moved without changing which slopes they part.
+    """
+    least = Fraction(1, 1 << (n.bit_length() + 1))
+    part = (Fraction(t) + Fraction(math.nextafter(t, math.inf))) / 2
+    if abs(part) < least:
+        part = least if t >= 0 else -least
+    return part.numerator, part.denominator
+
+
+def _thresholds(lo: pd.Series, hi: pd.Series, n: pd.Series, way: pd.Series) -> pd.DataFrame:
+    """The ``way``-th of WAYS doubles between two, and what parts the slopes there."""
+    mids = [a + (b - a) * w // (WAYS + 1) for a, b, w in zip(lo.tolist(), hi.tolist(), way.tolist())]
+    parts = [_threshold(_i2f(m), k) for m, k in zip(mids, n.tolist())]
+    return pd.DataFrame({"mid": mids, "m": [Decimal(a) for a, _ in parts], "p": [Decimal(b) for _, b in parts]})
+
+
+def _doubles(i: pd.Series) -> pd.Series:
+    return i.map(_i2f).astype("float64")
+
+
+def _images(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: _f2i(float(x))).astype("int64")
 
 
 def _heavy_trends(heavy: DataFrame, targets: dict[str, str], order: list[str], key: str,
                   out_schema: T.StructType) -> DataFrame:
     from ledgerlens.operators.order_stats import row_index
 
-    spark = heavy.sparkSession
-    indexed = row_index(heavy, order, [key], out_col="x").persist()
-    stats = indexed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("xmax"),
-                                     *[F.min(c).alias(f"min_{c}") for c in set(targets.values())],
-                                     *[F.max(c).alias(f"max_{c}") for c in set(targets.values())]).collect()
-    n_levels = max(1, int(max(r["xmax"] for r in stats)).bit_length())
-    # search state per (key, output, which order statistic)
-    state = []
-    for r in stats:
-        n = r["n"]
-        npairs = n * (n - 1) // 2
-        ks = sorted({(npairs - 1) // 2, npairs // 2})
-        for out, ycol in targets.items():
-            span = (r[f"max_{ycol}"] - r[f"min_{ycol}"])
-            lo, hi = _f2i(-abs(span) - 1.0), _f2i(abs(span) + 1.0)
-            for k in ks:
-                state.append({"key": r[key], "out": out, "y": ycol, "k": k, "lo": lo, "hi": hi})
-    # invariant: count(slope <= f(lo)) <= k  < count(slope <= f(hi))
-    while any(s["hi"] - s["lo"] > 1 for s in state):
-        active = [s for s in state if s["hi"] - s["lo"] > 1]
-        rows = []
-        for tid, s in enumerate(active):
-            s["mid"] = (s["lo"] + s["hi"]) // 2
-            rows.append((s["key"], tid, s["y"], _i2f(s["mid"])))
-        tdf = spark.createDataFrame(rows, T.StructType([
-            T.StructField(key, heavy.schema[key].dataType), T.StructField("tid", T.LongType()),
-            T.StructField("ycol", T.StringType()), T.StructField("t", T.DoubleType())]))
-        yexpr = None
-        for ycol in set(targets.values()):
-            cond = F.col("ycol") == F.lit(ycol)
-            yexpr = F.when(cond, F.col(ycol)) if yexpr is None else yexpr.when(cond, F.col(ycol))
-        pts = indexed.join(F.broadcast(tdf), on=key, how="inner").select(
-            key, "tid", "x", (yexpr - F.col("t") * F.col("x").cast("double")).alias("z"))
-        counts = _count_dominated(pts, key, n_levels)
-        for tid, s in enumerate(active):
-            if counts.get((s["key"], tid), 0) > s["k"]:
-                s["hi"] = s["mid"]
-            else:
-                s["lo"] = s["mid"]
-    indexed.unpersist()
-    res: dict = {}
-    for s in state:
-        res.setdefault((s["key"], s["out"]), []).append(_i2f(s["hi"]))
-    rows = []
-    for r in stats:
-        row = [r[key]]
-        for out in targets:
-            vals = res[(r[key], out)]
-            row.append(float(sum(vals) / len(vals)) if r["n"] >= 3 else 0.0)
-        rows.append(tuple(row))
-    return spark.createDataFrame(rows, out_schema)
+    ycols = sorted(set(targets.values()))
+    indexed = row_index(heavy, order, [key], out_col="x").select(key, "x", *ycols)
+    indexed = stored(indexed, "lines")
+    image, double = F.pandas_udf(_images, T.LongType()), F.pandas_udf(_doubles, T.DoubleType())
+    threshold = F.pandas_udf(_thresholds, "mid bigint, m decimal(38,0), p decimal(38,0)")
+    stats = indexed.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
+                                     *[(F.max(c) - F.min(c)).cast("double").alias(f"span{c}") for c in ycols])
+    n_levels = max(1, int(stats.agg(F.max("n")).first()[0]).bit_length())
+    n_pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
+    wanted = [F.struct(F.lit(out).alias("out"), F.lit(y).alias("y"), r.alias("k"), (F.col(f"span{y}") + 1.0).alias("span"))
+              for out, y in targets.items()
+              for r in (((n_pairs - 1) / 2).cast("bigint"), (n_pairs / 2).cast("bigint"))]
+    state = stats.select(key, "n", F.posexplode(F.array(*wanted)).alias("tid", "s")).select(
+        key, "n", F.col("tid").cast("bigint").alias("tid"), "s.out", "s.y", "s.k",
+        image(-F.col("s.span")).alias("lo"), image(F.col("s.span")).alias("hi"))
+    state = stored(state, "state")
+    # count(slope <= lo) <= k < count(slope <= hi)
+    while not (active := state.where(F.col("hi") - 1 > F.col("lo"))).isEmpty():
+        ways = active.withColumn("way", F.explode(F.sequence(F.lit(1), F.lit(WAYS))))
+        ways = ways.withColumn("t", threshold("lo", "hi", "n", "way")).where("t.mid > lo")
+        asked = stored(ways.select(key, (F.col("tid") * (WAYS + 1) + F.col("way")).alias("tid"), "y", "t.*"), "asked")
+        y = F.coalesce(*[F.when(F.col("y") == c, F.col(c)) for c in ycols]).cast("decimal(20,0)")
+        z = y * F.col("p") - F.col("m") * F.col("x").cast("decimal(20,0)")
+        counts = _count_dominated(indexed.join(asked, key).select(key, "tid", "x", z.alias("z")), key, n_levels)
+        found = asked.join(counts, [key, "tid"], "left").select(
+            key, F.floor(F.col("tid") / (WAYS + 1)).alias("tid"), "mid", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+        found = found.join(state.select(key, "tid", "k"), [key, "tid"])
+        bounds = found.groupBy(key, "tid").agg(F.max(F.when(F.col("cnt") <= F.col("k"), F.col("mid"))).alias("above"),
+                                               F.min(F.when(F.col("cnt") > F.col("k"), F.col("mid"))).alias("below"))
+        state = stored(state.join(bounds, [key, "tid"], "left").select(
+            key, "n", "tid", "out", "y", "k", F.coalesce("above", "lo").alias("lo"), F.coalesce("below", "hi").alias("hi")), "state")
+    slope = state.select(key, "n", "out", double("hi").alias("v"))
+    middle = lambda out: F.sum(F.when(F.col("out") == out, F.col("v"))) / 2 / SCALE
+    return slope.groupBy(key).agg(*[
+        F.when(F.max("n") >= 3, middle(out)).otherwise(0.0).alias(out) for out in targets]).select(
+        *[F.col(f.name).cast(f.dataType) for f in out_schema])

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "ledgerlens", master: str | None = None,
@@ -71,3 +72,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows written to the shared checkpoint folder and read again.
+
+    Cuts lineage as ``checkpoint()`` does, and the plan's size estimates start
+    anew from the files, which loops need.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,13 +37,16 @@ def test_theil_sen_heavy_path_matches_brute_force(spark):
     rows = []
     for c, n in ((1, 23), (2, 17), (3, 2)):
         for i in range(n):
-            rows.append((c, i, float(rng.integers(1, 20)), float(rng.integers(1, 9)), "a"))
+            rows.append((c, i, float(rng.integers(1, 20)), round(float(rng.normal(0, 1e4)), 2), "a"))
     df = lines(spark, rows)
     order = ["OrderDate", "SalesOrderID", "LineNumber", "ProductID", "SupplierID", "OrderQty", "UnitPrice"]
-    got = {r["CustomerID"]: r["t"] for r in theil_sen_trends(df, {"t": "OrderQty"}, order, local_max=5).collect()}
+    both = {"q": "OrderQty", "t": "TotalDue"}
+    heavy = {r["CustomerID"]: (r["q"], r["t"]) for r in theil_sen_trends(df, both, order, local_max=0).collect()}
+    light = {r["CustomerID"]: (r["q"], r["t"]) for r in theil_sen_trends(df, both, order).collect()}
+    assert heavy == light  # bit by bit
     for c in (1, 2, 3):
-        ys = [q for cc, _, q, _, _ in rows if cc == c]
-        assert got[c] == pytest.approx(brute_theil(ys), abs=1e-9)
+        assert light[c][0] == pytest.approx(brute_theil([r[2] for r in rows if r[0] == c]), abs=1e-9)
+        assert light[c][1] == pytest.approx(brute_theil([r[3] for r in rows if r[0] == c]), abs=1e-9)
 
 
 def test_consistency_x8(spark):

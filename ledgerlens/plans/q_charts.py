@@ -146,9 +146,30 @@ def cht8_uplift_curve(spark, sf_dir):
                    "uplift": 12})
 
 
-@query("cht9_bass_diffusion")
+def _det(a, b, c, d, e, f, g, h, i):
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+_BASS_DET = _det("k", "n1", "n2", "n1", "n2", "n3", "n2", "n3", "n4")
+_BASS_SUMS = ", ".join(f"sum(CAST(pow(N, {i}) AS DOUBLE)) AS n{i}" for i in range(1, 5))
+
+
+@query("cht9_bass_diffusion", with_ctes("sales") + f""",
+f AS (SELECT CustomerID, min(year(OrderDate) * 12 + month(OrderDate)) AS m FROM sales GROUP BY CustomerID),
+mt AS (SELECT m - min(m) OVER () + 1 AS t, s, coalesce(sum(s) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS N
+       FROM (SELECT m, count(*) AS s FROM f GROUP BY m)),
+x AS (SELECT count(*)::DOUBLE AS k, {_BASS_SUMS}, sum(s)::DOUBLE AS y0, sum(s * N) AS y1, sum(s * N * N) AS y2 FROM mt),
+c AS (SELECT {_det("y0", "n1", "n2", "y1", "n2", "n3", "y2", "n3", "n4")} / {_BASS_DET} AS a,
+             {_det("k", "y0", "n2", "n1", "y1", "n3", "n2", "y2", "n4")} / {_BASS_DET} AS b,
+             {_det("k", "n1", "y0", "n1", "n2", "y1", "n2", "n3", "y2")} / {_BASS_DET} AS c FROM x),
+d AS (SELECT a, b, (-b - sqrt(b * b - 4 * a * c)) / (2 * c) AS m FROM c),
+p AS (SELECT m, a / m AS p, a / m + b AS q FROM d)
+SELECT CAST(t AS BIGINT) AS t, CAST(sum(s) OVER (ORDER BY t) AS BIGINT) AS adoption,
+       round(p.m * (1 - exp(-(p.p + p.q) * t)) / (1 + p.q / p.p * exp(-(p.p + p.q) * t)), 2) AS fitted_adoption,
+       round(p.p, 6) AS p, round(p.q, 6) AS q, round(p.q / p.p, 3) AS q_over_p, round(p.m, 2) AS m FROM mt, p""")
 def cht9_bass_diffusion(spark, sf_dir):
-    return chx.bass_diffusion(catalog(spark, sf_dir).sales_lines())
+    out = chx.bass_diffusion(catalog(spark, sf_dir).sales_lines())
+    return finish(out, {"t": None, "adoption": None, "fitted_adoption": 2, "p": 6, "q": 6, "q_over_p": 3, "m": 2})
 
 
 @query("cht10_waterfall", with_ctes("sales") + """

@@ -77,12 +77,6 @@ def right_closed_bins(x: str | Column, edges: Sequence[float], labels: Sequence[
     return expr.otherwise(F.lit(None).cast("string"))
 
 
-def clip_lower(x: str | Column, lo: float) -> Column:
-    """pandas clip(lower=lo): NULL stays NULL."""
-    x = col(x)
-    return F.when(x.isNull(), x).otherwise(F.greatest(x, F.lit(lo)))
-
-
 def min_guarded(x: str | Column, cap: float) -> Column:
     """min(x, cap) that keeps NULL (Spark's least() would return cap)."""
     x = col(x)
@@ -99,11 +93,6 @@ def logistic(x: str | Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col(x)))
 
 
-def nan_to_null(x: str | Column) -> Column:
-    x = col(x)
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
-
-
 def finite_or(x: str | Column, nan: float = 0.0, posinf: float = 1e6, neginf: float = -1e6) -> Column:
     """numpy nan_to_num: NULL/NaN -> nan, +inf -> posinf, -inf -> neginf."""
     x = col(x).cast("double")
@@ -115,11 +104,6 @@ def finite_or(x: str | Column, nan: float = 0.0, posinf: float = 1e6, neginf: fl
     )
 
 
-def safe_corr(cov: Column, sd_x: Column, sd_y: Column) -> Column:
-    """Pearson r from covariance and standard deviations; NULL if constant."""
-    return F.try_divide(cov, sd_x * sd_y)
-
-
 def first_match(cases: Sequence[tuple[Column, str]], default: str | None) -> Column:
     """Chained when(): the first true condition wins."""
     expr = None

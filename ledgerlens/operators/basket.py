@@ -57,6 +57,8 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, max_len: in
     ``items`` optionally restricts mining to a given item list (MBK-4);
     the basket count stays the full count.
     """
+    if not 1 <= max_len <= 3:
+        raise ValueError("itemsets of 1 to 3 items are mined")
     bi = baskets.select("basket_id", "item").distinct()
     if items is not None:
         bi = bi.join(F.broadcast(items.select("item")), "item", "left_semi")

@@ -179,6 +179,17 @@ def dsh12_promotion_roi(spark, sf_dir):
                         "UptakePct": None, "Responders": None, "IncrementalRevenue": 2, "ROI": 6, "NetReturn": 2})
 
 
+@query("src10_event_coercion", """
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(props AS DOUBLE) AS props_number,
+       TRY_CAST(event_type AS DOUBLE) AS type_number FROM events""")
+def src10_event_coercion(spark, sf_dir):
+    """Texts as numbers where they are some, else NULL."""
+    from ledgerlens.sources.extracts import coerce
+    return catalog(spark, sf_dir).events().select(
+        "event_id", coerce(F.get_json_object("props", "$.k"), "bigint").alias("k"),
+        coerce(F.col("props"), "double").alias("props_number"), coerce(F.col("event_type"), "double").alias("type_number"))
+
+
 @query("src5_territories", """
 SELECT CAST(n.n_nationkey AS BIGINT) AS TerritoryID, n.n_name AS Name, CAST(n.n_regionkey AS VARCHAR) AS CountryRegionCode,
        r.r_name AS "Group", round(coalesce(s.ytd, 0.0), 2) AS SalesYTD, round(coalesce(s.ly, 0.0), 2) AS SalesLastYear

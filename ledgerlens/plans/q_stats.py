@@ -55,6 +55,30 @@ def sta1_chi_square_yates(spark, sf_dir):
     return finish(st.chi_square_test(_typed_clv(spark, sf_dir), "CustomerType", "Churned"), TEST_SPEC)
 
 
+@query("sta1_expected_counts", with_ctes("clv", "customers") + """,
+d AS (SELECT k.Segment AS a, CAST(c.Recency > 365 AS INTEGER) AS b FROM clv c LEFT JOIN customers k ON c.CustomerID = k.CustomerID),
+obs AS (SELECT a, b, count(*) AS o FROM d WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY a, b)
+SELECT a AS Segment, b AS Churned, o AS observed,
+       round(sum(o) OVER (PARTITION BY a)::DOUBLE * sum(o) OVER (PARTITION BY b)::DOUBLE / sum(o) OVER ()::DOUBLE, 8) AS expected
+FROM obs""")
+def sta1_expected_counts(spark, sf_dir):
+    out = st.contingency(_typed_clv(spark, sf_dir), "Segment", "Churned")
+    return finish(out, {"Segment": None, "Churned": None, "observed": None, "expected": 8})
+
+
+@query("sta1_goodness_of_fit", with_ctes("customers") + f""",
+o AS (SELECT Segment, count(*)::DOUBLE AS n FROM customers WHERE Segment IS NOT NULL GROUP BY Segment),
+s AS (SELECT sum((n - e) * (n - e) / e) AS chi, count(*) - 1 AS dof FROM o, (SELECT avg(n) AS e FROM o))
+SELECT round(chi, 8) AS chi2, round({pv.sql_chi2_sf('chi', 'dof')}, 8) AS p_value, dof AS degrees_of_freedom,
+       {pv.sql_chi2_sf('chi', 'dof')} < 0.05 AS significant FROM s""")
+def sta1_goodness_of_fit(spark, sf_dir):
+    """Customers per market segment against equal shares."""
+    counts = catalog(spark, sf_dir).customers().where(F.col("Segment").isNotNull()).groupBy("Segment").agg(
+        F.count(F.lit(1)).cast("double").alias("n"))
+    equal = counts.agg(F.avg("n").alias("e"))  # one row
+    return finish(st.chi_square_goodness_of_fit(counts.withColumn("e", equal.scalar()), "n", "e"), TEST_SPEC)
+
+
 @query("sta2_t_test", with_ctes("clv", "customers") + f""",
 g AS (SELECT CASE WHEN k.StoreID IS NOT NULL THEN 'Store' ELSE 'Individual' END AS grp, c.PredictedCLV AS v
       FROM clv c LEFT JOIN customers k ON c.CustomerID = k.CustomerID WHERE c.PredictedCLV IS NOT NULL),

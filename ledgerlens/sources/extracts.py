@@ -87,6 +87,8 @@ class Bundle:
             v.unpersist()
 
 
-def load_bundle(catalog) -> Bundle:
+def load_bundle(catalog, **others: DataFrame) -> Bundle:
+    """Sales lines, customers and territories of the catalog, and extracts the
+    caller has tables for: demographics, special_offers, sales_reasons, ..."""
     return Bundle({"sales_orders": catalog.sales_lines(), "customers": catalog.customers(),
-                   "territories": catalog.territories()})
+                   "territories": catalog.territories(), **others})

@@ -149,9 +149,6 @@ class Catalog:
     def events(self) -> DataFrame:
         return self.raw("events")
 
-    def embeddings(self) -> DataFrame:
-        return self.raw("embeddings")
-
 
 def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the smallest row by ``order`` (min_by on a struct).

@@ -108,6 +108,15 @@ def test_spearman_ranks_pairwise_complete_rows(spark):
     assert out[("x", "x")] == pytest.approx(1.0)
 
 
+def test_granger_finds_the_cause():
+    from ledgerlens.operators.timeseries import granger_min_p
+    r = np.random.default_rng(9)
+    x, noise = r.normal(size=200), r.normal(size=200)
+    y = np.concatenate([[0.0], x[:-1]]) + 0.3 * noise
+    assert granger_min_p(y, x, 4) < 1e-10
+    assert granger_min_p(r.normal(size=200), noise, 4) > 1e-4
+
+
 def test_p_values_for_many_degrees_of_freedom():
     assert pv.f_sf(1.0, 5e9, 5e9) == pytest.approx(0.5, abs=1e-9)
     assert pv.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, rel=1e-9)

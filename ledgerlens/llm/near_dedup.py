@@ -6,12 +6,13 @@ coordinate k of the signature is the least value of a second permutation that
 is shifted circularly by k, so the two permutations give all coordinates.
 
 Banding: ``BANDS`` bands of ``ROWS`` coordinates.  Two sets of similarity 0.8
-miss all 40 bands of four coordinates with a probability of about 7e-10.
+miss all 40 bands of five coordinates with a probability of about 1e-7.
 
 Equal sets form a class and only classes go on, so copies are never paired.
 Within a bucket (classes that agree in a band) not all pairs are tested: a
-bucket of few pairs for its members (``SPREAD`` each) is tested whole, a larger
-one round by round.  A round tests each member with one hub of its bucket, and
+bucket of few pairs for its members (``SPREAD`` each) is tested whole, as are
+all once the pairs that are left are few for the classes; a larger one goes
+round by round (the first round takes ``OPENING`` bands, which join most copies).  A round tests each member with one hub of its bucket, and
 links that are confirmed join components.  A bucket is finished when its
 members form one component, since a further link in it would change nothing;
 pairs within a component are never counted as left over.  What is still open
@@ -44,8 +45,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import Scratch, pick
 
 WORD = rb"[^\x20\x09-\x0D]+"
-BANDS, ROWS = 40, 4
-ROUNDS, SPREAD = 6, 4
+BANDS, ROWS = 40, 5
+OPENING, ROUNDS, SPREAD = 8, 6, 2
 SIGNED = "doc_id bigint, text_key bigint, n_shingles bigint, class bigint, bands array<bigint>"
 
 # Odd multipliers of the two permutations of the 32-bit universe.
@@ -163,23 +164,29 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         small = scratch.write(small, "small")
-        if checksum(small) == checksum(edges):
+        # done when every id has one edge and it leads to an id that has none
+        roots = small.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
+        unfinished = small.select("b").distinct().join(small.select(F.col("a").alias("b")), "b", "left_semi")
+        if roots.where("n > 1").isEmpty() and unfinished.isEmpty():
             return small.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
                 small.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         edges = small
 
 
-def checksum(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.hash("b", "a").cast("bigint"))).first()
-
-
 def linked(docs: DataFrame, classes: DataFrame, buckets: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame | None:
     """id, component of all classes that have a link.  ``buckets``: band, key, id, n of those with several ids."""
     texts = tested = parts = None
+    n_classes = classes.count()
     for r in range(ROUNDS + 1):
-        rows = scratch.write(unfinished(buckets, parts, scratch), "open")
-        few = F.lit(r == ROUNDS) | (F.col("left") <= SPREAD * F.col("members"))
-        pairs = leftover(rows.where(few)).union(hubs(rows.where(~few), r, scratch))
+        if r:
+            several = scratch.write(contested(buckets, parts), "several")
+            rest = several.agg(F.sum("left")).first()[0] or 0
+            rows = scratch.write(buckets_with(buckets, parts, several), "open")
+            few = F.lit(r == ROUNDS or rest <= SPREAD * n_classes) | (F.col("left") <= SPREAD * F.col("members"))
+            pairs = leftover(rows.where(few)).union(hubs(rows.where(~few), r, scratch))
+            buckets = rows.where(~few).select("band", "key", "id", "n")
+        else:
+            pairs = hubs(labelled(buckets.where(F.col("band") < OPENING), None), r, scratch)
         pairs = pairs.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
         pairs = pairs.select("a", "b").distinct()
         if tested is not None:
@@ -197,7 +204,6 @@ def linked(docs: DataFrame, classes: DataFrame, buckets: DataFrame, scratch: Scr
                 found = found.union(parts.toDF("a", "b"))
             parts = scratch.write(components(found, scratch), "parts")
             tested = pairs if tested is None else tested.union(pairs)
-        buckets = rows.where(~few).select("band", "key", "id", "n")
         if buckets.isEmpty():
             return parts
 
@@ -208,21 +214,29 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInPandas(verifier(size, percent), "a bigint, b bigint")
 
 
-def unfinished(buckets: DataFrame, parts: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """The rows of buckets that hold several components; ``left``: a bucket's pairs between components."""
-    rows = buckets.withColumn("component", F.col("id"))
-    if parts is not None:
-        rows = buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = rows.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("of"))
+def labelled(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
+    if parts is None:
+        return buckets.withColumn("component", F.col("id"))
+    return buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def contested(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The buckets that hold several components; ``left``: a bucket's pairs between components."""
+    sizes = labelled(buckets, parts).groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("of"))
     of = F.col("of").cast("double")
     several = sizes.groupBy("band", "key").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("of").alias("members"), ((F.sum(of) * F.sum(of) - F.sum(of * of)) / 2).alias("left"))
-    return rows.join(scratch.write(several.where("parts > 1").drop("parts"), "several"), ["band", "key"])
+    return several.where("parts > 1").drop("parts")
+
+
+def buckets_with(buckets: DataFrame, parts: DataFrame | None, several: DataFrame) -> DataFrame:
+    return labelled(buckets, parts).join(several, ["band", "key"])
 
 
 def hubs(rows: DataFrame, r: int, scratch: Scratch) -> DataFrame:
     """Each row of a bucket with the bucket's hub of round r."""
-    order = F.struct(F.xxhash64("component", F.lit(r)).alias("o"), "id", "n", "component")
+    # at first the smallest id, which is what components are named by; then another component each round
+    order = F.struct((F.xxhash64("component", F.lit(r)) if r else F.col("id")).alias("o"), "id", "n", "component")
     hub = rows.groupBy("band", "key").agg(F.min(order).alias("hub"))
     hub = scratch.write(hub.select("band", "key", F.col("hub.id").alias("h"), F.col("hub.n").alias("n_h"), F.col("hub.component").alias("c_h")), "hubs")
     pairs = rows.join(hub, ["band", "key"]).where("c_h <> component")

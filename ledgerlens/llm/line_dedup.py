@@ -5,8 +5,9 @@ the host's pages and on more than ``percent`` per cent of them.  Pages are
 reduced to distinct lines before anything is shuffled, lines are counted per
 (host, line) with map-side combining, and what is left after the threshold is
 small: on average a host has at most (distinct lines of a page) * 100 /
-``percent`` such lines.  That list joins the pages by host; Spark broadcasts it
-only when its measured size allows, and otherwise splits a hot host's pages.
+``percent`` such lines.  The lists are written to the shared folder and join the
+pages by host; Spark broadcasts the written table only when its size allows
+(pages are then not shuffled), and otherwise can split a hot host's pages.
 
 Lines end at ``\\n``; blank lines are never dropped.  Null text counts as empty
 and null host as the host named ''.  Every row gives a row, repeated rows count
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import pick
+from ledgerlens.llm.common import Scratch, pick
 
 PERCENT = 5
 MIN_PAGES = 5
@@ -43,8 +44,9 @@ def clean_lines(docs: DataFrame, percent: int = PERCENT, min_pages: int = MIN_PA
         F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains("drop", x)))
+    lists = Scratch(docs.sparkSession, "boilerplate").write(boilerplate(pages, percent, min_pages))
     return (
-        pages.join(boilerplate(pages, percent, min_pages), "host", "left")
+        pages.join(lists, "host", "left")
         .select("doc_id", "lang", "source", F.size("lines").cast("bigint").alias("n_lines"), kept.alias("kept"))
         .select("doc_id", F.array_join("kept", "\n").alias("text"), "lang", "source", "n_lines",
                 (F.col("n_lines") - F.size("kept")).alias("n_removed"))

@@ -46,9 +46,9 @@ SCORED = "doc_id bigint, n_words bigint, n_by_order array<bigint>, log_score dou
 
 
 class Exploded:
-    """The n-grams of a chunk: ``keys`` sorted and distinct, ``at[m]`` the number of the (m+1)-gram that ends at each word or -1."""
+    """The n-grams of a chunk: ``keys`` sorted and distinct; ``ends[m]`` the words that end an (m+1)-gram, ``numbers[m]`` which one."""
 
-    def __init__(self, texts: list[str], order: int):
+    def __init__(self, texts: list[str], order: int, placed: bool = True):
         find, known = re.compile(WORD.encode()).findall, {}
         words, sizes = [], []
         for t in texts:
@@ -59,6 +59,7 @@ class Exploded:
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         digest = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in known), dtype="uint64", count=len(known))
         hashes = digest[np.concatenate(words)] if words else np.empty(0, dtype="uint64")
+        del words, known
         place = np.arange(len(hashes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         key, parts, self.ends = np.zeros(len(hashes), dtype="uint64"), [], []
         with np.errstate(over="ignore"):
@@ -71,10 +72,14 @@ class Exploded:
                 key ^= key >> np.uint64(32)
                 parts.append(key[end])
                 self.ends.append(end)
-        self.keys, number, self.counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        self.at = np.full((order, len(hashes)), -1, dtype="int64")
-        for m, own in enumerate(np.split(number, np.cumsum([len(e) for e in self.ends])[:-1])):
-            self.at[m, self.ends[m]] = own
+        del hashes, key, place
+        keys, sizes = np.concatenate(parts), [len(e) for e in self.ends]
+        del parts
+        if placed:
+            self.keys, number = np.unique(keys, return_inverse=True)
+            self.numbers = np.split(number, np.cumsum(sizes)[:-1])
+        else:
+            self.keys, self.counts = np.unique(keys, return_counts=True)
 
     def slices(self, buckets: int) -> np.ndarray:
         """Where each bucket's keys end."""
@@ -83,7 +88,7 @@ class Exploded:
 
     def others(self, totals: np.ndarray, m: int) -> np.ndarray:
         """For each word, how often the other documents have the (m+1)-gram that ends at it."""
-        end, number = self.ends[m], self.at[m, self.ends[m]]
+        end, number = self.ends[m], self.numbers[m]
         _, same, own = np.unique(self.doc[end] * np.int64(len(self.keys)) + number, return_inverse=True, return_counts=True)
         out = np.zeros(len(self.doc), dtype="int64")
         out[end] = totals[number] - own[same]
@@ -93,7 +98,7 @@ class Exploded:
 def asker(size: int, order: int, buckets: int):
     def run(batches):
         for name, _, texts in chunked(batches, size):
-            x = Exploded(texts, order)
+            x = Exploded(texts, order, placed=False)
             ends, rows, begin = x.slices(buckets), [], 0
             for b, end in enumerate(ends.tolist()):
                 if end > begin:

@@ -48,6 +48,7 @@ MANY = 200
 CHUNK = 3_000_000
 BUCKET = 800_000
 UNIT = 60_000
+BLOCK = 100_000
 #: kind 0: grams and surroundings; 1: bytes of surroundings; 2: windows of frequent grams.
 ASKED = "chunk string, kind int, bucket int, hashes binary, body binary"
 TOLD = "chunk string, kind int, bucket int, body binary"
@@ -90,36 +91,40 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
+def picks(data: np.ndarray, sizes: np.ndarray, length: int, seed: int):
+    """Places of the picked grams of some documents, their surroundings [a, b), and hashes of both."""
+    if len(data) < length:
+        return [np.empty(0, dtype="int64")] * 3 + [np.empty(0, dtype="uint64")] * 2
+    width, ends = length - seed + 1, np.cumsum(sizes)
+    with np.errstate(over="ignore"):
+        gram = grams(data, seed)
+        least = sliding_min(gram, width)
+        whole = np.arange(len(least)) + length <= np.repeat(ends, sizes)[:len(least)]
+        # of the windows that hold a gram, the one with the largest least gram
+        high = np.concatenate([np.full(width - 1, LAST), np.where(whole, LAST - least, LAST), np.full(width - 1, LAST)])
+        high = LAST - sliding_min(high, width)
+        places = np.flatnonzero((gram == high[:len(gram)]) & (high[:len(gram)] > 0))
+        own = np.searchsorted(ends, places, side="right")
+        a = np.maximum((ends - sizes)[own], places - (width - 1))
+        b = np.minimum(ends[own], places + length)
+        around = mixed(gram[a] * np.uint64(3) + mixed(gram[b - seed] + (b - places).astype("uint64")))
+        around = mixed(around + (places - a).astype("uint64") * np.uint64(0x9FB21C651E98DF25))
+        return places, a, b, gram[places], around
+
+
 class Picked:
     """The picked grams of a chunk and their surroundings [a, b), distinct pairs in order."""
 
     def __init__(self, texts: list[str], length: int, seed: int):
         raws = [t.encode() for t in texts]
-        self.raw = b"".join(raws)
+        self.raw, self.length = b"".join(raws), length
         self.sizes = np.array([len(r) for r in raws], dtype="int64")
-        data, width = np.frombuffer(self.raw, dtype="uint8"), length - seed + 1
-        self.length = length
-        with np.errstate(over="ignore"):
-            ends = np.cumsum(self.sizes)
-            end = np.repeat(ends, self.sizes)
-            begin = np.repeat(ends - self.sizes, self.sizes)
-            if len(data) < length:
-                places = np.empty(0, dtype="int64")
-                gram = np.empty(0, dtype="uint64")
-            else:
-                gram = grams(data, seed)
-                least = sliding_min(gram, width)
-                whole = np.arange(len(least)) + length <= end[:len(least)]
-                # of the windows that hold a gram, the one with the largest least gram
-                high = np.concatenate([np.full(width - 1, LAST), np.where(whole, LAST - least, LAST), np.full(width - 1, LAST)])
-                high = LAST - sliding_min(high, width)
-                places = np.flatnonzero((gram == high[:len(gram)]) & (high[:len(gram)] > 0))
-            self.a = np.maximum(begin[places], places - (width - 1))
-            self.b = np.minimum(end[places], places + length)
-            self.places = places
-            around = mixed(gram[self.a] * np.uint64(3) + mixed(gram[self.b - seed] + (self.b - places).astype("uint64")))
-            around = mixed(around + (places - self.a).astype("uint64") * np.uint64(0x9FB21C651E98DF25))
-            keys = gram[places]
+        del raws
+        parts = []
+        for begin, end, sizes in self.blocks():
+            place, a, b, key, around = picks(np.frombuffer(self.raw, "uint8", end - begin, begin) if end > begin else np.empty(0, "uint8"), sizes, length, seed)
+            parts.append((a + begin, b + begin, key, around))
+        self.a, self.b, keys, around = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((around, keys))
         keys, around = keys[order], around[order]
         new = np.ones(len(keys), dtype=bool)
@@ -130,6 +135,15 @@ class Picked:
         self.pair[order] = np.cumsum(new) - 1
         self.counts = np.bincount(self.pair, minlength=len(self.keys))
 
+    def blocks(self):
+        """(begin, end, sizes) of runs of documents that are worked on at once, so that the arrays stay in the cache."""
+        ends = np.cumsum(self.sizes)
+        i, begin = 0, 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, begin + BLOCK, side="right")))
+            yield begin, int(ends[j - 1]), self.sizes[i:j]
+            i, begin = j, int(ends[j - 1])
+
     def slices(self, keys: np.ndarray, buckets: int):
         bounds = np.array([(b + 1) * 2**64 // buckets for b in range(buckets - 1)], dtype="uint64")
         begin = 0
@@ -153,8 +167,12 @@ class Picked:
         starts = np.unique(np.repeat(self.a[at] - (np.cumsum(n) - n), n) + np.arange(n.sum()))
         if not len(starts):
             return starts, np.empty(0, dtype="uint64")
-        with np.errstate(over="ignore"):
-            hashes = grams(np.frombuffer(self.raw, dtype="uint8"), self.length)[starts]
+        hashes = np.empty(len(starts), dtype="uint64")
+        for begin, end, _ in self.blocks():
+            i, j = np.searchsorted(starts, [begin, end])
+            if j > i:
+                with np.errstate(over="ignore"):
+                    hashes[i:j] = grams(np.frombuffer(self.raw, "uint8", end - begin, begin), self.length)[starts[i:j] - begin]
         order = np.argsort(hashes, kind="stable")
         return starts[order], hashes[order]
 
@@ -223,56 +241,58 @@ def second_asker(buckets: int, length: int, seed: int):
     return run
 
 
-def refined(order: np.ndarray, block: np.ndarray, by: np.ndarray, shift: int, text_end: np.ndarray):
+def refined(order: np.ndarray, classes: np.ndarray, shift: int, left: np.ndarray):
     """The order and the classes of places for prefixes of depth + shift, from those of depth.
 
-    ``order`` lists places by the prefix at place; each is moved ``shift`` to the
-    left and distributed by the class of the symbol there (``by``, of length
-    ``shift`` or more); places that would leave their string drop out and
-    string ends come first.
+    ``order`` lists places by their prefixes; ``left`` is how many bytes of its
+    string each place still has.  Each place is moved ``shift`` to the left and
+    distributed by the class of the symbol there, stably; a place whose string
+    ends within the symbol comes first.
     """
-    left = order - shift
-    left = left[(left >= 0)]
-    left = left[text_end[left] == text_end[left + shift]]
-    short = np.flatnonzero(text_end - np.arange(len(block)) <= shift)  # nothing follows the symbol
-    left = np.concatenate([short, left])
-    spread = left[np.argsort(by[left], kind="stable")]
-    rest = np.zeros(len(block), dtype="int64")
-    inside = np.flatnonzero(text_end - np.arange(len(block)) > shift)
-    rest[inside] = block[inside + shift].astype("int64") + 1
-    new = np.ones(len(spread), dtype=bool)
-    new[1:] = (by[spread[1:]] != by[spread[:-1]]) | (rest[spread[1:]] != rest[spread[:-1]])
-    classes = np.empty(len(block), dtype="uint16")
-    classes[spread] = np.cumsum(new) - 1
-    return spread, classes
-
-
-def interleaved(data: np.ndarray, text_end: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """The class of each place by its prefix of ``length`` bytes, refined from an interleave of shards."""
-    symbols = data.astype("uint16")
-    order = order[np.argsort(symbols[order], kind="stable")]
-    classes, depth = np.unique(symbols, return_inverse=True)[1].astype("uint16"), 1
+    moved = order - np.int32(shift)
+    moved = moved[moved >= 0]
+    moved = moved[left[moved] > shift]
+    moved = np.concatenate([np.flatnonzero(left <= shift).astype("int32"), moved])
+    spread = moved[np.argsort(classes[moved], kind="stable")]
+    pair = classes.astype("int64") << 17
+    pair[:len(pair) - shift] += np.where(left[:len(pair) - shift] > shift, classes[shift:] + np.int64(1), 0)
+    along = pair[spread]
+    new = np.empty(len(spread), dtype=bool)
+    new[0] = True
+    np.not_equal(along[1:], along[:-1], out=new[1:])
+    out = np.empty_like(classes)
+    out[spread] = np.cumsum(new) - 1
+    return spread, out
+
+
+def interleaved(data: np.ndarray, left: np.ndarray, order: np.ndarray, length: int):
+    """Places in the order of their prefixes of ``length`` bytes, refined from an interleave, and the prefixes' classes."""
+    order = order[np.argsort(data[order], kind="stable")]
+    present = np.zeros(256, dtype="int64")
+    present[data] = 1
+    classes, depth = (np.cumsum(present) - 1).astype("uint16")[data], 1
     while depth < length:
         step = min(depth, length - depth)
-        order, classes = refined(order, classes, classes, step, text_end)
+        order, classes = refined(order, classes, step, left)
         depth += step
     return order, classes
 
 
 def merged(strings: list[bytes], length: int, shards: int = 2):
-    """For each string, the class of each place by its next ``length`` bytes; transforms of shards are merged."""
+    """For each place of the strings the class of its next ``length`` bytes; transforms of shards are merged."""
     data = np.frombuffer(b"".join(strings), dtype="uint8")
     sizes = np.array([len(s) for s in strings])
     ends = np.cumsum(sizes)
     text_end = np.repeat(ends, sizes)
+    left = (text_end - np.arange(len(data))).astype("int32")
     cuts = [int(ends[i]) for i in np.linspace(0, len(strings), shards + 1)[1:-1].astype(int) - 1 if i >= 0]
     orders, begin = [], 0
     for cut in [*cuts, len(data)]:
         if cut > begin:
-            own, _ = interleaved(data[begin:cut], text_end[begin:cut] - begin, np.arange(cut - begin), length)
-            orders.append(own + begin)
+            own, _ = interleaved(data[begin:cut], left[begin:cut], np.arange(cut - begin, dtype="int32"), length)
+            orders.append(own + np.int32(begin))
             begin = cut
-    _, classes = interleaved(data, text_end, np.concatenate(orders), length)
+    _, classes = interleaved(data, left, np.concatenate(orders), length)
     return classes, text_end
 
 

@@ -49,11 +49,13 @@ def planted(n, seed):
     return rows + rows[:5]
 
 
-def test_small_windows(spark):
+def test_small_windows(spark, monkeypatch):
     rows = planted(60, 1) + [(None, None), (900, ""), (901, "a" * 300), (902, "short")]
     check(spark, rows, 24, seed=16, chunk=900, bucket=50)
     check(spark, rows, 24, seed=16, many=2, chunk=900, bucket=50)
+    monkeypatch.setattr(repeats, "BLOCK", 500)  # several blocks to a chunk
     check(spark, rows, 24, seed=20, many=0, chunk=100_000)
+    check(spark, rows, 24, seed=20, many=3, chunk=2_000)
 
 
 def test_whole_length(spark):

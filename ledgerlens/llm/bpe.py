@@ -11,7 +11,9 @@ order of their positions.
 A word that is in the vocabulary as a whole is that token.  Words of more than
 ``WIDE`` bytes contract all occurrences of their minimum pair in one step if
 this is proven to give the same tokens (no longer token made of the new one
-has a smaller rank), so a word of 100,000 letters needs few steps.
+has a smaller rank), so a word of 100,000 letters needs few steps; the query is
+run again from its last state after about ``WIDE_ROWS`` rows, so that not all
+steps of a long word are held at once.
 
 Memory per task is bounded: texts go through in slices of about
 ``SLICE_CHARS`` characters (a text is never split), words through DuckDB in
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import pick
 
 WIDE = 64
-SLICE_CHARS = 2_000_000
-SLICE_BYTES = 2_000_000
-MEMO = 400_000
+SLICE_CHARS = 1_000_000
+SLICE_BYTES = 400_000
+WIDE_ROWS = 2_000_000
+MEMO = 200_000
 CODED = "doc_id bigint, ids binary, decoded binary"
 
 #: One contraction per word and step.  A word's positions stay 1, 2, 3, ...
@@ -80,9 +83,9 @@ WITH RECURSIVE t(w, pos, tok, step) AS (
       )
     )
   )
-  WHERE NOT coalesce(before, false)
+  WHERE NOT coalesce(before, false) AND step < $most
 )
-SELECT w, tok FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last ORDER BY w, pos
+SELECT w, tok, last FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last ORDER BY w, pos
 """
 
 DECODE_SQL = """
@@ -127,7 +130,7 @@ class Coder:
 
         self.ranks, self.find, self.memo = ranks, regex.compile(pattern).findall, {}
         self.first = np.array([ranks[bytes([b])] for b in range(256)], dtype="int32")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.table("merges", merge_table(ranks))
         self.table("vocab", pd.DataFrame({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]}))
 
@@ -140,10 +143,19 @@ class Coder:
         """The ids of each word, packed as little-endian unsigned 32-bit integers."""
         sizes = np.array([len(w) for w in words], dtype="int64")
         at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.table("start", pd.DataFrame({
+        start = pd.DataFrame({
             "w": np.repeat(np.arange(len(words), dtype="int32"), sizes), "pos": at.astype("int32"),
-            "tok": self.first[np.frombuffer(b"".join(words), dtype="uint8")]}))
-        out = self.db.execute(sql).fetchnumpy()
+            "tok": self.first[np.frombuffer(b"".join(words), dtype="uint8")]})
+        while True:
+            self.table("start", start)
+            if sql == NARROW_SQL:
+                out = self.db.execute(sql).fetchnumpy()
+                break
+            most = max(1, WIDE_ROWS // len(start))
+            out = self.db.execute(sql, {"most": most}).fetchnumpy()
+            if not (out["last"] >= most).any():
+                break
+            start = pd.DataFrame({"w": out["w"], "pos": np.arange(len(out["w"]), dtype="int32"), "tok": out["tok"]})
         ends = np.searchsorted(out["w"], np.arange(len(words)), side="right") * 4
         packed = np.asarray(out["tok"]).astype("<u4").tobytes()
         return [packed[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]

@@ -166,17 +166,21 @@ def features(text: str) -> set[str]:
 def counted(batches):
     """feature, toxic, clean: texts of this task with the feature."""
     toxic, clean = Counter(), Counter()
+
+    def sums():
+        names = list(toxic.keys() | clean.keys())
+        out = pd.DataFrame({"feature": names, "toxic": [toxic[f] for f in names], "clean": [clean[f] for f in names]})
+        toxic.clear()
+        clean.clear()
+        return out
+
     for batch in batches:
         for text, label in zip(batch["text"], batch["toxic"]):
             (toxic if label else clean).update(features(text))
-    names = list(toxic)  # a feature without a toxic text anywhere is no candidate
-    for i in range(0, len(names), 50_000):
-        part = names[i:i + 50_000]
-        yield pd.DataFrame({"feature": part, "toxic": [toxic[f] for f in part], "clean": [0] * len(part)})
-    names = list(clean)
-    for i in range(0, len(names), 50_000):
-        part = names[i:i + 50_000]
-        yield pd.DataFrame({"feature": part, "toxic": [0] * len(part), "clean": [clean[f] for f in part]})
+            if len(toxic) + len(clean) > 100_000:
+                yield sums()
+    if toxic or clean:
+        yield sums()
 
 
 def cover(texts: list[tuple[bool, list[str]]], weight: dict[str, float]) -> dict[str, float]:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import ensure_checkpoint_dir
 
+#: Rows hold whole texts: so many go to a Python worker at a time, instead of Spark's 10,000.
+TEXTS_AT_ONCE = "256"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -16,8 +19,10 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     """The named columns, cast to the given types, and nothing else.
 
     Columns are taken by position, so further columns whose names clash with
-    these or with an operator's own names (also by case only) do no harm.
+    these or with an operator's own names (also by case only) do no harm.  The
+    session's Arrow batches are set small, which bounds what workers hold.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_AT_ONCE)
     names = df.columns
     lower = [n.lower() for n in names]
     at = {n: names.index(n) if n in names else lower.index(n.lower()) for n in types}

@@ -109,7 +109,8 @@ def picks(data: np.ndarray, sizes: np.ndarray, length: int, seed: int):
         b = np.minimum(ends[own], places + length)
         around = mixed(gram[a] * np.uint64(3) + mixed(gram[b - seed] + (b - places).astype("uint64")))
         around = mixed(around + (places - a).astype("uint64") * np.uint64(0x9FB21C651E98DF25))
-        return places, a, b, gram[places], around
+        # least hashes are small ones: mixed again, they spread over the buckets
+        return places, a, b, mixed(gram[places] * np.uint64(0xBF58476D1CE4E5B9)), around
 
 
 class Picked:

@@ -4,9 +4,11 @@ Seeds: e-mail addresses, IP addresses, card and phone numbers that fixed
 patterns find (possessive forms of the documented expressions, which match the
 same spans without backtracking over long runs).
 
-Bootstrapping: a lexical pattern is the word before an identifier.  Its
-confidence for a kind is the share of the pattern's occurrences in the whole
-corpus that are followed by a known identifier of that kind; it must also have
+Bootstrapping: a lexical pattern is the word before an identifier, whole, with
+white space after it or not ('tel:', '<').  Its confidence for a kind is the
+share of the pattern's occurrences in the whole corpus (before white space, or
+touching what an expression matches) that are followed by a known identifier of
+that kind; it must also have
 introduced ``SUPPORT`` different ones.  Candidates are spans of a looser shape
 (obfuscated addresses, IPv6, local phone numbers, other card layouts) that
 touch no seed.  Patterns and candidate values form a graph: a value's
@@ -57,11 +59,16 @@ LOOSE = {
 }
 #: A part that the expression itself asks of every loose match, so texts without it need no search.
 HINTS = {"email": AT, "ip": f"{IP_DOT}|:"}
-SPAN = "array<struct<kind:int,s:bigint,e:bigint,value:string,before:string>>"
+SPAN = "array<struct<kind:int,s:bigint,e:bigint,value:string,before:string,beside:boolean>>"
+#: The last word and the white space after it; looked for at the beginnings of words only, so in linear time.
+LAST_WORD = r"(?<!\S)(\S++\s*+)\z"
 
 
 def spans(text: Column, kind: str, pattern: str) -> Column:
-    """The matches of a pattern with their places and the word before; the pieces between matches give the places."""
+    """The matches of a pattern with their places and the word before; the pieces between matches give the places.
+
+    ``beside``: the word before touches the match, or the match before it, so it is no word between white space.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     parts = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
@@ -70,12 +77,14 @@ def spans(text: Column, kind: str, pattern: str) -> Column:
     def step(acc, x):
         s = acc["at"] + F.char_length(x["g"])
         e = s + F.char_length(x["m"])
-        before = F.regexp_extract(lower_az(F.right(x["g"], F.lit(64))), r"([^\s]+)\s*$", 1)
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("value"), before.alias("before"))
+        last = F.regexp_extract(x["g"], LAST_WORD, 1)
+        before = lower_az(F.regexp_replace(last, r"\s++\z", ""))
+        beside = (last != "") & ((F.char_length(last) == F.char_length(before)) | ((acc["at"] > 0) & (last == x["g"])))
+        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("value"),
+                        before.alias("before"), beside.alias("beside"))
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    none = F.array().cast(SPAN)
-    return F.when(F.size(found) > 0, F.filter(F.aggregate(parts, start, step)["out"], lambda x: valid(kind, x["value"]))).otherwise(none)
+    return F.when(F.size(found) > 0, F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(SPAN))
 
 
 def digits(value: Column) -> Column:
@@ -112,9 +121,7 @@ def spans_any(text: Column, kind: str, pattern: str) -> Column:
 
 
 def spans_checked(text: Column, kind: str, pattern: str) -> Column:
-    raw = spans(text, "email", pattern)  # e-mail has no check of its own
-    raw = F.transform(raw, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"),
-                                              x["value"].alias("value"), x["before"].alias("before")))
+    raw = spans(text, kind, pattern)
     n = lambda x: F.char_length(digits(x["value"]))
     if kind == "card":
         return F.filter(raw, lambda x: n(x).between(13, 19) & luhn(x["value"]))
@@ -122,20 +129,29 @@ def spans_checked(text: Column, kind: str, pattern: str) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), seeds, loose: the spans of each document; loose ones touch no seed."""
+    """doc_id, key (of the text), seeds, loose, beside: the spans of each document; loose ones touch no seed.
+
+    ``beside`` has the words that touch what an expression matches, once for each place.
+    """
     text = F.col("text")
     d = pick(docs, doc_id="bigint", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("doc_id", F.struct(F.xxhash64("text"), F.char_length("text")).alias("key"),
-                 F.concat(*[spans(text, k, SEEDS[k]) for k in KINDS]).alias("seeds"),
+                 F.array(*[spans(text, k, SEEDS[k]) for k in KINDS]).alias("shapes"),
                  F.concat(*[loose_spans(text, k) for k in KINDS]).alias("loose"))
+    held = lambda i, k: F.filter(F.col("shapes")[i], lambda x: valid(k, x["value"]))
+    seeds = F.concat(*[held(i, k) for i, k in enumerate(KINDS)])
+    beside = F.filter(F.concat(F.flatten("shapes"), "loose"), lambda x: x["beside"])
+    places = F.array_distinct(F.transform(beside, lambda x: F.struct(x["s"].alias("s"), x["before"].alias("before"))))
+    d = d.select("doc_id", "key", seeds.alias("seeds"), "loose", F.transform(places, lambda x: x["before"]).alias("beside"))
     apart = F.filter("loose", lambda c: ~F.exists("seeds", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return d.select("doc_id", "key", "seeds", apart.alias("loose"))
+    return d.select("doc_id", "key", "seeds", apart.alias("loose"), "beside")
 
 
-def occurrences(docs: DataFrame, patterns: DataFrame, scratch: Scratch) -> DataFrame:
-    """before, total: how often each pattern word stands in the corpus."""
+def occurrences(docs: DataFrame, found: DataFrame, patterns: DataFrame, scratch: Scratch) -> DataFrame:
+    """before, total: how often each pattern word stands in the corpus, between white space or beside an identifier."""
     d = pick(docs, text="string").select(F.explode(F.split(lower_az(F.coalesce("text", F.lit(""))), r"\s+")).alias("before"))
-    counts = d.where("before <> ''").groupBy("before").agg(F.count(F.lit(1)).alias("total"))
+    d = d.where("before <> ''").union(found.select(F.explode("beside")))
+    counts = d.groupBy("before").agg(F.count(F.lit(1)).alias("total"))
     return scratch.write(counts.join(patterns, "before", "left_semi"), "occurrences")
 
 
@@ -150,7 +166,7 @@ def bootstrapped(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFra
     seeds = found.select(F.explode("seeds").alias("x")).select("x.kind", "x.value", "x.before").where("before <> ''")
     seeds = seeds.groupBy("kind", "value", "before").agg(F.count(F.lit(1)).alias("n"))
     known = scratch.write(seeds.join(words, "before", "left_semi"), "known")
-    total = occurrences(docs, words, scratch)
+    total = occurrences(docs, found, words, scratch)
     accepted = None
     for _ in range(ROUNDS):
         patterns = known.groupBy("kind", "before").agg(F.sum("n").alias("n"), F.countDistinct("value").alias("support"))

@@ -14,8 +14,8 @@ introduced ``SUPPORT`` different ones.  Candidates are spans of a looser shape
 touch no seed.  Patterns and candidate values form a graph: a value's
 confidence is 1 - prod(1 - confidence) over the patterns it follows, values of
 at least ``CONFIDENCE`` count as known in the next round and vouch for the
-patterns they stand behind.  Rounds end when no value is added, at most
-``ROUNDS``.  Spans of accepted values are added to the seeds, which all stay.
+patterns they stand behind.  Rounds end when no value is added.  Spans of
+accepted values are added to the seeds, which all stay.
 
 Texts are read twice and never shuffled: once for spans, once for counting the
 words that are patterns (partial counts per task).  Positions count code
@@ -36,7 +36,6 @@ from ledgerlens.llm.common import Scratch, lower_az, pick
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 CONFIDENCE = 0.8
-ROUNDS = 4
 
 # The seeds' expressions.
 SEEDS = {
@@ -168,7 +167,7 @@ def bootstrapped(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFra
     known = scratch.write(seeds.join(words, "before", "left_semi"), "known")
     total = occurrences(docs, found, words, scratch)
     accepted = None
-    for _ in range(ROUNDS):
+    while True:  # the accepted values only grow and are finite
         patterns = known.groupBy("kind", "before").agg(F.sum("n").alias("n"), F.countDistinct("value").alias("support"))
         patterns = patterns.where(F.col("support") >= SUPPORT).join(total, "before")
         patterns = scratch.write(patterns.select("kind", "before", F.least(F.lit(1.0), F.col("n") / F.col("total")).alias("confidence")), "patterns")

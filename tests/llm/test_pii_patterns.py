@@ -18,3 +18,14 @@ def test_words_that_touch_the_identifier(spark):
     got = spans_of(spark, texts + list(new) + ["ref:212 555 0188", "num: 212 555 0177"])
     assert {t: got[t] for t in new} == new
     assert got["ref:212 555 0188"] == "" and got["num: 212 555 0177"] == ""
+
+
+def test_chain_of_patterns_to_its_end(spark):
+    value = lambda hop, k: f"jane{hop}{k} [at] corp{hop}.com"
+    texts = [f"word0: seed{k}@site.org" for k in range(30)] + [f"word0: {value(1, k)}" for k in range(3)]
+    for hop in range(1, 8):
+        texts += [f"word{hop}: {value(hop, k)} {n}" for k in range(3) for n in range(6)]
+        texts += [f"word{hop}: {value(hop + 1, k)}" for k in range(3)]
+    got = spans_of(spark, texts)
+    assert got[f"word7: {value(8, 0)}"] == "email:7:28"
+    assert all(s.startswith("email:7:") for s in got.values())

@@ -18,9 +18,12 @@ toxic text is not taken.  The logistic weights are fitted on the same rows,
 shrunk towards fixed ones.
 
 Labels are learned from a sample of at most ``SAMPLE`` labelled rows (those
-with the smallest hash of doc_id), never from rows that are held out.  Stems
-come from at most ``CANDIDATES`` counted features.  Everything that reaches
-the driver is bounded by these two numbers.  Scoring reads every whole text.
+with the smallest hash of doc_id), never from rows that are held out; equal
+texts count once, as toxic if one label says so.  Every feature that qualifies
+is counted anew after each pass, in Spark; the driver holds the texts of the
+``BLOCK`` commonest ones and goes on choosing among them as long as no other
+feature can explain as many texts, so the stems are those of a search over all
+of them.  Scoring reads every whole text.
 
 Null text counts as empty; a text without a match has the base score, which is
 under 0.5.  A null doc_id counts as the empty text for the hold-out rule and
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import Scratch, pick
 
 SAMPLE = 20_000
-CANDIDATES = 5_000
+BLOCK = 5_000
 STEMS = (4, 5, 6, 7, 8)
 ENDING = 6
 MIN_TEXTS = 3
@@ -183,8 +186,12 @@ def counted(batches):
         yield sums()
 
 
-def cover(texts: list[tuple[bool, list[str]]], weight: dict[str, float]) -> dict[str, float]:
-    """Stems by how many toxic texts they explain that no stem before them does, less CLEAN_COST for each clean one."""
+def cover(texts: list[tuple[bool, list[str]]], weight: dict[str, float], others: int = 0) -> dict[str, float]:
+    """Stems by how many toxic texts they explain that no stem before them does, less CLEAN_COST for each clean one.
+
+    The first one is the best of all features; ``others`` is the most toxic texts of a feature that is not among
+    these, so later ones are chosen while they gain more.
+    """
     toxic, clean = {f: set() for f in weight}, {f: set() for f in weight}
     for k, (label, found) in enumerate(texts):
         for f in found:
@@ -193,7 +200,7 @@ def cover(texts: list[tuple[bool, list[str]]], weight: dict[str, float]) -> dict
     while toxic:
         gain = {f: len(ks) - CLEAN_COST * len(clean[f]) for f, ks in toxic.items()}
         best = max(gain, key=lambda f: (gain[f], len(f.rstrip("$~")), f))
-        if gain[best] < MIN_TEXTS:
+        if gain[best] < MIN_TEXTS or chosen and gain[best] <= others:
             break
         chosen[best] = weight[best]
         gone, touched = toxic.pop(best), clean.pop(best)
@@ -202,6 +209,35 @@ def cover(texts: list[tuple[bool, list[str]]], weight: dict[str, float]) -> dict
     return chosen
 
 
+def listed(batches):
+    """k, toxic, found: the features of each text."""
+    for batch in batches:
+        for at in range(0, len(batch), 32):
+            part = batch.iloc[at:at + 32]
+            yield pd.DataFrame({"k": part["k"], "toxic": part["toxic"], "found": [list(features(t)) for t in part["text"]]})
+
+
+def covered(edges: DataFrame, odds: DataFrame, scratch: Scratch, block: int = BLOCK) -> dict[str, float]:
+    """``cover`` over all features of edges (k, toxic, feature), each counted in Spark before a pass."""
+    chosen = {}
+    while True:
+        sums = edges.groupBy("feature").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
+        sums = scratch.write(sums.where(F.col("toxic") >= MIN_TEXTS), "sums")
+        stem = F.char_length(F.regexp_replace("feature", "[$~]$", ""))
+        best = sums.orderBy((F.col("toxic") - CLEAN_COST * F.col("clean")).desc(), stem.desc(), F.desc("feature")).first()
+        if best is None or best.toxic - CLEAN_COST * best.clean < MIN_TEXTS:
+            return chosen
+        rest = sums.where(F.col("feature") != best.feature).orderBy(F.desc("toxic"), "feature").limit(block).collect()
+        others = rest.pop().toxic if len(rest) == block else 0
+        names = edges.sparkSession.createDataFrame([(r.feature,) for r in [best, *rest]], "feature string")
+        weight = {r.feature: math.log(r.odds) for r in odds.join(F.broadcast(names), "feature").collect()}
+        texts = edges.join(F.broadcast(names), "feature").groupBy("k", "toxic").agg(F.collect_list("feature").alias("found"))
+        new = cover([(r.toxic, r.found) for r in texts.select("toxic", "found").collect()], weight, others)
+        chosen |= new
+        gone = edges.where(F.col("feature").isin(list(new))).select("k").distinct()
+        edges = scratch.write(edges.join(gone, "k", "left_anti"), "edges")
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """The grammar learned from at most ``sample`` labelled rows that are not held out."""
     marks = pick(labels, doc_id="bigint", toxic="int").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -209,30 +245,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     d = pick(docs, doc_id="bigint", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = d.join(F.broadcast(marks), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).alias("toxic")).dropDuplicates(["doc_id"])
-    rows = Scratch(docs.sparkSession, "labelled").write(rows.select("text", "toxic"))
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("k"))
+    scratch = Scratch(docs.sparkSession, "labelled")
+    rows = scratch.write(rows)
 
     n = rows.agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")).first()
-    counts = rows.mapInPandas(counted, "feature string, toxic bigint, clean bigint")
+    counts = rows.select("text", "toxic").mapInPandas(counted, "feature string, toxic bigint, clean bigint")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = (F.col("toxic") + 0.5) / (n.toxic + 1.0) / ((F.col("clean") + 0.5) / (n.clean + 1.0))
-    best = counts.withColumn("odds", odds).where((F.col("toxic") >= MIN_TEXTS) & (F.col("odds") >= MIN_ODDS))
-    best = best.orderBy(F.desc("toxic"), "feature").limit(CANDIDATES).collect()
-    weight = {r.feature: math.log(r.odds) for r in best}
-
-    def explained(batches):
-        for batch in batches:
-            found = [sorted(features(t) & weight.keys()) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"].tolist(), "found": found})
-
-    texts = rows.mapInPandas(explained, "toxic boolean, found array<string>").where(F.size("found") > 0).collect()
-    stems = cover([(r.toxic, r.found) for r in texts], weight)
+    odds = counts.withColumn("odds", odds).where((F.col("toxic") >= MIN_TEXTS) & (F.col("odds") >= MIN_ODDS))
+    odds = scratch.write(odds.select("feature", "odds"), "odds")
+    edges = rows.mapInPandas(listed, "k bigint, toxic boolean, found array<string>")
+    edges = edges.select("k", "toxic", F.explode("found").alias("feature")).join(odds, "feature", "left_semi")
+    stems = covered(scratch.write(edges, "edges"), odds, scratch)
 
     def observed(batches):
         m = Matcher(stems)
         for batch in batches:
             yield pd.DataFrame({"facts": [m.facts(t) for t in batch["text"]], "toxic": batch["toxic"]})
 
-    seen = rows.mapInPandas(observed, "facts array<double>, toxic boolean").collect()
+    seen = rows.select("text", "toxic").mapInPandas(observed, "facts array<double>, toxic boolean").collect()
     facts = np.array([r.facts for r in seen], dtype=float).reshape(-1, len(PRIOR))
     return Grammar(stems, fitted(facts, np.array([r.toxic for r in seen], dtype=float)))
 

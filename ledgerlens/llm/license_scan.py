@@ -5,8 +5,10 @@ spellings unified, punctuation and white space folded) and their SHA-256 is
 hash-joined to the digests of known licence texts, made canonical by the same
 expression.  Two kinds of entire text are looked up: the whole document, and
 every whole line, since files usually carry a licence as a one-line notice.
-The table of known texts is a fixed list in this module, so it is broadcast;
-only one row per (document, licence) is shuffled.
+The known texts are a fixed list in this module and the digests of whole
+licences in ``license_digests.csv`` (made by ``tools/license_digests.py``), a
+few hundred rows, so they are broadcast; only one row per (document, licence)
+is shuffled.
 
 Null text counts as empty; an empty canonical text matches nothing.  Every row
 gives a row; rows with equal doc_id and text have equal results.  An empty
@@ -15,6 +17,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +58,9 @@ SPELLINGS = [
     ("ver", "version"), ("whilst", "while"), ("wilful", "willful"),
 ]
 
+#: license, digest: canonical digests of whole licences, with and without title lines.
+DIGESTS = Path(__file__).with_name("license_digests.csv")
+
 COPYRIGHT_LINE = r"^[ \t]*(?:copyright|\(c\)|©)[^\n]*"
 #: Folded: ASCII other than digits, a-z and line ends.
 FOLD = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,7 +80,10 @@ def canonical_lines(text: Column) -> Column:
 def known(spark: SparkSession) -> DataFrame:
     """digest, license: one row per known canonical text."""
     t = spark.createDataFrame(KNOWN, "license string, text string")
-    return t.select(F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"), "license").distinct()
+    t = t.select(F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"), "license")
+    with open(DIGESTS, newline="") as f:
+        whole = [(r["digest"], r["license"]) for r in csv.DictReader(f)]
+    return t.union(spark.createDataFrame(whole, "digest string, license string")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Suffix-array dedup: bytes of repeated ``LENGTH``-byte strings, by merging Burrows-Wheeler transforms.
+"""Suffix-array dedup: bytes of repeated ``LENGTH``-byte strings, by prefix doubling in bounded units.
 
 Which texts can hold the same string is found first, without losing any:
 every window of ``LENGTH`` bytes picks its least ``SEED``-byte gram (by hash;
@@ -9,12 +9,12 @@ that occurs once decides that its windows are unique, surroundings that occur
 twice that theirs all repeat.  What is left are surroundings that share a gram
 but not everything; one of each kind sends its bytes to the gram's bucket.
 
-There the surroundings are split into shards.  Each shard's suffixes are put in
-order, which with the symbols before them is its Burrows-Wheeler transform.
-The transforms are merged by refining their interleave: at first it lists one
-shard after the other; a step distributes the interleave by the symbols that
-stand before the suffixes, stably, so that it becomes right for prefixes of
-twice the length, and marks where neighbours differ.  Symbols are single bytes
+There the places of the surroundings are put in order by prefix doubling: a
+step distributes all places of the unit by the symbols that stand before them,
+stably, so that their order becomes right for prefixes of twice the length, and
+marks where neighbours differ.  (The surroundings are first ordered in shards,
+but that order does not change the result: the shards' Burrows-Wheeler
+transforms are not merged.)  Symbols are single bytes
 in the first step and the classes found so far in later ones, so eight steps
 reach 200 bytes.  No step compares suffixes.  The marks are common prefixes:
 between two of them at depth ``LENGTH`` lies a repeated interval.
@@ -280,7 +280,7 @@ def interleaved(data: np.ndarray, left: np.ndarray, order: np.ndarray, length: i
 
 
 def merged(strings: list[bytes], length: int, shards: int = 2):
-    """For each place of the strings the class of its next ``length`` bytes; transforms of shards are merged."""
+    """For each place of the strings the class of its next ``length`` bytes; the order of the shards does not change it."""
     data = np.frombuffer(b"".join(strings), dtype="uint8")
     sizes = np.array([len(s) for s in strings])
     ends = np.cumsum(sizes)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, lm_score, near_dedup, pii, ranked_search, repeats, toxicity, vector_codes
+from ledgerlens.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, lm_score, near_dedup, ngram_join, pii, ranked_search, repeats, toxicity, vector_codes
 from ledgerlens.llm.common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -56,12 +56,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op4_decontamination, op5_byte_bpe, op6_suffix_dedup, op7_line_dedup, op8_pii, op9_license_scan, op10_toxicity,
-                                  op11_ranked_search, op13_vector_codes)}
+                                  op11_ranked_search, op12_ngram_join, op13_vector_codes)}
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
@@ -71,5 +75,6 @@ SQL = {
     "op7_line_dedup": line_dedup.SQL,
     "op9_license_scan": license_scan.sql(),
     "op11_ranked_search": ranked_search.SQL,
+    "op12_ngram_join": ngram_join.sql(4, 85),
     "op13_vector_codes": vector_codes.sql(),
 }

@@ -1,18 +1,19 @@
 """Market-basket analysis (MBK-1..11, FLT-6/7, JOIN-8, TOP-6/7, SET-4).
 
-Baskets stay in long form ``(basket_id, item)``; nothing is collected per
-basket.  Frequent itemsets are mined level-wise with joins:
-
-* L1: distinct (basket, item) counted per item.  The frequent items are at
-  most ``avg distinct items per basket / min_support`` (each needs
-  min_support * N baskets), so the table of frequent items has a proven
-  size bound and is broadcast.
-* L2: basket items restricted to frequent items, self-joined on the basket
-  with ``a < b`` and counted.  Per basket the pairs are bounded by the
-  distinct *frequent* items of that basket (multiplicities are removed
-  first, so a hot basket with many repeated lines adds no pairs).
-* L3: frequent pairs of a basket extended by a third basket item ``c > b``,
-  kept only when (a, c) and (b, c) are frequent (apriori pruning), counted.
+Baskets stay in long form ``(basket_id, item)``; nothing unbounded is collected
+per basket.  Frequent itemsets of any length are mined level by level:
+
+* Level 1 counts distinct (basket, item) rows per item.  The frequent items are
+  at most ``avg distinct items per basket / min_support``.
+* Level 2 and the co-occurrence table form pairs by a triangular block split:
+  the items of a basket are dealt by hash to groups of about ``BLOCK`` items and
+  each pair of groups is a row of its own, so one basket that holds a third of
+  all lines is spread over many tasks.  Pairs are counted as they are made
+  (map-side combining) and stored nowhere.
+* Level k joins frequent (k-1)-sets that share all but their last item and
+  keeps a candidate if all its subsets are frequent.  It is counted on baskets
+  as sorted arrays of frequent items: for each item of a basket the candidates
+  that start with it are matched against the items that follow.
 
 Rules split every frequent itemset of size >= 2 into antecedent and
 consequent by bitmask (all non-empty proper subsets); supports of both
@@ -25,8 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.order_stats import collect_scalars, exact_quantile
+from ledgerlens.session import stored
 
 SEP = ", "
+#: Items of a basket that are paired in one row.
+BLOCK = 256
 
 
 def _key(arr: Column) -> Column:
@@ -36,70 +40,105 @@ def _key(arr: Column) -> Column:
 def prepare_baskets(sales: DataFrame, item_col: str = "ProductName", min_products: int = 2) -> DataFrame:
     """MBK-1 / FLT-6: lines of orders with at least ``min_products`` non-null
     product lines, as (basket_id, item, lines) with duplicates counted."""
-    # one pass over the lines: (basket, item) counts, then the basket's
-    # product-line total over that aggregated table (one row per distinct item)
+    # one pass over the lines: (basket, item) counts; a basket's total sums that smaller table
     per_item = sales.groupBy(F.col("SalesOrderID").alias("basket_id"), F.col(item_col).alias("item")).agg(
         F.count(F.lit(1)).alias("lines"), F.count("ProductID").alias("_p"))
-    total = F.sum("_p").over(Window.partitionBy("basket_id"))
-    return per_item.withColumn("_n", total).where((F.col("_n") >= min_products) & F.col("item").isNotNull()) \
-        .select("basket_id", "item", "lines")
+    large = per_item.groupBy("basket_id").agg(F.sum("_p").alias("_n")).where(F.col("_n") >= min_products)
+    return per_item.where(F.col("item").isNotNull()).join(large, "basket_id", "left_semi").select("basket_id", "item", "lines")
 
 
 def basket_count(baskets: DataFrame) -> int:
     return collect_scalars(baskets.agg(F.countDistinct("basket_id")))[0]
 
 
-def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, max_len: int = 3,
+def pair_blocks(baskets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of (basket, pair of groups): ``low`` and ``high`` hold the (item, lines) of the two groups.
+
+    A basket of up to ``block`` items is one row whose two groups are the same
+    (``high`` is empty then); one of s items makes about (s / block)^2 / 2 rows.
+    """
+    sizes = baskets.groupBy("basket_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("groups")).where("groups > 1")
+    dealt = baskets.join(sizes, "basket_id", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    own = F.pmod(F.xxhash64("item"), F.col("groups"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1))
+    rows = dealt.withColumn("own", own).withColumn("other", other).select(
+        "basket_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") <= F.col("other")).alias("first"), F.struct("item", "lines").alias("x"))
+    return rows.groupBy("basket_id", "i", "j").agg(
+        F.collect_list(F.when(F.col("first"), F.col("x"))).alias("low"), F.collect_list(F.when(~F.col("first"), F.col("x"))).alias("high"))
+
+
+def item_pairs(baskets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), a.item < b.item: each pair of a basket's distinct items once, as structs (item, lines)."""
+    blocks = pair_blocks(baskets, block).withColumn("other", F.when(F.col("i") == F.col("j"), F.col("low")).otherwise(F.col("high")))
+    each = blocks.select("i", "j", "other", F.explode("low").alias("x"))
+    each = each.select("i", "j", "x", F.explode("other").alias("y")).where((F.col("i") < F.col("j")) | (F.col("x.item") < F.col("y.item")))
+    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def candidates(level: DataFrame, k: int) -> DataFrame:
+    """The k-sets (``items``) all of whose (k-1)-subsets are in ``level``."""
+    x = level.select(F.slice("items", 1, k - 2).alias("prefix"), F.element_at("items", -1).alias("x"))
+    y = level.select(F.slice("items", 1, k - 2).alias("prefix"), F.element_at("items", -1).alias("y"))
+    made = x.join(y, "prefix").where("x < y").select(F.concat("prefix", F.array("x", "y")).alias("items"))
+    # the subsets without the last or the last but one item are the parents
+    drop = F.transform(F.sequence(F.lit(1), F.lit(k - 2)), lambda i: F.filter("items", lambda v, j: j != i - 1))
+    known = made.select("items", F.explode(drop).alias("subset")).join(level.select(F.col("items").alias("subset")), "subset", "left_semi")
+    return known.groupBy("items").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") == k - 2).select("items")
+
+
+def counted(cand: DataFrame, sorted_baskets: DataFrame, k: int, per_row: int = 512) -> DataFrame:
+    """How many baskets (sorted arrays ``items``) hold each candidate k-set."""
+    heads = cand.groupBy(F.slice("items", 1, k - 1).alias("head")).agg(F.collect_list(F.element_at("items", -1)).alias("tails"))
+    first = F.element_at("head", 1)
+    sizes = heads.groupBy(first.alias("item")).agg(F.ceil(F.count(F.lit(1)) / per_row).alias("parts"))
+    heads = heads.withColumn("item", first).join(sizes, "item").groupBy("item", F.pmod(F.xxhash64("head"), F.col("parts")).alias("part"))
+    heads = heads.agg(F.collect_list(F.struct("head", "tails")).alias("sets"))
+    each = sorted_baskets.where(F.size("items") >= k).select("items", F.posexplode("items").alias("at", "item"))
+    each = each.where(F.col("at") <= F.size("items") - k).select("item", F.expr("slice(items, at + 2, size(items))").alias("rest"))
+    held = each.join(heads, "item").select("rest", F.explode("sets").alias("s"))
+    held = held.where(F.size(F.array_except(F.expr("slice(s.head, 2, size(s.head))"), "rest")) == 0)
+    found = held.select("s.head", F.explode(F.array_intersect("s.tails", "rest")).alias("tail"))
+    return found.groupBy("head", "tail").agg(F.count(F.lit(1)).alias("count")).select(F.concat("head", F.array("tail")).alias("items"), "count")
+
+
+def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, max_len: int | None = 3,
                       items: DataFrame | None = None, n_baskets: int | None = None) -> DataFrame:
     """MBK-2: itemsets (sorted array ``items``, ``itemset`` key, ``length``,
-    ``count``, ``support``) with support >= min_support, up to 3 items.
+    ``count``, ``support``) with support >= min_support, up to ``max_len``
+    items (None: of any length).
 
     ``items`` optionally restricts mining to a given item list (MBK-4);
-    the basket count stays the full count.
+    the basket count stays the full count.  Each level is stored.
     """
-    if not 1 <= max_len <= 3:
-        raise ValueError("itemsets of 1 to 3 items are mined")
-    bi = baskets.select("basket_id", "item").distinct()
+    if max_len is not None and max_len < 1:
+        raise ValueError("itemsets have one item at least")
+    bi = baskets.select("basket_id", "item").where("item IS NOT NULL").distinct()
     if items is not None:
-        bi = bi.join(F.broadcast(items.select("item")), "item", "left_semi")
-    # every level reads the distinct basket items: materialise them once
-    bi = bi.persist()
+        bi = bi.join(items.select("item"), "item", "left_semi")
     n = n_baskets if n_baskets is not None else basket_count(baskets)
-    min_count = F.lit(float(min_support))
-    sup = lambda c: F.col(c) / F.lit(float(n))
-    l1 = bi.groupBy("item").agg(F.count(F.lit(1)).alias("count")).withColumn("support", sup("count")) \
-        .where(F.col("support") >= min_count)
-    out = l1.select(F.array("item").alias("items"), F.lit(1).alias("length"), "count", "support")
-    if max_len >= 2:
-        fb = bi.join(F.broadcast(l1.select("item")), "item", "left_semi")
-        a, b = fb.alias("a"), fb.alias("b")
-        pairs = a.join(b, (F.col("a.basket_id") == F.col("b.basket_id")) & (F.col("a.item") < F.col("b.item"))) \
-            .select(F.col("a.basket_id").alias("basket_id"), F.col("a.item").alias("i1"), F.col("b.item").alias("i2"))
-        # the pair candidates feed the L2 counts and the L3 step: materialise once
-        pairs = pairs.persist()
-        l2 = pairs.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("count")).withColumn("support", sup("count")) \
-            .where(F.col("support") >= min_count)
-        l2 = l2.coalesce(max(1, baskets.sparkSession.sparkContext.defaultParallelism)).persist()
-        out = out.unionByName(l2.select(F.array("i1", "i2").alias("items"), F.lit(2).alias("length"),
-                                        "count", "support"))
-        if max_len >= 3:
-            f2 = F.broadcast(l2.select("i1", "i2"))
-            bp = pairs.join(f2, ["i1", "i2"], "left_semi")
-            c = fb.select(F.col("basket_id"), F.col("item").alias("i3"))
-            trip = bp.join(c, (bp.basket_id == c.basket_id) & (F.col("i3") > F.col("i2"))) \
-                .select("i1", "i2", "i3")
-            trip = trip.join(f2.select(F.col("i1"), F.col("i2").alias("i3")), ["i1", "i3"], "left_semi") \
-                .join(f2.select(F.col("i1").alias("i2"), F.col("i2").alias("i3")), ["i2", "i3"], "left_semi")
-            l3 = trip.groupBy("i1", "i2", "i3").agg(F.count(F.lit(1)).alias("count")) \
-                .withColumn("support", sup("count")).where(F.col("support") >= min_count)
-            out = out.unionByName(l3.select(F.array("i1", "i2", "i3").alias("items"), F.lit(3).alias("length"),
-                                            "count", "support"))
-    # the itemset table is small (bounded by the frequent itemsets) and is
-    # read three times by rule generation
-    # (a union of three aggregates: coalesced so later joins do not re-scan
-    # three times the shuffle partition count of near-empty partitions)
-    parts = max(1, out.sparkSession.sparkContext.defaultParallelism)
-    return out.withColumn("itemset", _key(F.col("items"))).coalesce(parts).persist()
+
+    def frequent(counts: DataFrame) -> DataFrame:
+        level = counts.withColumn("support", F.col("count") / F.lit(float(n))).where(F.col("support") >= F.lit(float(min_support)))
+        return stored(level.select("items", "count", "support"), "level")
+
+    levels = [frequent(bi.groupBy("item").agg(F.count(F.lit(1)).alias("count")).withColumn("items", F.array("item")))]
+    k, sorted_baskets = 2, None
+    while (max_len is None or k <= max_len) and not levels[-1].isEmpty():
+        if k == 2:
+            known = stored(bi.join(levels[0].select(F.element_at("items", 1).alias("item")), "item", "left_semi"), "baskets")
+            pairs = item_pairs(known.withColumn("lines", F.lit(1)))
+            counts = pairs.groupBy("a.item", "b.item").agg(F.count(F.lit(1)).alias("count")).toDF("x", "y", "count").withColumn("items", F.array("x", "y"))
+        else:
+            if sorted_baskets is None:  # at most the frequent items in a row
+                sorted_baskets = stored(known.groupBy("basket_id").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") >= k), "sorted")
+            counts = counted(stored(candidates(levels[-1], k), "candidates"), sorted_baskets, k)
+        levels.append(frequent(counts))
+        k += 1
+    out = levels[0].withColumn("length", F.lit(1))
+    for length, level in enumerate(levels[1:], 2):
+        out = out.unionByName(level.withColumn("length", F.lit(length)))
+    return out.select("items", "length", "count", "support", _key(F.col("items")).alias("itemset"))
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence: float | None = 0.1) -> DataFrame:
@@ -223,12 +262,13 @@ def basket_metrics(baskets: DataFrame) -> DataFrame:
 def co_occurrence(baskets: DataFrame) -> DataFrame:
     """MBK-9 / JOIN-8: symmetric pair counts over line positions in a basket:
     items x != y co-occur m_x * m_y times; x with itself m_x * (m_x - 1)."""
-    a, b = baskets.alias("a"), baskets.alias("b")
-    j = a.join(b, F.col("a.basket_id") == F.col("b.basket_id")).select(
-        F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"),
-        F.when(F.col("a.item") == F.col("b.item"), F.col("a.lines") * (F.col("a.lines") - 1))
-        .otherwise(F.col("a.lines") * F.col("b.lines")).alias("c"))
-    return j.groupBy("item_a", "item_b").agg(F.sum("c").alias("co_count")).where(F.col("co_count") > 0)
+    pairs = item_pairs(baskets).groupBy(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b")).agg(
+        F.sum(F.col("a.lines") * F.col("b.lines")).alias("co_count"))
+    # counted once for a < b, mirrored after that
+    both = pairs.select(F.explode(F.array(F.struct("item_a", "item_b", "co_count"), F.struct(
+        F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "co_count"))).alias("x")).select("x.*")
+    own = baskets.groupBy(F.col("item").alias("item_a")).agg(F.sum(F.col("lines") * (F.col("lines") - 1)).alias("co_count"))
+    return both.unionByName(own.select("item_a", F.col("item_a").alias("item_b"), "co_count")).where(F.col("co_count") > 0)
 
 
 def affinity_edges(rules: DataFrame, n_rules: int = 20) -> DataFrame:

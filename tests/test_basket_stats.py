@@ -80,3 +80,62 @@ def test_bootstrap_is_deterministic(spark):
     b = st.bootstrap_ci(df.repartition(7), "k", "v", 200).collect()[0]
     assert a == b
     assert a["ci_lower"] < a["statistic"] < a["ci_upper"]
+
+
+def brute_itemsets(lists, min_support):
+    from itertools import combinations
+    sets, out = [set(x) for x in lists], {}
+    for k in range(1, max(map(len, sets)) + 1):
+        for c in combinations(sorted(set().union(*sets)), k):
+            n = sum(set(c) <= x for x in sets)
+            if n / len(sets) >= min_support:
+                out[c] = n
+    return out
+
+
+def test_itemsets_of_any_length(spark):
+    r = np.random.default_rng(4)
+    lists = [[f"i{v}" for v in r.choice(9, int(r.integers(1, 9)), replace=False)] for _ in range(60)] + [["i1", "i2", "i3", "i4", "i5", "i6"]] * 12
+    want = brute_itemsets(lists, 0.2)
+    assert max(map(len, want)) >= 5
+    b = baskets(spark, lists)
+    every = {tuple(x["items"]): x["count"] for x in mb.frequent_itemsets(b, 0.2, None).collect()}
+    assert every == want
+    five = mb.frequent_itemsets(b, 0.2, 5)
+    assert {tuple(x["items"]): x["count"] for x in five.collect()} == {k: v for k, v in want.items() if len(k) <= 5}
+    rules = mb.association_rules(five, 0.0, None)
+    assert rules.count() == sum(2 ** len(k) - 2 for k in want if 2 <= len(k) <= 5)
+    with pytest.raises(ValueError):
+        mb.frequent_itemsets(b, 0.2, 0)
+
+
+def test_itemsets_of_empty_tables(spark):
+    assert mb.frequent_itemsets(baskets(spark, [["a"]]).limit(0), 0.1, None).count() == 0
+    assert mb.frequent_itemsets(baskets(spark, [["a"], ["b"], ["c"]]), 0.5, None).count() == 0
+
+
+def test_hot_basket_is_spread(spark):
+    """One basket holds most lines: its pairs come from many rows, and the counts are those of plain Python."""
+    lists = [[f"i{k:03d}" for k in range(150)] + ["i000"] * 2] + [["i000", "i001"], ["i001", "i149", "i149"]]
+    b = baskets(spark, lists)
+    blocks = mb.pair_blocks(b, 16)
+    groups = -(-150 // 16)
+    assert blocks.where("basket_id = 0").count() == groups * (groups + 1) // 2
+    sizes = blocks.select(F.size("low") + F.size("high")).collect()
+    assert max(x[0] for x in sizes) < 5 * 16
+    pairs = {(x["a"]["item"], x["b"]["item"]) for x in mb.item_pairs(b.where("basket_id = 0"), 16).collect()}
+    assert len(pairs) == 150 * 149 // 2 == mb.item_pairs(b.where("basket_id = 0"), 16).count()
+    want = {}
+    for x in lists:
+        for i, p in enumerate(x):
+            for j, q in enumerate(x):
+                if i != j:
+                    want[p, q] = want.get((p, q), 0) + 1
+    assert {(x["item_a"], x["item_b"]): x["co_count"] for x in mb.co_occurrence(b).collect()} == want
+
+
+def test_no_pair_table_is_kept(spark):
+    before = spark._jsc.sc().getPersistentRDDs().size()
+    b = baskets(spark, [["a", "b", "c"], ["a", "b"], ["a", "c"], ["a", "b", "c"]])
+    mb.frequent_itemsets(b, 0.5).count()
+    assert spark._jsc.sc().getPersistentRDDs().size() == before

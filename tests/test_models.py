@@ -108,13 +108,44 @@ def test_spearman_ranks_pairwise_complete_rows(spark):
     assert out[("x", "x")] == pytest.approx(1.0)
 
 
-def test_granger_finds_the_cause():
-    from ledgerlens.operators.timeseries import granger_min_p
+def granger_brute(effect, cause, max_lag):
+    """Least squares for each lag, one after the other."""
+    out, n = [], len(effect)
+    ssr = lambda y, x: float(np.sum((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2))
+    for lag in range(1, max_lag + 1):
+        own, other = (np.column_stack([s[lag - k:n - k] for k in range(1, lag + 1)]) for s in (effect, cause))
+        ones, y = np.ones((n - lag, 1)), effect[lag:]
+        r, u = ssr(y, np.hstack([ones, own])), ssr(y, np.hstack([ones, own, other]))
+        out.append(pv.chi2_sf((n - lag) * (r - u) / u, lag))
+    return min(out)
+
+
+def test_granger_against_least_squares():
+    from ledgerlens.operators.timeseries import chi2_tails, granger_p
     r = np.random.default_rng(9)
     x, noise = r.normal(size=200), r.normal(size=200)
     y = np.concatenate([[0.0], x[:-1]]) + 0.3 * noise
-    assert granger_min_p(y, x, 4) < 1e-10
-    assert granger_min_p(r.normal(size=200), noise, 4) > 1e-4
+    series = np.stack([x, y, noise, r.normal(size=200) * 1e6 + 1e7, r.gamma(0.2, 1e5, 200) * (r.random(200) < 0.1)])
+    got = granger_p(series, series, 4)
+    for c, e in itertools.permutations(range(len(series)), 2):
+        assert got[c, e] == pytest.approx(granger_brute(series[e], series[c], 4), rel=1e-6, abs=1e-12)
+    assert got[0, 1] < 1e-10
+    constant = granger_p(np.stack([x, np.full(200, 5.0)]), np.stack([y, np.full(200, 3.0)]), 2)
+    assert np.isnan(constant[0, 1]) and not np.isnan(constant[0, 0])
+    for dof in range(1, 8):
+        v = np.array([0.0, 0.3, 2.0, 11.0, 60.0])
+        assert chi2_tails(v, dof) == pytest.approx([pv.chi2_sf(z, dof) if z else 1.0 for z in v], rel=1e-9)
+
+
+def test_granger_blocks_change_nothing(spark):
+    from ledgerlens.operators.timeseries import granger_matrix
+    r = np.random.default_rng(1)
+    rows = [(f"c{c}", f"2024-{1 + d // 28:02d}-{1 + d % 28:02d} 10:00:00", round(float(r.gamma(1, 100)), 4)) for c in range(7) for d in range(0, 330, 3) if r.random() < 0.9]
+    sales = spark.createDataFrame(rows, "CategoryName string, d string, TotalDue double").selectExpr("CategoryName", "timestamp(d) AS OrderDate", "TotalDue")
+    one = {(x.cause, x.effect): x.p_value for x in granger_matrix(sales).collect()}
+    many = {(x.cause, x.effect): x.p_value for x in granger_matrix(sales, block=2).collect()}
+    assert len(one) == 42 and one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], rel=1e-9) for k in one)
+    assert granger_matrix(sales.where("OrderDate < '2024-02-20'")).count() == 0
 
 
 def test_p_values_for_many_degrees_of_freedom():

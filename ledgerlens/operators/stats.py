@@ -11,11 +11,12 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import pvalues as pv
-from ledgerlens.operators.order_stats import average_ranks, collect_scalars
+from ledgerlens.operators.order_stats import average_ranks, collect_scalars, exact_quantile, exact_quantiles
+from ledgerlens.session import stored
 
 # Fixed values (must equal the reference for equal results) -------------
 ALPHA = 0.05
@@ -172,34 +173,99 @@ def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson")
 POISSON1_CDF = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
 
 
-def hash_uniform(key, rep) -> F.Column:
-    """Uniform [0, 1) from the md5 of 'key:rep' (portable across engines)."""
-    h = F.md5(F.concat_ws(":", key.cast("string"), rep.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+#: 32-bit draws of one md5 digest.
+DRAWS = 4
+STATISTICS = ("mean", "median", "sum", "std")
+
+
+def poisson_weight(digest: Column, draw: int) -> Column:
+    """The Poisson(1) weight of a digest's draw: a uniform of 8 hex digits against the cumulative probabilities."""
+    u = F.conv(F.substring(digest, 1 + 8 * draw, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return sum((u >= F.lit(c)).cast("int") for c in POISSON1_CDF)
+
+
+def _digests(base: DataFrame, n_boot: int) -> DataFrame:
+    """Each row once for every ``DRAWS`` replicates, with the digest that weighs it in them."""
+    g = base.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS))))
+    return g.withColumn("_h", F.md5(F.concat_ws(":", F.col("_k").cast("string"), F.col("_g").cast("string"))))
+
+
+def _per_replicate(grouped: DataFrame, names: list[str], n_boot: int) -> DataFrame:
+    """Columns name|draw of a row per digest number -> one row per replicate ``_b``."""
+    each = F.array(*[F.struct((F.col("_g") * DRAWS + d).alias("_b"), *[F.col(f"{n}|{d}").alias(n) for n in names]) for d in range(DRAWS)])
+    return grouped.select(F.explode(each).alias("x")).select("x.*").where(F.col("_b") < n_boot)
+
+
+def _moments(base: DataFrame, n_boot: int) -> DataFrame:
+    """_b, w, wv, wvv: sums of the weights and of the weighted first and second powers."""
+    aggs = []
+    for d in range(DRAWS):
+        w = poisson_weight(F.col("_h"), d)
+        aggs += [F.sum(w).alias(f"w|{d}"), F.sum(w * F.col("_v")).alias(f"wv|{d}"), F.sum(w * F.col("_v") * F.col("_v")).alias(f"wvv|{d}")]
+    return _per_replicate(_digests(base, n_boot).groupBy("_g").agg(*aggs), ["w", "wv", "wvv"], n_boot)
+
+
+def _medians(base: DataFrame, n: int, n_boot: int, spread: float = 8.0) -> DataFrame:
+    """_b, stat: the median of each replicate's resampled values, exactly.
+
+    The medians of all replicates lie within a few standard errors, so a
+    bracket of about ``spread`` * sqrt(n) rows around the sample median is
+    sorted for each replicate, and the weights below the bracket are only
+    summed.  If a replicate's median lies outside, the bracket is widened.
+    """
+    while True:
+        half = spread / (2.0 * math.sqrt(n))
+        lo, hi = (q["value"] for q in exact_quantiles(base, "_v", [max(0.0, 0.5 - half), min(1.0, 0.5 + half)]))
+        aggs = []
+        for d in range(DRAWS):
+            w = poisson_weight(F.col("_h"), d)
+            aggs += [F.sum(w).alias(f"w|{d}"), F.sum(F.when(F.col("_v") < lo, w).otherwise(0)).alias(f"below|{d}")]
+        totals = _per_replicate(_digests(base, n_boot).groupBy("_g").agg(*aggs), ["w", "below"], n_boot)
+        near = _digests(base.where(F.col("_v").between(lo, hi)), n_boot)
+        near = near.select("_v", F.explode(F.array(*[F.struct((F.col("_g") * DRAWS + d).alias("_b"), poisson_weight(F.col("_h"), d).alias("_w"))
+                                                     for d in range(DRAWS)])).alias("x")).select("_v", "x._b", "x._w")
+        near = near.where((F.col("_w") > 0) & (F.col("_b") < n_boot)).groupBy("_b", "_v").agg(F.sum("_w").alias("_w"))
+        upto = F.sum("_w").over(Window.partitionBy("_b").orderBy("_v"))  # a bracket's rows
+        ranked = near.withColumn("_to", upto).join(totals, "_b").withColumn("_to", F.col("_to") + F.col("below"))
+        first, second = F.floor((F.col("w") + 1) / 2), F.floor(F.col("w") / 2) + 1
+        held = lambda r: F.max(F.when((F.col("_to") >= r) & (F.col("_to") - F.col("_w") < r), F.col("_v")))
+        found = ranked.groupBy("_b").agg(((held(first) + held(second)) / 2).alias("stat"))
+        found = stored(totals.where("w > 0").select("_b").join(found, "_b", "left"), "medians")
+        if half >= 0.5 or found.where("stat IS NULL").isEmpty():
+            return found
+        spread *= 4
 
 
 def bootstrap_ci(df: DataFrame, key_col: str, value_col: str, n_boot: int = 1000,
                  confidence: float = 0.95, statistic: str = "mean") -> DataFrame:
-    """STA-5: percentile bootstrap of the mean with Poisson(1) resampling
-    weights drawn from a hash of (row key, replicate): deterministic under
-    any partitioning.  Each row is expanded to ``n_boot`` weighted copies
-    inside the task and summed per replicate (partial aggregation), so the
-    shuffle carries tasks x replicates partial sums."""
-    if statistic != "mean":
-        raise ValueError("only the weighted mean statistic is supported")
-    base = df.select(F.col(key_col).alias("_k"), F.col(value_col).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull())
-    rep = base.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = hash_uniform(F.col("_k"), F.col("_b"))
-    w = sum((u >= F.lit(c)).cast("int") for c in POISSON1_CDF)
-    reps = rep.withColumn("_w", w).groupBy("_b").agg(
-        (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("stat"))
+    """STA-5: percentile bootstrap of the mean, median, sum or (population)
+    standard deviation with Poisson(1) resampling weights drawn from a hash of
+    (row key, replicate): deterministic under any partitioning.  One digest
+    weighs a row in ``DRAWS`` replicates; sums combine before the shuffle, so
+    it carries tasks x replicates partial sums.  A replicate's sum is that of
+    as many values as there are rows.  A replicate that draws no row has no
+    statistic; without values all results are null."""
+    if statistic not in STATISTICS:
+        raise ValueError(f"statistic must be one of {STATISTICS}")
+    base = df.select(F.col(key_col).alias("_k"), F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    seen = collect_scalars(base.agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.sum("_v").alias("sum"), F.stddev_pop("_v").alias("std")))
+    n, own = seen["n"], seen["mean"]
+    if statistic == "median":
+        reps = _medians(base, n, n_boot) if n else None
+        stat = exact_quantile(base, "_v", 0.5) if n else None
+    else:
+        stat = seen[statistic]
+        # squares of deviations from the mean keep their digits
+        shifted = base.withColumn("_v", F.col("_v") - F.lit(own)) if statistic == "std" else base
+        m = _moments(shifted, n_boot).where("w > 0") if n else None
+        mean = F.col("wv") / F.col("w")
+        of = {"mean": mean, "sum": mean * F.lit(float(n)),
+              "std": F.sqrt(F.greatest(F.col("wvv") / F.col("w") - mean * mean, F.lit(0.0)))}
+        reps = m.select("_b", of[statistic].alias("stat")) if n else None
+    schema = "statistic double, ci_lower double, ci_upper double, bootstrap_mean double, bootstrap_std double, confidence_level double"
+    if not n:
+        return df.sparkSession.createDataFrame([(None, None, None, None, None, confidence)], schema)
     alpha = 1.0 - confidence
-    s = collect_scalars(reps.agg(
-        F.percentile("stat", alpha / 2).alias("lo"), F.percentile("stat", 1 - alpha / 2).alias("hi"),
-        F.avg("stat").alias("m"), F.stddev_pop("stat").alias("sd")))
-    stat = collect_scalars(base.agg(F.avg("_v")))[0]
-    return df.sparkSession.createDataFrame(
-        [(stat, s["lo"], s["hi"], s["m"], s["sd"], confidence)],
-        "statistic double, ci_lower double, ci_upper double, bootstrap_mean double, bootstrap_std double, "
-        "confidence_level double")
+    return reps.agg(F.lit(stat).cast("double").alias("statistic"), F.percentile("stat", alpha / 2).alias("ci_lower"),
+                    F.percentile("stat", 1 - alpha / 2).alias("ci_upper"), F.avg("stat").alias("bootstrap_mean"),
+                    F.stddev_pop("stat").alias("bootstrap_std"), F.lit(confidence).alias("confidence_level"))

@@ -82,6 +82,34 @@ def test_bootstrap_is_deterministic(spark):
     assert a["ci_lower"] < a["statistic"] < a["ci_upper"]
 
 
+@pytest.mark.parametrize("statistic", ["mean", "median", "sum", "std"])
+def test_bootstrap_statistics_against_plain_replicates(spark, statistic):
+    import hashlib
+    r = np.random.default_rng(3)
+    values = [*r.normal(50, 10, 150).round(2).tolist(), None, 0.0, 0.0, 500.0]
+    df = spark.createDataFrame(list(enumerate(values)), "k long, v double")
+    known = [(k, v) for k, v in enumerate(values) if v is not None]
+    v = np.array([x for _, x in known])
+    stats = []
+    for b in range(90):
+        u = [int(hashlib.md5(f"{k}:{b // 4}".encode()).hexdigest()[8 * (b % 4):][:8], 16) / 2**32 for k, _ in known]
+        sample = np.repeat(v, [sum(x >= c for c in st.POISSON1_CDF) for x in u])
+        stats.append({"mean": sample.mean(), "median": np.median(sample), "sum": sample.mean() * len(v), "std": sample.std()}[statistic])
+    own = {"mean": v.mean(), "median": np.median(v), "sum": v.sum(), "std": v.std()}[statistic]
+    got = st.bootstrap_ci(df, "k", "v", 90, 0.9, statistic).collect()[0]
+    assert tuple(got) == pytest.approx((own, np.percentile(stats, 5), np.percentile(stats, 95), np.mean(stats), np.std(stats), 0.9))
+    few = st.bootstrap_ci(df.where("k < 3"), "k", "v", 8, 0.9, statistic).collect()[0]
+    assert few["statistic"] is not None
+    assert st.bootstrap_ci(df.where("v IS NULL"), "k", "v", 8, 0.9, statistic).collect()[0]["statistic"] is None
+
+
+def test_bootstrap_bracket_widens(spark):
+    from ledgerlens.operators.stats import _medians
+    df = spark.createDataFrame([(i, float(i * i % 101)) for i in range(400)], "_k long, _v double")
+    narrow = sorted(map(tuple, _medians(df, 400, 40, spread=0.05).collect()))
+    assert narrow == sorted(map(tuple, _medians(df, 400, 40, spread=1000.0).collect())) and None not in dict(narrow).values()
+
+
 def brute_itemsets(lists, min_support):
     from itertools import combinations
     sets, out = [set(x) for x in lists], {}

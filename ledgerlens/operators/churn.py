@@ -1,8 +1,10 @@
 """Churn and survival (CHN-2..11, SNK-1).
 
-* Kaplan-Meier and the Cox partial likelihood only need per-distinct-time
-  sums (distinct times are days, bounded by the calendar); the row work is
-  one groupBy(time) per Newton iteration, the k x k solve runs on the driver.
+* Kaplan-Meier and the Cox partial likelihood need per-distinct-time sums,
+  which combine before the shuffle however many rows share a time, and running
+  sums of those over ranges of time.  Times may be timestamps: nothing per
+  distinct time reaches the driver, which gets one row for each range and does
+  the k x k solve of a Newton step.
 * Concordance is counted exactly without pairing rows: discordant-free
   pairs (earlier event, later time, lower risk) are a dominance count over
   positions in time order (see ``trends._count_dominated``), risk ties are
@@ -16,12 +18,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import logistic, min_guarded
 from ledgerlens.functions.pvalues import norm_sf
-from ledgerlens.operators.order_stats import collect_scalars, exact_quantiles, row_index
+from ledgerlens.operators.order_stats import collect_scalars, exact_quantiles, prefix_sums, row_index
+from ledgerlens.session import stored
 
 # Fixed values (must equal the reference for equal results) -------------
 RISK_WEIGHTS = (0.5, 0.3, 0.2)
@@ -36,15 +40,15 @@ def kaplan_meier(df: DataFrame, duration_col: str = "Time", event_col: str = "Ch
     """CHN-4: survival S(t) = prod_{t' <= t} (1 - d/n) at every distinct time."""
     per_t = df.where(F.col(duration_col).isNotNull()).groupBy(F.col(duration_col).alias("time")).agg(
         F.count(F.lit(1)).alias("removed"), F.sum(F.col(event_col).cast("long")).alias("events"))
-    w_suffix = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    w_prefix = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    at_risk = per_t.withColumn("at_risk", F.sum("removed").over(w_suffix))
-    log_term = F.when(F.col("events") < F.col("at_risk"),
-                      F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(F.lit(0.0))
-    zero = F.sum((F.col("events") >= F.col("at_risk")).cast("int")).over(w_prefix)
-    out = at_risk.withColumn("_log", F.sum(log_term).over(w_prefix)).withColumn("_zero", zero)
+    total = collect_scalars(per_t.agg(F.sum("removed")))[0]
+    at_risk = prefix_sums(per_t, ["time"], ["removed"]).withColumn(
+        "at_risk", F.lit(total) - F.col("upto_removed") + F.col("removed")).drop("upto_removed")
+    # the factors as pairs: how many are zero, and the logarithms of the others
+    log_term = F.when(F.col("events") < F.col("at_risk"), F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(F.lit(0.0))
+    zero = (F.col("events") >= F.col("at_risk")).cast("long")
+    out = prefix_sums(at_risk.withColumn("_log", log_term).withColumn("_zero", zero), ["time"], ["_log", "_zero"])
     return out.select("time", "at_risk", "events", (F.col("removed") - F.col("events")).alias("censored"),
-                      F.when(F.col("_zero") > 0, F.lit(0.0)).otherwise(F.exp("_log")).alias("survival"))
+                      F.when(F.col("upto__zero") > 0, F.lit(0.0)).otherwise(F.exp("upto__log")).alias("survival"))
 
 
 def churn_risk_score(churn_prob, customer_value, recency_days):
@@ -100,65 +104,133 @@ def risk_factors(df: DataFrame, target: str = "Churned", top_n: int = 10,
 
 # -- Cox proportional hazards --------------------------------------------
 
-def _time_sums(data: DataFrame, beta: np.ndarray, feats: list[str]):
-    """Per distinct time: sums over all rows and over event rows of
-    e^eta, x e^eta, x x^T e^eta (+ event count and sum of x)."""
-    k = len(feats)
-    eta = sum(F.col(f) * F.lit(float(b)) for f, b in zip(feats, beta)) if k else F.lit(0.0)
-    d = data.withColumn("_e", F.exp(eta))
-    ev = F.col("_ev") == 1
-    aggs = [F.sum("_e").alias("a0"), F.sum(F.when(ev, F.col("_e")).otherwise(0.0)).alias("b0"),
-            F.sum(F.col("_ev")).alias("d"), F.sum(F.when(ev, eta).otherwise(0.0)).alias("eta_d")]
-    for i, f in enumerate(feats):
-        aggs += [F.sum(F.col(f) * F.col("_e")).alias(f"a1_{i}"),
-                 F.sum(F.when(ev, F.col(f) * F.col("_e")).otherwise(0.0)).alias(f"b1_{i}"),
-                 F.sum(F.when(ev, F.col(f)).otherwise(0.0)).alias(f"sx_{i}")]
-        for j in range(i, k):
-            g = feats[j]
-            aggs += [F.sum(F.col(f) * F.col(g) * F.col("_e")).alias(f"a2_{i}_{j}"),
-                     F.sum(F.when(ev, F.col(f) * F.col(g) * F.col("_e")).otherwise(0.0)).alias(f"b2_{i}_{j}")]
-    rows = d.groupBy("_t").agg(*aggs).orderBy(F.desc("_t")).collect()
-    return rows
-
-
-def _efron(rows, k: int):
-    """Log-likelihood, gradient and Hessian (Efron ties) from per-time sums,
-    rows sorted by descending time (risk sets are suffix sums)."""
-    ll, g, h = 0.0, np.zeros(k), np.zeros((k, k))
-    s0, s1, s2 = 0.0, np.zeros(k), np.zeros((k, k))
-    for r in rows:
-        s0 += r["a0"]
-        s1 += np.array([r[f"a1_{i}"] for i in range(k)])
-        for i in range(k):
-            for j in range(i, k):
-                s2[i, j] += r[f"a2_{i}_{j}"]
-                s2[j, i] = s2[i, j]
-        d = int(r["d"])
-        if d == 0:
-            continue
-        b0 = r["b0"]
-        b1 = np.array([r[f"b1_{i}"] for i in range(k)])
-        b2 = np.zeros((k, k))
+TIME_SUMS = "_range int, _t double, d bigint, eta_d double, sx array<double>, a array<double>, b array<double>"
+
+
+def _time_sums(beta: np.ndarray, feats: list[str]):
+    """Per batch and distinct time: event count, the events' sums of eta and x,
+    and sums over all rows (a) and event rows (b) of e^eta, x e^eta, x x^T e^eta (upper triangle)."""
+    i, j = np.triu_indices(len(feats))
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, event = pdf[feats].to_numpy(float).reshape(len(pdf), -1), pdf["_ev"].to_numpy() == 1
+            eta = x @ beta
+            terms = np.column_stack([np.ones(len(x)), x, x[:, i] * x[:, j]]) * np.exp(eta)[:, None]
+            times, first, at = np.unique(pdf["_t"].to_numpy(float), return_index=True, return_inverse=True)
+
+            def summed(values, only=None):
+                out = np.zeros((len(times), values.shape[1]))
+                np.add.at(out, at if only is None else at[only], values if only is None else values[only])  # noqa: B023
+                return out
+
+            yield pd.DataFrame({"_range": pdf["_range"].to_numpy()[first], "_t": times, "d": np.bincount(at, weights=event, minlength=len(times)).astype("int64"),
+                                "eta_d": summed(eta[:, None], event)[:, 0], "sx": list(summed(x, event)), "a": list(summed(terms)), "b": list(summed(terms, event))})
+
+    return run
+
+
+def _gamma_differences(z0: np.ndarray, z1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log gamma, digamma and (negated) trigamma at z1 less those at z0 (1 <= z0 <= z1), without cancellation.
+
+    Both arguments are raised by the recurrences, then the asymptotic series are
+    subtracted term by term.
+    """
+    steps = 20
+    log, psi, tri = np.zeros_like(z0), np.zeros_like(z0), np.zeros_like(z0)
+    for j in range(steps):
+        log -= np.log((z1 + j) / (z0 + j))
+        psi += (z1 - z0) / ((z1 + j) * (z0 + j))
+        tri += (z1 - z0) * (z1 + z0 + 2 * j) / ((z1 + j) * (z0 + j)) ** 2
+    x, y = z0 + steps, z1 + steps
+    ratio = np.log1p((y - x) / x)
+    u, v = 1.0 / x, 1.0 / y
+    log += (x - 0.5) * ratio + (y - x) * np.log(y) - (y - x) + (v - u) / 12 - (v**3 - u**3) / 360 + (v**5 - u**5) / 1260
+    psi += ratio - (v - u) / 2 - (v**2 - u**2) / 12 + (v**4 - u**4) / 120 - (v**6 - u**6) / 252
+    tri += (u - v) + (u**2 - v**2) / 2 + (u**3 - v**3) / 6 - (u**5 - v**5) / 30 + (u**7 - v**7) / 42
+    return log, psi, tri
+
+
+def efron_ties(s0: np.ndarray, b0: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums over l < d of log phi, 1/phi, f/phi, 1/phi^2, f/phi^2, f^2/phi^2
+    with f = l/d and phi = s0 - f b0, in closed form (d >= 1)."""
+    c = np.maximum(s0 / b0 * d, d)
+    log, psi, tri = _gamma_differences(c - d + 1.0, c + 1.0)
+    unit = d / b0
+    i1, i2 = unit * psi, unit * unit * tri
+    few = d <= 16  # few ties are summed one by one, which keeps all digits of the small terms
+    f1, f2, ff = (s0 * i1 - d) / b0, (s0 * i2 - i1) / b0, (s0 * s0 * i2 - 2 * s0 * i1 + d) / (b0 * b0)
+    out = [d * np.log(b0 / d) + log, i1, f1, i2, f2, ff]
+    direct = np.zeros((6, len(d)))
+    for l in range(int(d[few].max(initial=0))):
+        on = few & (l < d)
+        f = l / d[on]
+        phi = s0[on] - f * b0[on]
+        direct[:, on] += [np.log(phi), 1 / phi, f / phi, 1 / phi**2, f / phi**2, (f / phi) ** 2]
+    return tuple(np.where(few, y, x) for x, y in zip(out, direct))
+
+
+def _range_efron(k: int, before: dict):
+    """A range's part of the log-likelihood, gradient and Hessian; ``before``: the sums of all later times."""
+    upper = list(zip(*np.triu_indices(k)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        times, at = np.unique(-pdf["_t"].to_numpy(float), return_inverse=True)  # descending
+
+        def merged(column):
+            values = np.stack(pdf[column].to_list()).reshape(len(pdf), -1) if pdf[column].dtype == object else pdf[column].to_numpy(float)[:, None]
+            out = np.zeros((len(times), values.shape[1]))
+            np.add.at(out, at, values)
+            return out
+
+        s = merged("a").cumsum(axis=0) + before[int(pdf["_range"].iloc[0])]
+        d = merged("d")[:, 0]
+        on = d > 0
+        s, b, sx = s[on], merged("b")[on], merged("sx")[on]
+        lsum, i1, f1, i2, f2, ff = efron_ties(s[:, 0], b[:, 0], d[on])
+        row = {"ll": float(pdf["eta_d"].sum() - lsum.sum())}
         for i in range(k):
-            for j in range(i, k):
-                b2[i, j] = b2[j, i] = r[f"b2_{i}_{j}"]
-        ll += r["eta_d"]
-        g += np.array([r[f"sx_{i}"] for i in range(k)])
-        # Efron: phi_l = s0 - (l/d) b0, l = 0..d-1; only scalar sums over l
-        # are needed (vectorised in chunks, no per-tie matrix work)
-        sums = np.zeros(6)
-        for start in range(0, d, 1 << 20):
-            frac = np.arange(start, min(d, start + (1 << 20)), dtype=np.float64) / d
-            phi = s0 - frac * b0
-            inv = 1.0 / phi
-            sums += [np.log(phi).sum(), inv.sum(), (frac * inv).sum(), (inv * inv).sum(),
-                     (frac * inv * inv).sum(), (frac * frac * inv * inv).sum()]
-        lsum, i1, if1, i2, if2, iff2 = sums
-        ll -= lsum
-        g -= s1 * i1 - b1 * if1
-        h -= (s2 * i1 - b2 * if1) - (np.outer(s1, s1) * i2 - (np.outer(s1, b1) + np.outer(b1, s1)) * if2
-                                     + np.outer(b1, b1) * iff2)
-    return ll, g, h
+            row[f"g_{i}"] = float((sx[:, i] - (s[:, 1 + i] * i1 - b[:, 1 + i] * f1)).sum())
+        for at_, (i, j) in enumerate(upper, 1 + k):
+            si, sj, bi, bj = s[:, 1 + i], s[:, 1 + j], b[:, 1 + i], b[:, 1 + j]
+            row[f"h_{i}_{j}"] = float((si * sj * i2 - (si * bj + bi * sj) * f2 + bi * bj * ff - (s[:, at_] * i1 - b[:, at_] * f1)).sum())
+        return pd.DataFrame([row])
+
+    return run
+
+
+def _efron(data: DataFrame, beta: np.ndarray, feats: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, gradient and Hessian (Efron ties) of rows (_range, _t, _ev, feats).
+
+    Risk sets are suffix sums over ranges of time: each range starts from the
+    totals of the later ones.  Rows of one time combine in their batch.
+    """
+    k = len(feats)
+    sums = stored(data.mapInPandas(_time_sums(beta, feats), TIME_SUMS), "risk-sets")
+    totals = sums.select("_range", F.posexplode("a").alias("at", "v")).groupBy("_range", "at").agg(F.sum("v").alias("v")).collect()
+    by_range: dict = {}
+    for r in totals:  # ranges x sums
+        by_range.setdefault(r["_range"], {})[r["at"]] = r["v"]
+    before, held = {}, np.zeros(1 + k + k * (k + 1) // 2)
+    for n in sorted(by_range, reverse=True):
+        before[n] = held
+        held = held + np.array([v for _, v in sorted(by_range[n].items())])
+    columns = ["ll"] + [f"g_{i}" for i in range(k)] + [f"h_{i}_{j}" for i, j in zip(*np.triu_indices(k))]
+    parts = sums.groupBy("_range").applyInPandas(_range_efron(k, before), ", ".join(f"{c} double" for c in columns))
+    r = collect_scalars(parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns]))
+    h = np.zeros((k, k))
+    for i, j in zip(*np.triu_indices(k)):
+        h[i, j] = h[j, i] = r[f"h_{i}_{j}"]
+    return r["ll"], np.array([r[f"g_{i}"] for i in range(k)]), h
+
+
+def _time_ranges(base: DataFrame, duration_col: str) -> Column:
+    """The number of the range that a time falls into; a time is never cut."""
+    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(base.stat.approxQuantile(duration_col, [i / n for i in range(1, n)], 0.1 / n)))
+    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col(duration_col))) if bounds else F.lit(0)
 
 
 class CoxResult:
@@ -192,18 +264,18 @@ def fit_cox(df: DataFrame, duration_col: str = "Time", event_col: str = "Churned
         feature_cols = [f.name for f in df.schema.fields if f.name not in COX_EXCLUDE
                         and f.dataType.typeName() in ("integer", "long", "double")]
     cols = [duration_col, event_col] + feature_cols
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    base = stored(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(), "cox-input")
     mom = collect_scalars(base.agg(*[F.avg(c).alias(f"m_{c}") for c in feature_cols],
                                    *[F.stddev_samp(c).alias(f"s_{c}") for c in feature_cols]))
     feats = [c for c in feature_cols if mom[f"s_{c}"] and mom[f"s_{c}"] > 0]
-    data = base.select(F.col(duration_col).alias("_t"), F.col(event_col).cast("int").alias("_ev"),
+    data = base.select(_time_ranges(base, duration_col).alias("_range"), F.col(duration_col).alias("_t"), F.col(event_col).cast("int").alias("_ev"),
                        *[((F.col(c) - F.lit(mom[f"m_{c}"])) / F.lit(mom[f"s_{c}"])).alias(f"z{i}")
-                         for i, c in enumerate(feats)]).persist()
+                         for i, c in enumerate(feats)])
+    data = stored(data, "cox")
     zs = [f"z{i}" for i in range(len(feats))]
     k = len(zs)
     beta = np.zeros(k)
-    rows = _time_sums(data, beta, zs)
-    ll, g, h = _efron(rows, k)
+    ll, g, h = _efron(data, beta, zs)
     it = 0
     for it in range(1, max_iter + 1):
         hp = h - penalizer * np.eye(k)
@@ -211,8 +283,7 @@ def fit_cox(df: DataFrame, duration_col: str = "Time", event_col: str = "Churned
         step = _newton_step(hp, gp)
         new = beta + step
         for halving in range(30):
-            rows_n = _time_sums(data, new, zs)
-            ll_n, g_n, h_n = _efron(rows_n, k)
+            ll_n, g_n, h_n = _efron(data, new, zs)
             if ll_n - 0.5 * penalizer * new @ new >= ll - 0.5 * penalizer * beta @ beta - 1e-12:
                 break
             if halving == 29:
@@ -237,7 +308,6 @@ def fit_cox(df: DataFrame, duration_col: str = "Time", event_col: str = "Churned
     risk = data.select("_t", "_ev", sum(F.col(z) * F.lit(float(b)) for z, b in zip(zs, beta)).alias("_risk")) \
         if k else data.select("_t", "_ev", F.lit(0.0).alias("_risk"))
     c_index = concordance_index(risk, "_t", "_risk", "_ev")
-    data.unpersist()
     return CoxResult(summary, c_index, ll, it)
 
 
@@ -257,20 +327,19 @@ def concordance_index(df: DataFrame, duration_col: str, risk_col: str, event_col
     d = df.select(F.col(duration_col).cast("double").alias("t"), F.col(risk_col).cast("double").alias("r"),
                   F.col(event_col).cast("int").alias("e")).where(F.col("t").isNotNull() & F.col("r").isNotNull()) \
         .withColumn("_id", F.monotonically_increasing_id()).persist()
+    n = collect_scalars(d.agg(F.count(F.lit(1))))[0]
     per_t = d.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("ev"))
-    w_after = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-    adm = collect_scalars(per_t.withColumn("later", F.coalesce(F.sum("n").over(w_after), F.lit(0)))
-                          .agg(F.sum(F.col("ev") * F.col("later")).alias("a")))[0] or 0
+    adm = collect_scalars(prefix_sums(per_t, ["t"], ["n"]).agg(F.sum(F.col("ev") * (F.lit(n) - F.col("upto_n")))))[0] or 0
     if adm == 0:
         d.unpersist()
         return float("nan")
     cell = d.groupBy("r", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("ev"))
-    w_tie = Window.partitionBy("r").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-    ties = collect_scalars(cell.withColumn("later", F.coalesce(F.sum("n").over(w_tie), F.lit(0)))
-                           .agg(F.sum(F.col("ev") * F.col("later")).alias("x")))[0] or 0
+    # rows of a risk at later times: those up to the risk's end less those up to the cell
+    upto = stored(prefix_sums(cell, ["r", "t"], ["n"]), "cells")
+    ends = upto.groupBy("r").agg(F.max("upto_n").alias("end"))
+    ties = collect_scalars(upto.join(ends, "r").agg(F.sum(F.col("ev") * (F.col("end") - F.col("upto_n")))))[0] or 0
     pos = row_index(d, ["t", "r", "_id"], out_col="x").select(
         F.lit(0).alias("_k"), F.lit(0).cast("long").alias("tid"), "x", F.col("r").alias("z"), "e")
-    n = collect_scalars(d.agg(F.count(F.lit(1))))[0]
     counted = _count_dominated(pos, "_k", max(1, int(n - 1).bit_length()), strict=True, weight_col="e")
     conc = collect_scalars(counted.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("c")))[0]
     d.unpersist()

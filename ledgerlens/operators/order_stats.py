@@ -19,10 +19,12 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.session import stored
+
 N_BUCKETS = 1024
 FINAL_SIZE = 4096
 
@@ -206,8 +208,6 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str | None
     tasks instead of one window partition.  ``order_cols`` should make the
     order total where ties matter.
     """
-    from pyspark.sql import Window
-
     group_cols = list(group_cols)
     keys = group_cols + list(order_cols)
     spark = df.sparkSession
@@ -250,6 +250,31 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str | None
             .drop("_pid", "_local", "_off", "_val"))
 
 
+def prefix_sums(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str], prefix: str = "upto_",
+                num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of several columns at once, in ``order_cols`` order (which is total).
+
+    Rows are range partitioned and stored once; window sums run within a range,
+    and what the ranges before hold is added.  Only one row of totals for each
+    range reaches the driver.
+    """
+    spark, order_cols, value_cols = df.sparkSession, list(order_cols), list(value_cols)
+    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = stored(df.repartitionByRange(n_parts, *order_cols).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = sorted(ordered.groupBy("_range").agg(*[F.sum(c).alias(c) for c in value_cols]).collect(), key=lambda r: r["_range"])
+    offsets, held = [], [0] * len(value_cols)
+    for r in totals:  # at most n_parts rows
+        offsets.append((r["_range"], *held))
+        held = [h + (r[c] or 0) for h, c in zip(held, value_cols)]
+    types = {f.name: f.dataType.simpleString() for f in ordered.groupBy().agg(*[F.sum(c).alias(c) for c in value_cols]).schema.fields}
+    schema = "_range int, " + ", ".join(f"_before_{i} {types[c]}" for i, c in enumerate(value_cols))
+    offsets = [(o[0], *[float(x) if types[c] == "double" else x for x, c in zip(o[1:], value_cols)]) for o in offsets]
+    within = Window.partitionBy("_range").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    out = ordered.select("*", *[F.sum(c).over(within).alias(f"_own_{i}") for i, c in enumerate(value_cols)])
+    out = out.join(F.broadcast(spark.createDataFrame(offsets, schema)), "_range")
+    return out.select(*df.columns, *[(F.col(f"_own_{i}") + F.col(f"_before_{i}")).alias(prefix + c) for i, c in enumerate(value_cols)])
+
+
 def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
               out_col: str = "row_idx", num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order (within groups)."""

@@ -68,3 +68,82 @@ def test_classifier_requires_model(spark):
     clf = ch.ChurnClassifier()
     with pytest.raises(ValueError):
         clf.predict_proba(spark.createDataFrame([(1,)], "CustomerID long"))
+
+
+def test_efron_ties_in_closed_form():
+    import time
+    r = np.random.default_rng(5)
+    d = np.array([1, 2, 7, 16, 17, 40, 500, 3000, 25], dtype=float)
+    b0 = r.uniform(0.5, 2.0, len(d)) * d
+    s0 = b0 * np.array([1.0, 3.0, 1.0, 50.0, 1.0, 1.0001, 1.0, 200.0, 1e5])
+    got = ch.efron_ties(s0, b0, d)
+    for k in range(len(d)):
+        f = np.arange(d[k]) / d[k]
+        phi = s0[k] - f * b0[k]
+        want = [np.log(phi).sum(), (1 / phi).sum(), (f / phi).sum(), (phi**-2).sum(), (f / phi**2).sum(), (f**2 / phi**2).sum()]
+        assert [g[k] for g in got] == pytest.approx(want, rel=1e-9)
+    begin = time.time()
+    large = ch.efron_ties(np.array([2e7]), np.array([1e7]), np.array([1e7]))
+    assert time.time() - begin < 1 and large[1][0] == pytest.approx(math.log(2), rel=1e-6)  # the integral of 1 / (2 - x)
+
+
+def cox_brute(t, e, x):
+    """Newton steps on the Efron likelihood, tie by tie."""
+    x = (x - x.mean(axis=0)) / (scale := x.std(axis=0, ddof=1))
+    beta = np.zeros(x.shape[1])
+    for _ in range(30):
+        w, g, h = np.exp(x @ beta), np.zeros(len(beta)), np.zeros((len(beta), len(beta)))
+        for time in np.unique(t[e == 1]):
+            risk, tied = t >= time, (t == time) & (e == 1)
+            g += x[tied].sum(axis=0)
+            for m in range(tied.sum()):
+                weight = risk * w - m / tied.sum() * (tied * w)
+                mean = weight @ x / weight.sum()
+                g -= mean
+                h -= (x.T * weight) @ x / weight.sum() - np.outer(mean, mean)
+        beta = beta - np.linalg.solve(h, g)
+    return beta / scale, np.sqrt(np.diag(np.linalg.inv(-h))) / scale
+
+
+@pytest.mark.parametrize("tied", [True, False])
+def test_cox_against_plain_newton(spark, tied):
+    r = np.random.default_rng(2)
+    x = np.column_stack([r.normal(size=150), r.gamma(2.0, size=150), r.integers(0, 2, 150)])
+    t = r.exponential(np.exp(-0.5 * x[:, 0] + 0.3 * x[:, 1])) * 10
+    t = np.ceil(t) if tied else t
+    t[:50] = 4.0  # a third of all rows at one time
+    e = (r.random(150) < 0.7).astype(int)
+    df = spark.createDataFrame([(float(a), int(b), *map(float, c)) for a, b, c in zip(t, e, x)], "Time double, Churned int, x double, y double, z double")
+    got = ch.fit_cox(df, feature_cols=["x", "y", "z"]).summary.collect()
+    coef, se = cox_brute(t, e, x)
+    assert [c.coef for c in got] == pytest.approx(coef.tolist(), rel=1e-6)
+    assert [c.se_coef for c in got] == pytest.approx(se.tolist(), rel=1e-6)
+
+
+def test_survival_curve_of_timestamps(spark):
+    r = np.random.default_rng(7)
+    t, e = r.integers(0, 10**12, 3000).tolist(), r.integers(0, 2, 3000).tolist()
+    t[:1000] = [5 * 10**11] * 1000
+    df = spark.createDataFrame(list(zip(t, e)), "Time long, Churned int").repartition(5)
+    curve = ch.kaplan_meier(df)
+    plan = curve._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    order, s, want = sorted(set(t)), 1.0, []
+    arr, ev = np.array(t), np.array(e)
+    for time in order:
+        risk, d = int((arr >= time).sum()), int(((arr == time) & (ev == 1)).sum())
+        s *= 1 - d / risk
+        want.append((time, risk, d, s))
+    got = sorted((x.time, x.at_risk, x.events, x.survival) for x in curve.collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-9)
+
+
+def test_prefix_sums_of_several_columns(spark):
+    from ledgerlens.operators.order_stats import prefix_sums
+    r = np.random.default_rng(1)
+    rows = [(int(k), int(r.integers(0, 9)), None if k % 11 == 0 else float(r.normal())) for k in r.permutation(500)]
+    got = sorted(map(tuple, prefix_sums(spark.createDataFrame(rows, "k long, a long, b double"), ["k"], ["a", "b"], num_partitions=6).collect()))
+    a, b = np.cumsum([x[1] for x in sorted(rows)]), np.cumsum([x[2] or 0.0 for x in sorted(rows)])
+    assert [x[3] for x in got] == a.tolist()
+    assert [x[4] for x in got if x[4] is not None] == pytest.approx([v for v, x in zip(b, got) if x[4] is not None])

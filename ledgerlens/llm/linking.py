@@ -129,10 +129,11 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar.  ``grams`` may lack what no other set holds; n counts all."""
-    x, y = sets.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "n", "grams")]), sets.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "n", "grams")])
-    both = pairs.join(x, F.col("a") == F.col("id_a")).join(y, F.col("b") == F.col("id_b"))
+    # each side takes its sets by the pairs, which are small, before the sides meet
+    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a")), "a")
+    y = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b")), "b")
     common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return both.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
+    return x.join(y, ["a", "b"]).where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = WIDTH) -> np.ndarray:

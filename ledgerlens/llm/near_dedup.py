@@ -9,20 +9,14 @@ Banding: ``BANDS`` bands of ``ROWS`` coordinates.  Two sets of similarity 0.8
 miss all 40 bands of five coordinates with a probability of about 1e-7.
 
 Equal sets form a class and only classes go on, so copies are never paired.
-Within a bucket (classes that agree in a band) not all pairs are tested: a
-bucket of few pairs for its members (``SPREAD`` each) is tested whole, as are
-all once the pairs that are left are few for the classes; a larger one goes
-round by round (the first round takes ``OPENING`` bands, which join most copies).  A round tests each member with one hub of its bucket, and
-links that are confirmed join components.  A bucket is finished when its
-members form one component, since a further link in it would change nothing;
-pairs within a component are never counted as left over.  What is still open
-after ``ROUNDS`` rounds is tested whole, so every candidate pair is tested or
-already connected and no link is lost to a cap.  Links are confirmed on the
-full sets of shingles.
+Classes that agree in a band are candidates.  `linking` resolves them without
+making all pairs of a bucket: buckets with the same members count once, members
+are tested with hubs of their bucket in rounds, and what is not connected then
+meets in products of bounded blocks.  Every candidate pair is tested on the full
+sets of shingles or connected already, so no link is lost to a cap.
 
-Only classes that share a bucket send their (compressed) text.  Tables that
-are read twice are written to the shared folder; joins read written tables, so
-that Spark can split a hot key on either side.
+Only the sets of classes that share a bucket are written, each from one text.
+A long text is one row and is read whole.
 
 Null text counts as empty.  Documents without words have n_shingles 0, stand
 alone and are kept; fewer words than a shingle make one shingle.  Rows with a
@@ -35,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -43,10 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import Scratch, pick
+from ledgerlens.llm.linking import linked
 
 WORD = rb"[^\x20\x09-\x0D]+"
 BANDS, ROWS = 40, 5
-OPENING, ROUNDS, SPREAD = 8, 6, 2
+BROADCAST_ROWS = 4_000_000
 SIGNED = "doc_id bigint, text_key bigint, n_shingles bigint, class bigint, bands array<bigint>"
 
 # Odd multipliers of the two permutations of the 32-bit universe.
@@ -115,142 +109,24 @@ def signer(size: int, bands: int, rows: int):
     return run
 
 
-def packer(size: int):
+def setter(size: int):
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"id": [class_of(shingles(t, size)) for t in batch["text"]],
-                                "packed": [zlib.compress(t.encode(), 6) for t in batch["text"]]})
+            sets = [shingles(t, size) for t in batch["text"]]
+            yield pd.DataFrame({"id": [class_of(s) for s in sets], "n": [len(s) for s in sets], "grams": [s.view("int64") for s in sets]})
 
     return run
 
 
-def verifier(size: int, percent: int, memory: int = 2_000_000):
-    """a, b of the pairs whose sets are similar; the last sets, of ``memory`` shingles at least, are kept at hand."""
-
-    def run(batches):
-        known, held = {}, 0
-        for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                pair = []
-                for k, t in ((a, ta), (b, tb)):
-                    if k not in known:
-                        if held > memory:
-                            known, held = {}, 0
-                        known[k] = shingles(zlib.decompress(t).decode(), size)
-                        held += len(known[k])
-                    pair.append(known[k])
-                common = len(np.intersect1d(*pair, assume_unique=True))
-                keep.append(100 * common >= percent * (len(pair[0]) + len(pair[1]) - common))
-            yield batch.loc[keep, ["a", "b"]]
-
-    return run
-
-
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, component (its smallest member) of all ids in links (a, b).
-
-    Alternating large-star and small-star steps: each joins the neighbours of
-    an id to the smallest of them, so no step gathers an id's neighbours and
-    the number of steps is logarithmic in practice.
-    """
-    edges = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.write(large.distinct(), "large")  # every edge points down: a > b
-        least = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        small = scratch.write(small, "small")
-        # done when every id has one edge and it leads to an id that has none
-        roots = small.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
-        unfinished = small.select("b").distinct().join(small.select(F.col("a").alias("b")), "b", "left_semi")
-        if roots.where("n > 1").isEmpty() and unfinished.isEmpty():
-            return small.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-                small.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        edges = small
-
-
-def linked(docs: DataFrame, classes: DataFrame, buckets: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame | None:
-    """id, component of all classes that have a link.  ``buckets``: band, key, id, n of those with several ids."""
-    texts = tested = parts = None
-    n_classes = classes.count()
-    for r in range(ROUNDS + 1):
-        if r:
-            several = scratch.write(contested(buckets, parts), "several")
-            rest = several.agg(F.sum("left")).first()[0] or 0
-            rows = scratch.write(buckets_with(buckets, parts, several), "open")
-            few = F.lit(r == ROUNDS or rest <= SPREAD * n_classes) | (F.col("left") <= SPREAD * F.col("members"))
-            pairs = leftover(rows.where(few)).union(hubs(rows.where(~few), r, scratch))
-            buckets = rows.where(~few).select("band", "key", "id", "n")
-        else:
-            pairs = hubs(labelled(buckets.where(F.col("band") < OPENING), None), r, scratch)
-        pairs = pairs.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, "pairs")
-        if texts is None:
-            # one text of each class that shares a bucket, sent once
-            wanted = scratch.write(classes.join(buckets.select("id").distinct(), "id", "left_semi").select("doc_id"), "wanted")
-            texts = docs.join(wanted, "doc_id", "left_semi").mapInPandas(packer(size), "id bigint, packed binary")
-            texts = scratch.write(texts, "texts").dropDuplicates(["id"])
-            texts = scratch.write(texts, "texts")
-        if not pairs.isEmpty():
-            found = verified(pairs, texts, size, percent)
-            if parts is not None:
-                found = found.union(parts.toDF("a", "b"))
-            parts = scratch.write(components(found, scratch), "parts")
-            tested = pairs if tested is None else tested.union(pairs)
-        if buckets.isEmpty():
-            return parts
-
-
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(verifier(size, percent), "a bigint, b bigint")
-
-
-def labelled(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
-    if parts is None:
-        return buckets.withColumn("component", F.col("id"))
-    return buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def contested(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """The buckets that hold several components; ``left``: a bucket's pairs between components."""
-    sizes = labelled(buckets, parts).groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("of"))
-    of = F.col("of").cast("double")
-    several = sizes.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("of").alias("members"), ((F.sum(of) * F.sum(of) - F.sum(of * of)) / 2).alias("left"))
-    return several.where("parts > 1").drop("parts")
-
-
-def buckets_with(buckets: DataFrame, parts: DataFrame | None, several: DataFrame) -> DataFrame:
-    return labelled(buckets, parts).join(several, ["band", "key"])
-
-
-def hubs(rows: DataFrame, r: int, scratch: Scratch) -> DataFrame:
-    """Each row of a bucket with the bucket's hub of round r."""
-    # at first the smallest id, which is what components are named by; then another component each round
-    order = F.struct((F.xxhash64("component", F.lit(r)) if r else F.col("id")).alias("o"), "id", "n", "component")
-    hub = rows.groupBy("band", "key").agg(F.min(order).alias("hub"))
-    hub = scratch.write(hub.select("band", "key", F.col("hub.id").alias("h"), F.col("hub.n").alias("n_h"), F.col("hub.component").alias("c_h")), "hubs")
-    pairs = rows.join(hub, ["band", "key"]).where("c_h <> component")
-    low = F.col("h") < F.col("id")
-    return pairs.select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"),
-                        F.when(low, F.col("n_h")).otherwise(F.col("n")).alias("n_a"),
-                        F.when(low, F.col("n")).otherwise(F.col("n_h")).alias("n_b"))
-
-
-def leftover(rows: DataFrame) -> DataFrame:
-    """The pairs of a bucket that are in different components."""
-    x = rows.select("band", "key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    y = rows.select("band", "key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    return x.join(y, ["band", "key"]).where("a < b AND c_a <> c_b").select("a", "b", "n_a", "n_b")
+def candidate_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """id, n, grams of the classes that share a bucket, each from one text."""
+    wanted = scratch.write(classes.join(keys.select("id").distinct(), "id", "left_semi").select("doc_id", "text_key"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # 16 bytes a row; beyond that both sides are shuffled
+        wanted = F.broadcast(wanted)
+    texts = docs.withColumn("text_key", text_key(F.col("text"))).join(wanted, ["doc_id", "text_key"], "left_semi").select("text")
+    sets = scratch.write(texts.mapInPandas(setter(size), "id bigint, n bigint, grams array<bigint>"), "sets")
+    copies = sets.groupBy("id").agg(F.count(F.lit(1)).alias("of")).where("of > 1")  # of repeated rows
+    return sets if copies.isEmpty() else scratch.write(sets.dropDuplicates(["id"]), "sets")
 
 
 def text_key(text: Column) -> Column:
@@ -266,13 +142,14 @@ def near_groups(docs: DataFrame, size: int, percent: int = 80, bands: int = BAND
     full = signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     # copies combine before the shuffle
     classes = full.groupBy(F.col("class").alias("id")).agg(
-        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
-    classes = scratch.write(classes, "classes")
+        F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
+    classes = scratch.write(classes.select("id", "one.doc_id", "one.text_key", "n", "bands"), "classes")
     banded = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    shared = scratch.write(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("of")).where("of > 1").drop("of"), "shared")
-    buckets = scratch.write(banded.join(shared, ["band", "key"]), "buckets")
+    banded = banded.select(F.xxhash64("band", "key").alias("key"), "id", "n")
+    shared = scratch.write(banded.groupBy("key").agg(F.count(F.lit(1)).alias("of")).where("of > 1").drop("of"), "shared")
+    keys = scratch.write(banded.join(shared, "key"), "buckets")
     own = classes.select(F.col("id").alias("class"), F.col("doc_id").alias("component_id"))
-    parts = None if buckets.isEmpty() else linked(d, classes, buckets, scratch, size, percent)
+    parts = None if keys.isEmpty() else linked(keys, candidate_sets(d, classes, keys, scratch, size), percent, scratch)
     if parts is not None:
         member = scratch.write(own.join(parts, own["class"] == parts["id"], "left").select(
             "class", F.coalesce("component", "class").alias("component"), "component_id"), "member")

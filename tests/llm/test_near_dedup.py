@@ -65,6 +65,20 @@ def test_chains_and_stars(spark):
     check(spark, rows, 5)
 
 
+def test_hot_near_copies_and_hot_unlike_bucket(spark):
+    """A group of near copies around the threshold, and texts that share most of one passage but no link."""
+    r = np.random.default_rng(8)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 6))
+    base, passage, rows = [word() for _ in range(120)], [word() for _ in range(90)], []
+    for k in range(160):
+        words = list(base)
+        for i in r.choice(120, int(r.integers(0, 11)), replace=False):
+            words[i] = word()
+        rows.append((int(r.integers(10**9)), " ".join(words)))
+        rows.append((int(r.integers(10**9)), " ".join(passage + [word() for _ in range(int(r.integers(14, 25)))])))
+    check(spark, rows, 4)
+
+
 def test_empty_and_unlinked(spark):
     check(spark, [], 4)
     check(spark, [(1, "one two three four five"), (2, "six seven eight nine ten")], 5)

@@ -78,6 +78,14 @@ def retention_impact(df: DataFrame, prob_col: str, clv_col: str, cost: float = 5
         "BreakEvenProbability", F.when(F.col(clv_col) > 0, cost / F.col(clv_col)).otherwise(F.lit(1.0)))
 
 
+def expected_loss(df: DataFrame, prob_col: str, clv_col: str) -> DataFrame:
+    """Customers, mean churn probability and expected loss (sum of probability
+    times value) of each risk segment: the measured part of CHN-10."""
+    return df.groupBy(risk_segment(F.col(prob_col)).alias("RiskSegment")).agg(
+        F.count(F.lit(1)).alias("Customers"), F.avg(prob_col).alias("AvgProbability"),
+        F.sum(F.col(prob_col) * F.col(clv_col)).alias("ExpectedLoss"))
+
+
 def risk_factors(df: DataFrame, target: str = "Churned", top_n: int = 10,
                  exclude=("CustomerID", "Churned", "HighChurn")) -> DataFrame:
     """CHN-11 / TOP-5: |Pearson r| of every numeric column with the target in

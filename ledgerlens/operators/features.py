@@ -1,10 +1,12 @@
 """Customer feature tables (CUS-1, CUS-3) and the survival table (CHN-1).
 
-Everything per customer is produced by aggregations keyed on CustomerID
-(partial aggregation first, so a customer holding a large share of the lines
-is pre-reduced in every map task) and joined on that key.  The only
-per-customer ordered computation, the interval consistency, runs over the
-customer's *distinct order dates* (bounded by the calendar), not its lines.
+The narrow line columns are stored once and every aggregate reads them, so the
+line fact and its joins are computed one time.  Everything per customer is
+produced by aggregations keyed on CustomerID (partial aggregation first, so a
+customer holding a large share of the lines is pre-reduced in every map task).
+The only ordered computation, the interval consistency, runs over ranges of
+(customer, date) whose states merge, so neither a hot customer nor dates with
+times of day gather anything in one task.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import is_weekend, money_sum, safe_div, whole_days
-from ledgerlens.operators.order_stats import collect_scalars
 from ledgerlens.operators.trends import theil_sen_trends
+from ledgerlens.session import stored
 from ledgerlens.sources.tables import LINE_ORDER
 
 # Fixed values (must equal the reference for equal results) -------------
@@ -33,20 +35,43 @@ def order_consistency(sales: DataFrame) -> DataFrame:
 
     Lines on the same date contribute zero intervals, so the interval
     multiset is (lines - distinct dates) zeros plus the gaps between
-    consecutive distinct dates.  Only the distinct dates are ordered (a
-    window whose partition is bounded by the calendar), never the lines.
+    consecutive distinct dates.
     """
     per_date = sales.groupBy("CustomerID", "OrderDate").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("CustomerID").orderBy("OrderDate")
-    gaps = per_date.withColumn("gap", whole_days(F.lag("OrderDate").over(w), F.col("OrderDate")).cast("double"))
-    agg = gaps.groupBy("CustomerID").agg(
-        F.sum("c").alias("n"),
-        F.sum(F.coalesce("gap", F.lit(0.0))).alias("s"),
-        F.sum(F.coalesce(F.col("gap") * F.col("gap"), F.lit(0.0))).alias("q"))
+    states = gap_states(per_date)
     m = F.col("n") - 1
     var = (F.col("q") - F.col("s") * F.col("s") / m) / (m - 1)
     std = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return agg.select("CustomerID", F.when(F.col("n") >= 3, std).otherwise(F.lit(0.0)).alias("OrderConsistency"))
+    return states.select("CustomerID", F.when(F.col("n") >= 3, std).otherwise(F.lit(0.0)).alias("OrderConsistency"))
+
+
+def gap_states(per_date: DataFrame, key: str = "CustomerID", date: str = "OrderDate", num_partitions: int | None = None) -> DataFrame:
+    """key, n, s, q: the summed counts ``c`` of a key's distinct dates, and the
+    sums of the day gaps between consecutive dates and of their squares.
+
+    Rows are range partitioned by (key, date).  A range holds one state (first,
+    last, n, s, q) for each of its keys, and a key's states, at most one per
+    range, merge in order: the gap between two ranges is that of the dates
+    where they meet.
+    """
+    n_parts = num_partitions or int(per_date.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dated = per_date.where(F.col(date).isNotNull()).repartitionByRange(n_parts, key, date).withColumn("_range", F.spark_partition_id())
+    before = F.lag(date).over(Window.partitionBy("_range", key).orderBy(date))  # one range's dates of a key
+    gap = F.coalesce(whole_days(before, F.col(date)).cast("double"), F.lit(0.0))
+    states = stored(dated, "dates").withColumn("_gap", gap).groupBy(key, "_range").agg(
+        F.min(date).alias("first"), F.max(date).alias("last"), F.sum("c").alias("n"),
+        F.sum("_gap").alias("s"), F.sum(F.col("_gap") * F.col("_gap")).alias("q"))
+    ordered = states.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_range", "first", "last", "n", "s", "q"))).alias("x"))
+
+    def merged(acc, x):
+        between = whole_days(acc["last"], x["first"]).cast("double")
+        return F.struct(x["last"].alias("last"), (acc["n"] + x["n"]).alias("n"), (acc["s"] + x["s"] + between).alias("s"),
+                        (acc["q"] + x["q"] + between * between).alias("q"))
+
+    head = F.col("x")[0]
+    start = F.struct(head["last"].alias("last"), head["n"].alias("n"), head["s"].alias("s"), head["q"].alias("q"))
+    total = F.aggregate(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), start, merged)
+    return ordered.select(key, total.alias("t")).select(key, "t.n", "t.s", "t.q")
 
 
 def category_mix(sales: DataFrame) -> DataFrame:
@@ -67,6 +92,8 @@ def engineer_customer_features(sales: DataFrame, customers: DataFrame | None = N
                                demographics: DataFrame | None = None,
                                with_trend: bool = True) -> DataFrame:
     """CUS-1: the customer feature table (line grain, reference parity)."""
+    columns = dict.fromkeys(["CustomerID", "OrderDate", "CategoryName", "TotalDue", "UnitPriceDiscount", "OrderQty", *LINE_ORDER])
+    sales = stored(sales.select(*[c for c in columns if c in sales.columns]), "lines")
     agg = sales.groupBy("CustomerID").agg(
         F.countDistinct("SalesOrderID").alias("NumOrders"),
         F.min("OrderDate").alias("FirstOrder"),
@@ -82,7 +109,7 @@ def engineer_customer_features(sales: DataFrame, customers: DataFrame | None = N
         F.avg("UnitPriceDiscount").alias("AvgDiscount"),
         F.countDistinct("ProductID").alias("UniqueProducts"),
     )
-    ref = F.lit(collect_scalars(sales.agg(F.max("OrderDate")))[0]).cast("timestamp")
+    ref = sales.agg(F.max("OrderDate").cast("timestamp")).scalar()
     lifetime = F.greatest(whole_days(F.col("FirstOrder"), F.col("LastOrder")), F.lit(1))
     feats = agg.withColumn("AvgOrderValue", safe_div(F.col("TotalSpend"), F.col("_n_total"))).drop("_n_total")
     feats = feats.withColumns({
@@ -154,13 +181,8 @@ def behavioral_features(sales: DataFrame, with_trend: bool = True) -> DataFrame:
 def survival_features(sales: DataFrame, churn_window_days: int = 365,
                       high_churn_days: int = 730, with_trend: bool = True) -> DataFrame:
     """CHN-1: last order, days since, churn flags, Time, plus CUS-1 features."""
-    ref = F.lit(collect_scalars(sales.agg(F.max("OrderDate")))[0]).cast("timestamp")
-    last = sales.groupBy("CustomerID").agg(F.max("OrderDate").alias("LastOrderDate"))
-    days = whole_days(F.col("LastOrderDate"), ref)
-    surv = last.withColumns({"DaysSinceLastOrder": days}).withColumns({
-        "Churned": (F.col("DaysSinceLastOrder") > churn_window_days).cast("int"),
-        "HighChurn": (F.col("DaysSinceLastOrder") > high_churn_days).cast("int"),
-        "Time": F.col("DaysSinceLastOrder"),
-    })
     feats = engineer_customer_features(sales, None, None, with_trend=with_trend)
-    return surv.join(feats, on="CustomerID", how="left")
+    days = F.col("RecencyDays")
+    flags = {"LastOrderDate": F.col("LastOrder"), "DaysSinceLastOrder": days, "Churned": (days > churn_window_days).cast("int"),
+             "HighChurn": (days > high_churn_days).cast("int"), "Time": days}
+    return feats.select("CustomerID", *[c.alias(n) for n, c in flags.items()], *[c for c in feats.columns if c != "CustomerID"])

@@ -89,11 +89,13 @@ def cohort_retention(sales: DataFrame, measure: str = "Value") -> DataFrame:
     return out.select("CohortMonth", "Period", F.col(measure).alias(measure), "Retention")
 
 
-def cohort_matrix(long: DataFrame) -> DataFrame:
-    """SET-5: pivot the long cohort table to one column per period that occurs
-    (months, so bounded by the calendar); missing cells stay NULL."""
-    periods = sorted(r["Period"] for r in long.select("Period").distinct().collect())
-    return long.groupBy("CohortMonth").pivot("Period", periods).agg(F.first("Retention"))
+def cohort_matrix(long: DataFrame, periods: list[int] | None = None) -> DataFrame:
+    """SET-5: pivot the long cohort table to one column per period (months, so
+    bounded by the calendar); missing cells stay NULL.  ``periods`` fixes the
+    columns; without it they are the periods that occur."""
+    if periods is None:
+        periods = sorted(r["Period"] for r in long.select("Period").distinct().collect())
+    return long.groupBy("CohortMonth").agg(*[F.max(F.when(F.col("Period") == p, F.col("Retention"))).alias(str(p)) for p in periods])
 
 
 def migration_matrix(prev: DataFrame, cur: DataFrame) -> DataFrame:

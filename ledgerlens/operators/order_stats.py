@@ -293,6 +293,21 @@ def average_rank(df: DataFrame, value_col: str, out_col: str = "rank") -> DataFr
     return df.join(ranks, on=value_col, how="left")
 
 
+def next_distinct(df: DataFrame, key: str, value: str, out_col: str, num_partitions: int | None = None) -> DataFrame:
+    """key, value, ``out_col`` = the key's next larger value (NULL for its last) of distinct (key, value) rows.
+
+    A lead over ranges of (key, value): windows run within a range, and the
+    last value of a key in a range is followed by the key's first one in its
+    next range.  A key has at most one row for each range there.
+    """
+    n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = stored(df.select(key, value).repartitionByRange(n_parts, key, value).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = ranges.withColumn("_next", F.lead(value).over(Window.partitionBy("_range", key).orderBy(value)))
+    heads = ranges.groupBy(key, "_range").agg(F.min(value).alias("_first"))
+    heads = heads.select(key, "_range", F.lead("_first").over(Window.partitionBy(key).orderBy("_range")).alias("_after")).where("_after IS NOT NULL")
+    return inside.join(heads, [key, "_range"], "left").select(key, value, F.coalesce("_next", "_after").alias(out_col))
+
+
 def next_in_order(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                   value_cols: Sequence[str], prefix: str = "next_",
                   num_partitions: int | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import money_sum, right_closed_bins, safe_div, whole_days
-from ledgerlens.operators.order_stats import collect_scalars, exact_quantile, top_k_sum
+from ledgerlens.operators.order_stats import collect_scalars, exact_quantile, next_distinct, top_k_sum
+from ledgerlens.session import stored
 
 # Fixed values (must equal the reference for equal results) -------------
 AT_RISK_PATTERN = "Risk|Dormant|At Risk"
@@ -68,27 +69,23 @@ def date_range(sales: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
 # -- KPI row and sidebar (DSH-1..3) ---------------------------------------
 
 def kpi_row(rfm: DataFrame, metrics: DataFrame, segmented: DataFrame, churn_days: int = 365) -> DataFrame:
-    """DSH-1: one conditional aggregation per input table, one output row."""
+    """DSH-1: one conditional aggregation per input table, one output row.
+
+    The other tables' aggregates are uncollected scalars of the one plan.
+    """
+    m = metrics.agg(F.struct(F.avg("PredictedCLV").alias("clv"), F.avg("HealthScore").alias("health"))).scalar()
+    at_risk = segmented.agg(F.count_if(at_risk_flag())).scalar()
     r = rfm.agg(F.count(F.lit(1)).alias("TotalCustomers"),
                 F.count_if(F.col("Recency") <= ACTIVE_DAYS).alias("ActiveCustomers"),
                 F.count_if(F.col("Recency") > churn_days).alias("_churned"))
-    m = metrics.agg(F.avg("PredictedCLV").alias("AvgCLV"), F.avg("HealthScore").alias("AvgHealth"))
-    s = segmented.agg(F.count_if(at_risk_flag()).alias("AtRiskCustomers"))
-    row = {**collect_scalars(r).asDict(), **collect_scalars(m).asDict(), **collect_scalars(s).asDict()}
-    n = row["TotalCustomers"]
-    pct = (lambda x: x / n * 100.0 if n > 0 else 0.0)
-    avg_clv = row["AvgCLV"] if row["AvgCLV"] is not None else 0.0
-    avg_health = row["AvgHealth"] if row["AvgHealth"] is not None else 0.0
-    churn = pct(row["_churned"])
-    out = [(n, row["ActiveCustomers"], pct(row["ActiveCustomers"]), avg_clv, avg_clv - KPI_BASELINES["clv"],
-            row["AtRiskCustomers"], pct(row["AtRiskCustomers"]), avg_health, avg_health - KPI_BASELINES["health"],
-            churn, churn - KPI_BASELINES["churn"])]
-    cols = ["TotalCustomers", "ActiveCustomers", "ActivePct", "AvgCLV", "AvgCLVDelta", "AtRiskCustomers",
-            "AtRiskPct", "AvgHealth", "AvgHealthDelta", "ChurnRate", "ChurnRateDelta"]
-    schema = ("TotalCustomers bigint, ActiveCustomers bigint, ActivePct double, AvgCLV double, "
-              "AvgCLVDelta double, AtRiskCustomers bigint, AtRiskPct double, AvgHealth double, "
-              "AvgHealthDelta double, ChurnRate double, ChurnRateDelta double")
-    return rfm.sparkSession.createDataFrame(out, schema).select(*cols)
+    r = r.select("*", m.alias("_m"), at_risk.alias("AtRiskCustomers"))
+    pct = lambda c: F.when(F.col("TotalCustomers") > 0, F.col(c) / F.col("TotalCustomers") * 100.0).otherwise(0.0)
+    out = r.withColumns({"ActivePct": pct("ActiveCustomers"), "AtRiskPct": pct("AtRiskCustomers"), "ChurnRate": pct("_churned"),
+                         "AvgCLV": F.coalesce("_m.clv", F.lit(0.0)), "AvgHealth": F.coalesce("_m.health", F.lit(0.0))})
+    out = out.withColumns({"AvgCLVDelta": F.col("AvgCLV") - KPI_BASELINES["clv"], "AvgHealthDelta": F.col("AvgHealth") - KPI_BASELINES["health"],
+                           "ChurnRateDelta": F.col("ChurnRate") - KPI_BASELINES["churn"]})
+    return out.select("TotalCustomers", "ActiveCustomers", "ActivePct", "AvgCLV", "AvgCLVDelta", "AtRiskCustomers",
+                      "AtRiskPct", "AvgHealth", "AvgHealthDelta", "ChurnRate", "ChurnRateDelta")
 
 
 def customer_type_split(metrics: DataFrame, customers: DataFrame) -> DataFrame:
@@ -105,13 +102,9 @@ def customer_type_split(metrics: DataFrame, customers: DataFrame) -> DataFrame:
 
 def quick_stats(rfm: DataFrame, sales: DataFrame) -> DataFrame:
     """DSH-3: customers and line-grain revenue / mean (order total repeated per line)."""
-    c = rfm.agg(F.count(F.lit(1)).alias("TotalCustomers"))
+    customers = rfm.agg(F.count(F.lit(1))).scalar()
     s = sales.agg(money_sum("TotalDue").alias("TotalRevenue"), F.count("TotalDue").alias("_n"))
-    row = {**collect_scalars(c).asDict(), **collect_scalars(s).asDict()}
-    avg = row["TotalRevenue"] / row["_n"] if row["_n"] else None
-    return rfm.sparkSession.createDataFrame(
-        [(row["TotalCustomers"], row["TotalRevenue"], avg)],
-        "TotalCustomers bigint, TotalRevenue double, AvgLineOrderValue double")
+    return s.select(customers.alias("TotalCustomers"), "TotalRevenue", F.try_divide("TotalRevenue", "_n").alias("AvgLineOrderValue"))
 
 
 def segment_distribution(segmented: DataFrame) -> DataFrame:
@@ -197,14 +190,14 @@ def order_responses(sales: DataFrame, promo_threshold: float = 0.05, window_days
     """Per order: promoted (mean line discount above threshold) and responded
     (the customer orders again on a later date within ``window_days``).
 
-    The next order date comes from the customer's distinct order dates (a
-    calendar-bounded window), not from its orders.
+    The next order date comes from the customer's distinct order dates, by a
+    lead over ranges of (customer, date), so a hot customer is spread.
     """
     orders = sales.groupBy("CustomerID", "SalesOrderID", "OrderDate").agg(
         F.avg("UnitPriceDiscount").alias("AvgDiscount"))
+    orders = stored(orders, "orders")
     dates = orders.select("CustomerID", "OrderDate").distinct()
-    w = Window.partitionBy("CustomerID").orderBy("OrderDate")
-    nxt = dates.withColumn("NextDate", F.lead("OrderDate").over(w))
+    nxt = next_distinct(dates, "CustomerID", "OrderDate", "NextDate")
     o = orders.join(nxt, ["CustomerID", "OrderDate"], "inner")
     return o.select(
         "CustomerID", "SalesOrderID", "OrderDate",
@@ -237,21 +230,9 @@ def quadrant_label(effect, base):
             .otherwise("Lost Causes"))
 
 
-def promotion_roi(segmented: DataFrame, discount: float = 15.0, uptake: float = 20.0,
-                  campaign_cost: float = 50000.0) -> DataFrame:
-    """DSH-12: per segment, at one discount and uptake (per cent): responders
-    int(n * uptake %), revenue = responders * (AOV - AOV * discount %), ROI
-    vs. cost (0 if cost <= 0)."""
-    seg = segmented.groupBy("Segment").agg(F.count(F.lit(1)).alias("TargetCustomers"),
-                                           F.avg("AvgOrderValue").alias("AvgOrderValue"))
-    s = seg.withColumn("DiscountPct", F.lit(float(discount))).withColumn("UptakePct", F.lit(float(uptake)))
-    responders = F.floor(F.col("TargetCustomers") * F.col("UptakePct") / F.lit(100.0)).cast("bigint")
-    revenue = responders * (F.col("AvgOrderValue") - F.col("AvgOrderValue") * F.col("DiscountPct") / F.lit(100.0))
-    cost = F.lit(float(campaign_cost))
-    roi = (F.when(cost > 0, (revenue - cost) / cost * F.lit(100.0)).otherwise(F.lit(0.0))
-           if campaign_cost > 0 else F.lit(0.0))
-    return s.withColumn("Responders", responders).withColumn("IncrementalRevenue", revenue) \
-        .withColumn("ROI", roi).withColumn("NetReturn", F.col("IncrementalRevenue") - cost)
+def promotion_targets(segmented: DataFrame) -> DataFrame:
+    """DSH-12, its measured part: customers and mean order value per segment."""
+    return segmented.groupBy("Segment").agg(F.count(F.lit(1)).alias("TargetCustomers"), F.avg("AvgOrderValue").alias("AvgOrderValue"))
 
 
 # -- territories (DSH-13, DSH-14, JOIN-7, AGG-13) ---------------------------

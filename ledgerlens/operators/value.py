@@ -34,9 +34,10 @@ def calculate_rfm(transactions: DataFrame, reference_date=None) -> DataFrame:
     One shuffle by customer; countDistinct becomes a two-level aggregate so a
     hot customer is pre-aggregated per order before it meets its key.
     """
-    if reference_date is None:
-        reference_date = collect_scalars(transactions.agg(F.max("OrderDate")))[0]
-    ref = F.lit(reference_date).cast("timestamp")
+    if reference_date is None:  # an uncollected scalar of the same plan
+        ref = transactions.agg(F.max("OrderDate").cast("timestamp")).scalar()
+    else:
+        ref = F.lit(reference_date).cast("timestamp")
     agg = transactions.groupBy("CustomerID").agg(
         F.max("OrderDate").alias("_last"),
         F.countDistinct("SalesOrderID").alias("Frequency"),

@@ -87,15 +87,20 @@ def cht12_cohort_heatmap(spark, sf_dir):
     return finish(out, {"CohortMonth": None, "Period": None, "Customers": None, "Retention": 1})
 
 
+# the calendar of the orders, January 1995 to August 2001
+PERIODS = list(range(12 * (2001 - 1995) + 8))
+
+
 @query("set5_cohort_pivot", with_ctes("cohort_cells") + f""", p AS (
 SELECT {MONTH_SQL.replace('MonthIdx', 'c.CohortIdx')} AS CohortMonth, c.Period,
        round(CAST(c.Customers AS DOUBLE) * 100.0 / CAST(b.base AS DOUBLE), 8) AS Retention
 FROM cohort_cells c LEFT JOIN (SELECT CohortIdx, Customers AS base FROM cohort_cells WHERE Period = 0) b
   ON c.CohortIdx = b.CohortIdx)
-SELECT * FROM (PIVOT p ON Period USING max(Retention) GROUP BY CohortMonth)""")
+SELECT CohortMonth, {', '.join(f'max(CASE WHEN Period = {p} THEN Retention END) AS "{p}"' for p in PERIODS)}
+FROM p GROUP BY CohortMonth""")
 def set5_cohort_pivot(spark, sf_dir):
     long = met.cohort_retention(catalog(spark, sf_dir).sales_lines(), "Customers")
-    wide = met.cohort_matrix(long)
+    wide = met.cohort_matrix(long, PERIODS)
     return finish(wide, {"CohortMonth": None, **{p: 8 for p in wide.columns[1:]}})
 
 

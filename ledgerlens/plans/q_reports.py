@@ -11,7 +11,7 @@ from ledgerlens.operators import features as feat
 from ledgerlens.operators import reports as rep
 from ledgerlens.operators import value as val
 from ledgerlens.plans.common import catalog, finish
-from ledgerlens.plans.q_value import clv_table, rfm_table, segmented_table
+from ledgerlens.plans.q_value import clv_of, clv_table, rfm_table, segmented_table
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.sql import with_ctes
 
@@ -22,7 +22,8 @@ FILTER_TERRITORY = "NATION_1"
 
 def metrics_with_health(spark, sf_dir):
     cat = catalog(spark, sf_dir)
-    rfm, clv = rfm_table(spark, sf_dir), clv_table(spark, sf_dir)   # persisted customer tables
+    rfm = rfm_table(spark, sf_dir)
+    clv = clv_of(rfm)
     health = val.health_score(rfm, feat.order_consistency(cat.sales_lines()))
     return clv.join(health.select("CustomerID", "HealthScore", "HealthCategory"), "CustomerID", "left")
 
@@ -42,7 +43,10 @@ FROM (SELECT count(*) AS n, count_if(Recency <= 90) AS active, count_if(Recency
 """)
 def dsh1_kpi_row(spark, sf_dir):
     rfm = rfm_table(spark, sf_dir)
-    out = rep.kpi_row(rfm, metrics_with_health(spark, sf_dir), segmented_table(spark, sf_dir))
+    clv = clv_of(rfm)
+    health = val.health_score(rfm, feat.order_consistency(catalog(spark, sf_dir).sales_lines()))
+    metrics = clv.join(health.select("CustomerID", "HealthScore"), "CustomerID", "left")
+    out = rep.kpi_row(rfm, metrics, val.segment_customers(clv))
     return finish(out, {"TotalCustomers": None, "ActiveCustomers": None, "ActivePct": 8, "AvgCLV": 4,
                         "AvgCLVDelta": 4, "AtRiskCustomers": None, "AtRiskPct": 8, "AvgHealth": 6,
                         "AvgHealthDelta": 6, "ChurnRate": 8, "ChurnRateDelta": 8})
@@ -162,21 +166,11 @@ def dsh11_persuasion_quadrants(spark, sf_dir):
                         "Quadrant": None})
 
 
-@query("dsh12_promotion_roi", with_ctes("segmented") + """
-SELECT Segment, TargetCustomers, round(AvgOrderValue, 4) AS AvgOrderValue, DiscountPct, UptakePct, Responders,
-       round(IncrementalRevenue, 2) AS IncrementalRevenue,
-       round((IncrementalRevenue - 50000.0) / 50000.0 * 100.0, 6) AS ROI,
-       round(IncrementalRevenue - 50000.0, 2) AS NetReturn
-FROM (SELECT *, Responders * (AvgOrderValue - AvgOrderValue * DiscountPct / 100.0) AS IncrementalRevenue
-      FROM (SELECT s.Segment, s.TargetCustomers, s.AvgOrderValue, g.DiscountPct, g.UptakePct,
-                   CAST(floor(s.TargetCustomers * g.UptakePct / 100.0) AS BIGINT) AS Responders
-            FROM (SELECT Segment, count(*) AS TargetCustomers, avg(AvgOrderValue) AS AvgOrderValue
-                  FROM segmented GROUP BY Segment) s,
-                 (SELECT 15.0::DOUBLE AS DiscountPct, 20.0::DOUBLE AS UptakePct) g))""")
-def dsh12_promotion_roi(spark, sf_dir):
-    out = rep.promotion_roi(segmented_table(spark, sf_dir))
-    return finish(out, {"Segment": None, "TargetCustomers": None, "AvgOrderValue": 4, "DiscountPct": None,
-                        "UptakePct": None, "Responders": None, "IncrementalRevenue": 2, "ROI": 6, "NetReturn": 2})
+@query("dsh12_promotion_targets", with_ctes("segmented") + """
+SELECT Segment, count(*) AS TargetCustomers, round(avg(AvgOrderValue), 4) AS AvgOrderValue FROM segmented GROUP BY Segment""")
+def dsh12_promotion_targets(spark, sf_dir):
+    out = rep.promotion_targets(segmented_table(spark, sf_dir))
+    return finish(out, {"Segment": None, "TargetCustomers": None, "AvgOrderValue": 4})
 
 
 @query("src10_event_coercion", """

@@ -20,11 +20,15 @@ def rfm_table(spark, sf_dir):
     return val.calculate_rfm(catalog(spark, sf_dir).order_grain()).persist()
 
 
-def clv_table(spark, sf_dir):
-    clv, _ = val.fit_btyd(rfm_table(spark, sf_dir))
+def clv_of(rfm):
+    clv, _ = val.fit_btyd(rfm)
     return clv.persist()
 
 
+def clv_table(spark, sf_dir):
+    return clv_of(rfm_table(spark, sf_dir))
+
+
 def segmented_table(spark, sf_dir):
     return val.segment_customers(clv_table(spark, sf_dir)).persist()
 

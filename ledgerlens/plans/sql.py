@@ -138,14 +138,19 @@ cte("lines_x", """
          count(*) OVER (PARTITION BY CustomerID) AS n_lines
   FROM sales""", ["sales"])
 
+# values as whole millionths: their differences are exact, so a slope at a rounding tie is the same in any engine
+cte("whole_x", """
+  SELECT CustomerID, x, n_lines, CAST(round(OrderQty * 1e6) AS BIGINT) AS q, CAST(round(TotalDue * 1e6) AS BIGINT) AS t
+  FROM lines_x""", ["lines_x"])
+
 cte("trends", """
   SELECT c.CustomerID, coalesce(t.VolumeTrend, 0.0) AS VolumeTrend, coalesce(t.SpendTrend, 0.0) AS SpendTrend
   FROM (SELECT DISTINCT CustomerID FROM sales) c LEFT JOIN (
     SELECT a.CustomerID,
-           median((b.OrderQty - a.OrderQty) / CAST(b.x - a.x AS DOUBLE)) AS VolumeTrend,
-           median((b.TotalDue - a.TotalDue) / CAST(b.x - a.x AS DOUBLE)) AS SpendTrend
-    FROM lines_x a JOIN lines_x b ON a.CustomerID = b.CustomerID AND a.x < b.x
-    WHERE a.n_lines >= 3 GROUP BY a.CustomerID) t ON c.CustomerID = t.CustomerID""", ["lines_x"])
+           median((b.q - a.q) / CAST(b.x - a.x AS DOUBLE)) / 1e6 AS VolumeTrend,
+           median((b.t - a.t) / CAST(b.x - a.x AS DOUBLE)) / 1e6 AS SpendTrend
+    FROM whole_x a JOIN whole_x b ON a.CustomerID = b.CustomerID AND a.x < b.x
+    WHERE a.n_lines >= 3 GROUP BY a.CustomerID) t ON c.CustomerID = t.CustomerID""", ["lines_x", "whole_x"])
 
 cte("mix", """
   SELECT CustomerID,

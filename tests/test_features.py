@@ -63,3 +63,21 @@ def test_entropy_x6_and_null_category_x15(spark):
     assert f[1]["ProductEntropy"] == pytest.approx(0.562335, abs=1e-6)
     assert f[1]["CategoryPenetration"] == 2
     assert f[2]["ProductEntropy"] is None and f[2]["CategoryPenetration"] == 0
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_gap_states_of_a_hot_customer_with_times_of_day(spark, parts):
+    """A third of all rows on one customer, dates to the microsecond, cut into ranges."""
+    r = np.random.default_rng(3)
+    rows, want = [], {}
+    for c in [1] * 400 + r.integers(2, 300, 800).tolist():
+        rows.append((int(c), D0 + dt.timedelta(microseconds=int(r.integers(0, 10**15)))))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "CustomerID long, OrderDate timestamp")
+    per_date = df.groupBy("CustomerID", "OrderDate").count().withColumnRenamed("count", "c")
+    for c in {c for c, _ in rows}:
+        own = sorted(d for k, d in rows if k == c)
+        gaps = [(b - a) // dt.timedelta(days=1) for a, b in zip(own, own[1:])]
+        want[c] = (len(own), float(sum(gaps)), float(sum(g * g for g in gaps)))
+    got = {x[0]: (x[1], x[2], x[3]) for x in feat.gap_states(per_date, num_partitions=parts).collect()}
+    assert got == want

@@ -40,3 +40,16 @@ def test_average_rank(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double")
     got = sorted(r["rank"] for r in os_.average_rank(df, "v").collect())
     assert got == [1.0, 2.5, 2.5, 4.0]
+
+
+def test_next_distinct_over_ranges(spark):
+    from ledgerlens.operators.order_stats import next_distinct
+    r = np.random.default_rng(2)
+    rows = {(int(k), int(v)) for k, v in zip([1] * 200 + r.integers(2, 60, 200).tolist(), r.integers(0, 10**6, 400))}
+    df = spark.createDataFrame(sorted(rows, key=lambda x: x[1] % 97), "k long, v long")
+    want = {}
+    for k, v in sorted(rows):
+        after = sorted(w for j, w in rows if j == k and w > v)
+        want[k, v] = after[0] if after else None
+    for parts in (1, 7):
+        assert {(x.k, x.v): x.nxt for x in next_distinct(df, "k", "v", "nxt", parts).collect()} == want

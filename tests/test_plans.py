@@ -6,8 +6,8 @@ import __spark_entry__ as entry
 
 SMOKE = "/root/testdata/sf0.001"
 KEYS = ["cus4_rfm", "cus5_clv", "cus7_segments", "dsh7_clv_by_segment", "cus1_customer_features",
-        "met4_cohort_value_retention", "mbk3_association_rules", "flt8_date_range", "dsh12_promotion_roi",
-        "chn10_retention_impact", "cht2_clv_kde"]
+        "met4_cohort_value_retention", "mbk3_association_rules", "flt8_date_range", "dsh12_promotion_targets",
+        "chn10_expected_loss", "cht2_clv_kde"]
 
 
 def plan_text(df):

@@ -11,13 +11,20 @@ order of their positions.
 A word that is in the vocabulary as a whole is that token.  Words of more than
 ``WIDE`` bytes contract all occurrences of their minimum pair in one step if
 this is proven to give the same tokens (no longer token made of the new one
-has a smaller rank), so a word of 100,000 letters needs few steps; the query is
-run again from its last state after about ``WIDE_ROWS`` rows, so that not all
-steps of a long word are held at once.
+has a smaller rank); the query is run again from its last state after about
+``WIDE_ROWS`` rows, so that not all steps are held at once.
+
+A word of more than ``PIECE`` bytes is cut into pieces that are encoded as words
+of their own, many in one query, and neighbouring pieces are joined round by
+round: the tokens around a seam are encoded anew, with more of them until the
+first and the last one come out as they were.  A sequence of tokens is the
+encoding of its bytes if each two neighbours are the encoding of theirs, so
+what lies outside is right as it is.  A word thus takes time in proportion to
+its length.
 
 Memory per task is bounded: texts go through in slices of about
 ``SLICE_CHARS`` characters (a text is never split), words through DuckDB in
-slices of ``SLICE_BYTES``, and the memory of known words is emptied when it
+slices of ``SLICE_BYTES`` (pieces of a long word likewise), and the memory of known words is emptied when it
 holds ``MEMO`` words.  The rank file (under 1 MB) is read on the driver and
 broadcast.
 
@@ -37,6 +44,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import pick
 
 WIDE = 64
+PIECE, CONTEXT = 256, 8
 SLICE_CHARS = 1_000_000
 SLICE_BYTES = 400_000
 WIDE_ROWS = 2_000_000
@@ -129,6 +137,7 @@ class Coder:
         import regex
 
         self.ranks, self.find, self.memo = ranks, regex.compile(pattern).findall, {}
+        self.bytes_of = {rank: t for t, rank in ranks.items()}
         self.first = np.array([ranks[bytes([b])] for b in range(256)], dtype="int32")
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.table("merges", merge_table(ranks))
@@ -160,28 +169,51 @@ class Coder:
         packed = np.asarray(out["tok"]).astype("<u4").tobytes()
         return [packed[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def merged_all(self, words: list[bytes]) -> list[bytes]:
+        """As ``merged``, each different word once, by the program for its length and in slices."""
+        known: dict = {}
+        for sql, own in ((NARROW_SQL, [w for w in set(words) if len(w) <= WIDE]), (WIDE_SQL, [w for w in set(words) if len(w) > WIDE])):
+            begin = size = 0
+            for k, w in enumerate(own):
+                size += len(w)
+                if size >= SLICE_BYTES or k + 1 == len(own):
+                    known.update(zip(own[begin:k + 1], self.merged(own[begin:k + 1], sql)))
+                    begin, size = k + 1, 0
+        return [known[w] for w in words]
+
+    def merged_long(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of any length, by pieces whose seams are mended."""
+        cut = [[w[i:i + PIECE] for i in range(0, len(w), PIECE)] for w in words]
+        ids = iter(self.merged_all([p for pieces in cut for p in pieces]))
+        rows = [[np.frombuffer(next(ids), dtype="<u4") for _ in pieces] for pieces in cut]
+        while any(len(pieces) > 1 for pieces in rows):
+            seams = [(k, j) for k, pieces in enumerate(rows) for j in range(0, len(pieces) - 1, 2)]
+            done, size = {}, CONTEXT
+            while seams:
+                around = [(rows[k][j][-size:], rows[k][j + 1][:size]) for k, j in seams]
+                spelled = [b"".join(map(self.bytes_of.__getitem__, np.concatenate(x).tolist())) for x in around]
+                left = []
+                for (k, j), (low, high), code in zip(seams, around, self.merged_all(spelled)):
+                    x, y, new = rows[k][j], rows[k][j + 1], np.frombuffer(code, dtype="<u4")
+                    if (len(low) == len(x) or new[0] == low[0]) and (len(high) == len(y) or new[-1] == high[-1]):
+                        done[k, j] = np.concatenate([x[:len(x) - len(low)], new, y[len(high):]])
+                    else:
+                        left.append((k, j))
+                seams, size = left, size * 4
+            rows = [[done.get((k, j), pieces[j]) for j in range(0, len(pieces), 2)] for k, pieces in enumerate(rows)]
+        return [pieces[0].tobytes() for pieces in rows]
+
     def learn(self, words: set[str]) -> None:
         """Encode words into the memory."""
-        slices, size = {NARROW_SQL: [], WIDE_SQL: []}, {NARROW_SQL: 0, WIDE_SQL: 0}
-
-        def flush(sql):
-            if slices[sql]:
-                codes = self.merged([raw for _, raw in slices[sql]], sql)
-                self.memo.update((w, c) for (w, _), c in zip(slices[sql], codes))
-                slices[sql], size[sql] = [], 0
-
+        short, long = [], []
         for w in words:
             raw = w.encode()
             if raw in self.ranks:
                 self.memo[w] = self.ranks[raw].to_bytes(4, "little")
-                continue
-            sql = WIDE_SQL if len(raw) > WIDE else NARROW_SQL
-            slices[sql].append((w, raw))
-            size[sql] += len(raw)
-            if size[sql] >= SLICE_BYTES:
-                flush(sql)
-        flush(NARROW_SQL)
-        flush(WIDE_SQL)
+            else:
+                (long if len(raw) > PIECE else short).append((w, raw))
+        for own, program in ((short, self.merged_all), (long, self.merged_long)):
+            self.memo.update((w, code) for (w, _), code in zip(own, program([raw for _, raw in own])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.find(t) for t in texts]

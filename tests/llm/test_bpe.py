@@ -48,3 +48,17 @@ def test_real_documents(spark, reference):
 
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], SCHEMA), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_words(reference):
+    """Words of 10^6 equal and 10^5 random letters, and many of mixed kinds, in bounded memory."""
+    r = np.random.default_rng(4)
+    coder = bpe.Coder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    ids = np.frombuffer(coder.encode(["a" * 10**6])[0], dtype="<u4")
+    assert ids.tolist() == reference.encode_ordinary("aaaa") * 250_000
+    texts = ["".join(r.choice(list("etaoinshrdlu"), 10**5)), "a" * 9_999, "the" * 3_001, "".join(r.choice(["tion", "ing", "str", "a", "qz"], 2_000)),
+             "".join(r.choice(list("éñü北京a"), 3_000)), "=" * 5_001]
+    texts += ["".join(r.choice(list(letters), int(r.integers(250, 900)))) for letters in ("abc", "aab", "0", "xyzé", "etaoinsh") for _ in range(30)]
+    codes = coder.encode(texts)
+    assert [np.frombuffer(c, dtype="<u4").tolist() for c in codes] == [reference.encode_ordinary(t) for t in texts]
+    assert coder.decode(codes) == [t.encode() for t in texts]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import Scratch, pick
 
 PERCENT = 5
-MIN_PAGES = 5
+MIN_PAGES = 2  # a line must repeat at all; the ratio decides
 
 
 def boilerplate(pages: DataFrame, percent: int, min_pages: int) -> DataFrame:

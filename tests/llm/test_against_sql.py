@@ -50,4 +50,14 @@ def test_empty_benchmark(spark):
 
 def test_boilerplate_goes_and_other_lines_stay(spark):
     out = {r.doc_id: r for r in line_dedup.clean_lines(spark.createDataFrame(odd_rows(), SCHEMA)).collect()}
-    assert out[100].text == "text 0\nmore 0" and out[100].n_removed == 2 and out[14].n_removed == 0
+    # 26 pages of the host: the foot line is on 20 of them, "more 0" on three
+    assert out[100].text == "text 0" and out[100].n_removed == 3 and out[14].n_removed == 0
+
+
+def test_small_hosts_lose_their_boilerplate(spark, oracle):
+    rows = [(k, f"page {k}\nfoot\nhead", "en", f"host{k // 3}", 0, 1, "x", "y") for k in range(9)] + [(20, "alone\nfoot", "en", "one", 0, 1, "x", "y")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r.text for r in line_dedup.clean_lines(df).collect()}
+    assert out == {k: f"page {k}" for k in range(9)} | {20: "alone\nfoot"}
+    docs = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    assert rows_of(line_dedup.line_report(df)) == oracle(line_dedup.SQL, documents=docs)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import finite_or
-from ledgerlens.operators.order_stats import collect_scalars, exact_quantiles
+from ledgerlens.operators.order_stats import collect_scalars, exact_quantiles, exact_quantiles_multi
 
 # Fixed values (must equal the reference for equal results) -------------
 GENOME_FEATURES = ["Recency", "Frequency", "Monetary", "AvgOrderValue", "PurchaseFrequency", "PredictedCLV",
@@ -163,10 +163,10 @@ def profile_segments(df: DataFrame, label_col: str, feature_cols: list[str]) ->
     agg = df.groupBy(label_col).agg(
         F.count(F.lit(1)).alias("Size"),
         *[e for c in feats for e in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))])
-    meds = {}
-    for c in feats:
-        for r in exact_quantiles(df, c, [0.5], [label_col]):
-            meds[(r[label_col], c)] = r["value"]
+    # one set of narrowing passes for all features
+    stacked = df.select(label_col, F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in feats])).alias("_s")) \
+        .select(label_col, "_s._col", "_s._v") if feats else None
+    meds = {(r[label_col], r["_col"]): r["value"] for r in exact_quantiles(stacked, "_v", [0.5], [label_col, "_col"])} if feats else {}
     med_rows = [(lab, *[meds.get((lab, c)) for c in feats]) for lab in sorted({k[0] for k in meds})]
     med_schema = ", ".join([f"{label_col} {df.schema[label_col].dataType.simpleString()}"]
                            + [f"{c}_median double" for c in feats])
@@ -184,10 +184,13 @@ def profile_segments(df: DataFrame, label_col: str, feature_cols: list[str]) ->
 def assign_segment_names(profiles: DataFrame) -> DataFrame:
     """SEG-7: business names from profile means against the median over
     segments; missing columns count as false."""
+    known = [c for c in ("TotalSpend_mean", "Frequency_mean", "RecencyDays_mean") if c in profiles.columns]
+    medians = exact_quantiles_multi(profiles, known, [0.5]) if known else {}
+
     def flag(col: str, op: str):
-        if col not in profiles.columns:
+        if not medians.get(col):
             return F.lit(False)
-        med = exact_quantiles(profiles, col, [0.5])[0]["value"]
+        med = medians[col][0.5]
         return (F.col(col) > F.lit(med)) if op == ">" else (F.col(col) < F.lit(med))
     hv, fr, rc = flag("TotalSpend_mean", ">"), flag("Frequency_mean", ">"), flag("RecencyDays_mean", "<")
     name = (F.when(hv & fr & rc, "VIP Champions").when(hv & fr, "At-Risk VIPs").when(hv, "Big Spenders")

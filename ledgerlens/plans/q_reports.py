@@ -223,12 +223,12 @@ def src3_customers(spark, sf_dir):
 
 @query("src2_sales_lines", with_ctes("sales") + """
 SELECT SalesOrderID, LineNumber, OrderDate, ShipDate, Status, CustomerID, ProductID, SupplierID, OrderQty,
-       round(UnitPrice, 6) AS UnitPrice, UnitPriceDiscount, round(LineTotal, 6) AS LineTotal, TotalDue,
-       ProductName, SubcategoryName, CategoryName FROM sales""")
+       round(UnitPrice, 6) AS UnitPrice, UnitPriceDiscount, round(LineTotal, 6) AS LineTotal, round(TaxAmt, 4) AS TaxAmt,
+       TotalDue, ProductName, SubcategoryName, CategoryName FROM sales""")
 def src2_sales_lines(spark, sf_dir):
     s = catalog(spark, sf_dir).sales_lines()
     spec = {c: None for c in s.columns}
-    spec.update({"UnitPrice": 6, "LineTotal": 6})
+    spec.update({"UnitPrice": 6, "LineTotal": 6, "TaxAmt": 4})
     return finish(s, spec)
 
 

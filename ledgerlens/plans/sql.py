@@ -37,6 +37,7 @@ cte("sales", """
          l.l_partkey AS ProductID, l.l_suppkey AS SupplierID, l.l_quantity AS OrderQty,
          CASE WHEN l.l_quantity = 0 THEN NULL ELSE l.l_extendedprice / l.l_quantity END AS UnitPrice,
          l.l_discount AS UnitPriceDiscount, l.l_extendedprice * (1.0::DOUBLE - l.l_discount) AS LineTotal,
+         l.l_extendedprice * (1.0::DOUBLE - l.l_discount) * l.l_tax AS TaxAmt,
          o.o_totalprice AS TotalDue, p.p_name AS ProductName, p.p_brand AS SubcategoryName,
          p.p_type AS CategoryName
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey""")

@@ -9,7 +9,7 @@ to broadcast (only the fixed-size nation/region tables get an explicit hint).
 Mapping (a convention of this repo):
   SalesOrderID/OrderDate/Status/TotalDue/CustomerID <- orders
   ProductID, OrderQty, UnitPriceDiscount, ShipDate   <- lineitem
-  UnitPrice = extendedprice / quantity, LineTotal = extendedprice * (1 - discount)
+  UnitPrice = extendedprice / quantity, LineTotal = extendedprice * (1 - discount), TaxAmt = LineTotal * tax
   ProductName/SubcategoryName/CategoryName           <- part name/brand/type
   TerritoryID/TerritoryName/TerritoryGroup            <- nation/region
   PersonID (HOUSEHOLD segment) / StoreID (other segments) <- customer
@@ -66,6 +66,7 @@ class Catalog:
             safe_div(F.col("l_extendedprice"), F.col("l_quantity")).alias("UnitPrice"),
             F.col("l_discount").alias("UnitPriceDiscount"),
             (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("LineTotal"),
+            (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")) * F.col("l_tax")).alias("TaxAmt"),
             F.col("o_totalprice").alias("TotalDue"),
             F.col("p_name").alias("ProductName"),
             F.col("p_brand").alias("SubcategoryName"),

@@ -16,8 +16,10 @@ Candidates are resolved by `linking`: products of blocks of documents add up the
 overlap counts, pairs below the bounds of their sizes are discarded, and pairs
 that are connected already are not made.
 
-Documents with equal sets form a class and only classes go on.  N-grams are told
-apart by 64-bit hashes.  Null text counts as empty.  Documents without words
+Documents with equal sets form a class: a chunk asks for each of its classes
+once, and only classes go on.  A class with copies in several chunks may pass
+the first bound by them, which costs a row and no link.  N-grams are told apart
+by 64-bit hashes.  Null text counts as empty.  Documents without words
 have n_shingles 0 and stand alone; fewer words than an n-gram make one.  Rows
 with a null doc_id stand alone with a null component_id.  Rows that repeat a
 doc_id each give a row and are judged by their own texts.  A long text is one
@@ -32,6 +34,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,24 +42,33 @@ from ledgerlens.llm.blocks import chunked, opened, packed, unpacked
 from ledgerlens.llm.common import Scratch, pick
 from ledgerlens.llm.linking import linked
 
+#: Lower-cases A-Z and turns the separators (space and 0x09 to 0x0D) into spaces.
 SPACES = bytes(range(9, 14))
 FOLD = bytes(32 if b in SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK, BUCKET = 6_000_000, 2_000_000
+WORDS_AT_HAND = 500_000
 CHUNKED = "chunk string, doc_ids array<bigint>, sizes array<bigint>, classes array<bigint>, texts binary"
 ASKED = "chunk string, bucket bigint, hashes binary, counts binary"
 TOLD = "chunk string, bucket bigint, totals binary"
 HELD = "id bigint, n bigint, grams array<bigint>, columns array<bigint>"
 
 
-def ngrams(text: str, size: int) -> np.ndarray:
+class WordHashes(dict):
+    """Hashes of words, each made once while it is at hand; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_AT_HAND:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def ngrams(text: str, size: int, hashes: WordHashes) -> np.ndarray:
     """The set of hashed n-grams of a text, sorted, as unsigned 64-bit integers."""
-    words = text.encode().translate(FOLD).split(b" ")
-    words = [w for w in words if w]
+    words = text.encode().translate(FOLD).split()
     if not words:
         return np.empty(0, dtype="uint64")
-    known: dict = {}
-    number = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype="int64", count=len(words))
-    digest = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in known), dtype="<u8")[number]
+    digest = np.fromiter(map(hashes.__getitem__, words), dtype="uint64", count=len(words))
     size = min(size, len(words))
     n = len(words) - size + 1
     out = np.full(n, size, dtype="uint64")
@@ -64,7 +76,8 @@ def ngrams(text: str, size: int) -> np.ndarray:
         for k in range(size):
             out = (out + digest[k:k + n]) * np.uint64(0xD6E8FEB86659FD93)
             out ^= out >> np.uint64(32)
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -75,8 +88,9 @@ def writer(size: int, chunk: int):
     """Documents to chunks: their set sizes, classes (0 for an empty set) and compressed texts."""
 
     def run(batches):
+        hashes = WordHashes()
         for name, ids, texts in chunked(batches, chunk):
-            sets = [ngrams(t, size) for t in texts]
+            sets = [ngrams(t, size, hashes) for t in texts]
             raw = [t.encode() for t in texts]
             head = np.array([len(raw), *map(len, raw)], dtype="int64").tobytes()
             yield pd.DataFrame({"chunk": [name], "doc_ids": [ids], "sizes": [[len(s) for s in sets]],
@@ -86,14 +100,18 @@ def writer(size: int, chunk: int):
 
 
 class Incidence:
-    """The n-grams of a chunk's representatives: ``grams`` sorted and distinct; of each entry its document and which gram it is."""
-
-    def __init__(self, texts: bytes, own, size: int):
-        every = opened(texts)
-        sets = [ngrams(every[i], size) for i in own]
+    """The n-grams of a chunk's classes: ``grams`` sorted and distinct; of each entry its class and which gram it is."""
+
+    def __init__(self, texts: bytes, doc_ids, classes, size: int, hashes: WordHashes):
+        every, own = opened(texts), {}
+        for i, (doc_id, c) in enumerate(zip(doc_ids, classes)):
+            if c and doc_id is not None and doc_id == doc_id:
+                own.setdefault(c, i)
+        self.classes = list(own)
+        sets = [ngrams(every[i], size, hashes) for i in own.values()]
         self.sizes = np.array([len(s) for s in sets], dtype="int64")
-        self.doc = np.repeat(np.arange(len(sets)), self.sizes)
-        self.grams, self.number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.row = np.repeat(np.arange(len(sets)), self.sizes)
+        self.grams, self.number = np.unique(np.concatenate([np.empty(0, dtype="uint64"), *sets]), return_inverse=True)
 
 
 def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
@@ -103,9 +121,10 @@ def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
 
 def asker(size: int, buckets: int):
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
-            for name, texts, own in zip(batch["chunk"], batch["texts"], batch["own"]):
-                x = Incidence(texts, own, size)
+            for name, texts, doc_ids, classes in zip(*(batch[c] for c in ("chunk", "texts", "doc_ids", "classes"))):
+                x = Incidence(texts, doc_ids, classes, size, hashes)
                 counts = np.bincount(x.number, minlength=len(x.grams)).astype("uint32")
                 bucket = bucket_of(x.grams, buckets)
                 begins = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1)))  # of buckets that occur
@@ -130,10 +149,11 @@ def holder(size: int, percent: int):
     """Of each class that can have a link, the n-grams that others hold and those in which candidates meet."""
 
     def run(sent: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for texts, own, classes in zip(sent["texts"], sent["own"], sent["classes"]):
-            x = Incidence(texts, own, size)
-            totals = np.concatenate([unpacked(t, "uint64") for t in told.sort_values("bucket")["totals"]])
+        out, hashes = [], WordHashes()
+        for texts, doc_ids, classes in zip(sent["texts"], sent["doc_ids"], sent["classes"]):
+            x = Incidence(texts, doc_ids, classes, size, hashes)
+            totals = [unpacked(t, "uint64") for t in told.sort_values("bucket")["totals"]]
+            totals = np.concatenate([np.empty(0, dtype="uint64"), *totals])
             if len(totals) != len(x.grams):
                 raise ValueError("a chunk and the totals it was told differ")
             rank = np.lexsort((x.grams, totals))  # by frequency, then hash
@@ -141,13 +161,13 @@ def holder(size: int, percent: int):
             place[rank] = np.arange(len(rank))
             shared = totals > 1
             least = -(-percent * x.sizes // 100)
-            held = np.bincount(x.doc, weights=shared[x.number], minlength=len(x.sizes)).astype("int64")
+            held = np.bincount(x.row, weights=shared[x.number], minlength=len(x.sizes)).astype("int64")
             ends = np.cumsum(x.sizes)
             for d in np.flatnonzero(held >= least).tolist():
                 grams = x.number[ends[d] - x.sizes[d]:ends[d]]
                 grams = grams[shared[grams]]
                 columns = grams[np.argsort(place[grams])][:held[d] - least[d] + 1]  # those of the rarest that others hold
-                out.append((int(classes[own[d]]), int(x.sizes[d]), x.grams[grams].view("int64"), x.grams[columns].view("int64")))
+                out.append((int(x.classes[d]), int(x.sizes[d]), x.grams[grams].view("int64"), x.grams[columns].view("int64")))
         return pd.DataFrame(out, columns=["id", "n", "grams", "columns"])
 
     return run
@@ -158,24 +178,22 @@ def ngram_classes(docs: DataFrame, size: int, percent: int, chunk: int = CHUNK,
     scratch = Scratch(docs.sparkSession, "ngram")
     d = pick(docs, doc_id="bigint", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chunks = scratch.write(d.mapInPandas(writer(size, chunk), CHUNKED), "chunks")
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("doc_ids", "sizes", "classes")).alias("place", "x"))
-    each = scratch.write(each.select("chunk", "place", F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n"), F.col("x.classes").alias("class")), "each")
-    # equal sets combine before the shuffle; the smallest doc_id stands for them
-    full = each.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("class").agg(F.min(F.struct("doc_id", "chunk", "place", "n")).alias("one"))
-    classes = scratch.write(classes.select("class", "one.*"), "classes")
-    entries = classes.agg(F.sum("n")).first()[0] or 0
-    own = scratch.write(classes.groupBy("chunk").agg(F.array_sort(F.collect_list("place")).alias("own")), "own")
-    sent = chunks.select("chunk", "classes", "texts").join(own, "chunk")
-    asked = sent.select("chunk", "texts", "own").mapInPandas(asker(size, max(1, -(-entries // bucket))), ASKED)
+    each = chunks.select(F.explode(F.arrays_zip("doc_ids", "sizes", "classes")).alias("x"))
+    each = scratch.write(each.select(F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n"), F.col("x.classes").alias("class")), "each")
+    entries = each.agg(F.sum("n")).first()[0] or 0
+    sent = chunks.select("chunk", "doc_ids", "classes", "texts")
+    asked = sent.mapInPandas(asker(size, max(1, -(-entries // bucket))), ASKED)
     told = asked.groupBy("bucket").applyInPandas(totalled, TOLD)
     held = sent.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(holder(size, percent), HELD)
-    held = scratch.write(held, "held")
+    held = scratch.write(held.dropDuplicates(["id"]), "held")  # copies of a class in several chunks
     keys = scratch.write(held.select(F.explode("columns").alias("key"), "id", "n"), "columns")
     parts = linked(keys, held.select("id", "n", "grams"), percent, scratch, **more)
-    least = classes.select("class", F.col("doc_id").alias("component_id"))
+    full = each.where("n > 0 AND doc_id IS NOT NULL")
+    least = full.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     if parts is not None:
-        member = scratch.write(least.join(parts.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class")), "member")
+        least = scratch.write(least, "classes")
+        member = least.join(parts.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        member = scratch.write(member, "member")
         first = scratch.write(member.groupBy("component").agg(F.min("component_id").alias("component_id")), "first")
         least = scratch.write(member.drop("component_id").join(first, "component").select("class", "component_id"), "least")
     out = each.join(least, "class", "left")

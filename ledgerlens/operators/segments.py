@@ -109,6 +109,37 @@ def optimal_k(inertias: list[float], rule: str = "reference") -> int:
     return int(np.argmin(dd) + 2) if rule == "reference" else int(np.argmax(dd) + 3)
 
 
+CELL_STEPS = 17
+
+
+def density_cell(points: DataFrame, x: str = "PC1", y: str = "PC2", min_samples: int = 10) -> float:
+    """A cell side from the data: the smallest of the span / 2^k at which half
+    of the points lie in cells of at least ``min_samples`` points."""
+    p = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    s = collect_scalars(p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")))
+    span = max(s["x1"] - s["x0"], s["y1"] - s["y0"]) if s["n"] else 0.0
+    if not span:
+        return 1.0
+    k = F.explode(F.sequence(F.lit(0), F.lit(CELL_STEPS - 1))).alias("k")
+    side = F.lit(span) / F.pow(F.lit(2.0), F.col("k"))
+    cells = p.select("x", "y", k).groupBy("k", F.floor((F.col("x") - s["x0"]) / side).alias("cx"), F.floor((F.col("y") - s["y0"]) / side).alias("cy")).agg(F.count(F.lit(1)).alias("c"))
+    dense = cells.where(F.col("c") >= min_samples).groupBy("k").agg(F.sum("c").alias("held")).collect()  # a row for each side
+    return span / 2.0 ** max([r["k"] for r in dense if 2 * r["held"] >= s["n"]], default=0)
+
+
+def density_report(points: DataFrame, labels: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "CustomerID") -> DataFrame:
+    """SEG-2's quality row: clusters, noise points, and the silhouette of the
+    clustered points without noise (0 with fewer than two clusters)."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    counts = labels.agg(F.countDistinct(F.when(F.col("Segment") >= 0, F.col("Segment"))).alias("n_clusters"), F.count_if(F.col("Segment") < 0).alias("n_noise"))
+    row = collect_scalars(counts)
+    quality = 0.0
+    if row["n_clusters"] > 1:
+        clustered = _vectors(points.join(labels.where("Segment >= 0"), key).select(x, y, "Segment"), [x, y])
+        quality = ClusteringEvaluator(featuresCol="features", predictionCol="Segment").evaluate(clustered)
+    return counts.withColumn("silhouette", F.lit(float(quality)))
+
+
 def grid_density_clusters(points: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "CustomerID",
                           cell: float = 0.25, min_samples: int = 10, min_cluster_size: int = 30) -> DataFrame:
     """SEG-2 (re-aimed): grid density clusters with noise label -1.

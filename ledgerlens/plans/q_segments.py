@@ -10,6 +10,7 @@ from ledgerlens.plans.common import catalog, finish
 from ledgerlens.plans.q_value import clv_table, segmented_table
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.sql import with_ctes
+from ledgerlens.session import stored
 
 PROFILE_FEATURES = ["TotalSpend", "Frequency", "RecencyDays"]
 
@@ -38,7 +39,14 @@ def seg1_pca_projection(spark, sf_dir):
 @query("seg2_density_clusters")
 def seg2_density_clusters(spark, sf_dir):
     proj = sg.pca_projection(clv_table(spark, sf_dir))
-    return sg.grid_density_clusters(proj, min_samples=10, min_cluster_size=30)
+    return sg.grid_density_clusters(proj, cell=sg.density_cell(proj), min_samples=10, min_cluster_size=30)
+
+
+@query("seg2_density_report")
+def seg2_density_report(spark, sf_dir):
+    proj = stored(sg.pca_projection(clv_table(spark, sf_dir)), "projection")
+    labels = stored(sg.grid_density_clusters(proj, cell=sg.density_cell(proj), min_samples=10, min_cluster_size=30), "labels")
+    return sg.density_report(proj, labels)
 
 
 @query("seg3_kmeans_segments")

@@ -147,3 +147,33 @@ def test_prefix_sums_of_several_columns(spark):
     a, b = np.cumsum([x[1] for x in sorted(rows)]), np.cumsum([x[2] or 0.0 for x in sorted(rows)])
     assert [x[3] for x in got] == a.tolist()
     assert [x[4] for x in got if x[4] is not None] == pytest.approx([v for v, x in zip(b, got) if x[4] is not None])
+
+
+def test_density_cell_and_report(spark):
+    rng = np.random.default_rng(0)
+    xy = np.concatenate([rng.normal(0, 0.1, (200, 2)), rng.normal(5, 0.1, (200, 2)), rng.uniform(-20, 20, (40, 2))])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "CustomerID long, PC1 double, PC2 double")
+    cell = sg.density_cell(points)
+    side = lambda k: np.ptp(xy, axis=0).max() / 2.0**k
+    held = []
+    for k in range(sg.CELL_STEPS):
+        _, at, n = np.unique(np.floor((xy - xy.min(axis=0)) / side(k)), axis=0, return_inverse=True, return_counts=True)
+        held.append((n[at] >= 10).sum())
+    assert cell == side(max(k for k, h in enumerate(held) if 2 * h >= len(xy)))
+    assert sg.density_cell(points.limit(0)) == 1.0
+    labels = sg.grid_density_clusters(points, cell=cell, min_samples=10, min_cluster_size=30)
+    got = {r.CustomerID: r.Segment for r in labels.collect()}
+    row = sg.density_report(points, labels).collect()[0]
+    assert row["n_noise"] == sum(v < 0 for v in got.values()) and row["n_clusters"] == len(set(got.values()) - {-1})
+    own = np.array([got[i] for i in range(len(xy))])
+    if row["n_clusters"] > 1:  # squared Euclidean silhouette by all pairs
+        keep = own >= 0
+        d = ((xy[keep][:, None] - xy[keep][None]) ** 2).sum(axis=2)
+        s = []
+        for i, c in enumerate(own[keep]):
+            same = own[keep] == c
+            a = d[i, same].sum() / (same.sum() - 1)
+            b = min(d[i, own[keep] == o].mean() for o in set(own[keep]) - {c})
+            s.append((b - a) / max(a, b))
+        assert row["silhouette"] == pytest.approx(np.mean(s))
+    assert row["n_clusters"] >= 2

@@ -4,8 +4,9 @@ slope = median over all pairs i < j of (y_j - y_i) / (j - i), where i, j are
 positions of the customer's lines in a total order (OrderDate, then order,
 line and product keys).  Customers with fewer than 3 lines get 0.
 
-Values are taken as whole multiples of 1 / ``SCALE``, so differences are exact
-and a slope is one rounding of a quotient of whole numbers.  Two ways of taking
+Values are whole multiples of 1 / ``SCALE`` (others, and values of 9e9 or more,
+raise a ValueError), so differences are exact and a slope is one rounding of a
+quotient of whole numbers.  Two ways of taking
 the median give the same double:
 
 * light (n <= LOCAL_MAX, virtually every customer): the customer's lines are
@@ -41,7 +42,8 @@ from ledgerlens.session import stored
 LOCAL_MAX = 2048  # light path: at most ~2.1M pairwise slopes (~50 MB transient numpy) per customer
 
 
-SCALE = 1_000_000  # values have at most six decimals
+SCALE = 1_000_000  # values have at most six decimals; others raise
+EXACT = 1e-15  # a double's error, relative
 WAYS = 7  # thresholds tested in a pass, for three bits of the result
 
 
@@ -69,6 +71,13 @@ def theil_sen_trends(lines: DataFrame, targets: dict[str, str], order_cols: list
     targets = {out: f"_y_{y}" for out, y in targets.items()}
     whole = lambda c: F.round(F.col(c).cast("double") * SCALE).cast("bigint")
     base = lines.select(key, *order_cols, *[whole(c).alias(f"_y_{c}") for c in ycols])
+    y = [F.col(c).cast("double") for c in ycols]
+    off = [F.abs(v - whole(c) / SCALE) > F.greatest(F.abs(v), F.lit(1.0)) * EXACT for v, c in zip(y, ycols)]
+    checked = lines.select(key, F.greatest(*[F.abs(v) for v in y], F.lit(0.0)).alias("_far"), F.coalesce(F.exists(F.array(*off), lambda x: x), F.lit(False)).alias("_off"))
+    seen = checked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("_far").alias("_far"), F.max("_off").alias("_off")).agg(
+        F.max("_n").alias("n"), F.max("_far").alias("far"), F.max("_off").alias("off")).first()
+    if seen["off"] or (seen["far"] or 0.0) * SCALE >= 2.0**53:
+        raise ValueError(f"trends need values below {2.0**53 / SCALE:.3g} that are whole multiples of 1 / {SCALE}")
     counts = base.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     sized = base.join(counts, on=key, how="inner")
     light = sized.where(F.col("_n") <= local_max).drop("_n")
@@ -79,9 +88,8 @@ def theil_sen_trends(lines: DataFrame, targets: dict[str, str], order_cols: list
     slope = F.pandas_udf(_median_slopes, T.DoubleType())
     light_out = arrays.select(key, *[slope(F.transform("_rows", _field(y))).alias(out)
                                      for out, y in targets.items()])
-    heavy_keys = counts.where(F.col("_n") > local_max)
     heavy = sized.where(F.col("_n") > local_max).drop("_n")
-    if _has_rows(heavy_keys):
+    if (seen["n"] or 0) > local_max:
         heavy_out = _heavy_trends(heavy, targets, list(order_cols), key, out_schema)
         return light_out.unionByName(heavy_out)
     return light_out
@@ -95,10 +103,6 @@ def _median_slopes(ys: pd.Series) -> pd.Series:
     return pd.Series([_median_pair_slope(np.asarray(y, dtype=np.int64)) for y in ys], dtype="float64")
 
 
-def _has_rows(df: DataFrame) -> bool:
-    return len(df.limit(1).collect()) > 0
-
-
 # ---------------------------------------------------------------------------
 # heavy path: distributed exact selection of the median slope
 

@@ -81,3 +81,13 @@ def test_gap_states_of_a_hot_customer_with_times_of_day(spark, parts):
         want[c] = (len(own), float(sum(gaps)), float(sum(g * g for g in gaps)))
     got = {x[0]: (x[1], x[2], x[3]) for x in feat.gap_states(per_date, num_partitions=parts).collect()}
     assert got == want
+
+
+def test_theil_sen_refuses_values_that_it_would_round(spark):
+    order = ["OrderDate", "SalesOrderID", "LineNumber", "ProductID", "SupplierID", "OrderQty", "UnitPrice"]
+    for bad in (1.00000005, 1e10):
+        df = lines(spark, [(1, d, 1.0, v, "a") for d, v in enumerate([1.5, bad, 2.25])])
+        with pytest.raises(ValueError):
+            theil_sen_trends(df, {"t": "TotalDue"}, order)
+    df = lines(spark, [(1, d, 1.0, v, "a") for d, v in enumerate([0.1, 0.3, 123456789.123456])])
+    assert theil_sen_trends(df, {"t": "TotalDue"}, order).count() == 1

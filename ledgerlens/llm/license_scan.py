@@ -6,7 +6,7 @@ hash-joined to the digests of known licence texts, made canonical by the same
 expression.  Two kinds of entire text are looked up: the whole document, and
 every whole line, since files usually carry a licence as a one-line notice.
 The known texts are a fixed list in this module and the digests of whole
-licences in ``license_digests.csv`` (made by ``tools/license_digests.py``), a
+licences in ``license_digests.csv`` (made by ``license_texts.py``), a
 few hundred rows, so they are broadcast; only one row per (document, licence)
 is shuffled.
 

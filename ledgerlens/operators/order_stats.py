@@ -288,8 +288,8 @@ def average_rank(df: DataFrame, value_col: str, out_col: str = "rank") -> DataFr
     Works on the distinct values with their counts: rank = rows below + (count+1)/2.
     """
     counts = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("_c")).where(F.col(value_col).isNotNull())
-    cum = running_sum(counts, [value_col], "_c", out_col="_cum")
-    ranks = cum.select(value_col, (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out_col))
+    cum = prefix_sums(counts, [value_col], ["_c"])
+    ranks = cum.select(value_col, (F.col("upto__c") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out_col))
     return df.join(ranks, on=value_col, how="left")
 
 

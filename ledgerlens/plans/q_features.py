@@ -11,6 +11,7 @@ from ledgerlens.plans.common import catalog, finish
 from ledgerlens.plans.q_value import rfm_table
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.sql import with_ctes
+from ledgerlens.session import stored
 from ledgerlens.sources.tables import LINE_ORDER
 
 CUS1_SPEC = {
@@ -121,6 +122,35 @@ def cus8_quartiles(spark, sf_dir):
     return out.select("CustomerID", "R_Quartile", "F_Quartile", "M_Quartile")
 
 
+def _rank_cut_sql(c: str, labels: list[str]) -> str:
+    edge = lambda i: f"({c}_lo + ({c}_hi - {c}_lo) * {i} / 4)"
+    return (f"CASE WHEN {c}_p > {c}_lo - ({c}_hi - {c}_lo) * 0.001::DOUBLE AND {c}_p <= {edge(1)} THEN '{labels[0]}' "
+            + " ".join(f"WHEN {c}_p > {edge(i)} AND {c}_p <= {edge(i + 1)} THEN '{labels[i]}'" for i in (1, 2, 3)) + " END")
+
+
+_RANKED = ", ".join(f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE) / CAST(count(*) OVER () AS DOUBLE) AS {c}_p"
+                    for c in ("Recency", "Frequency", "Monetary"))
+_ENDS = ", ".join(f"min({c}_p) OVER () AS {c}_lo, max({c}_p) OVER () AS {c}_hi" for c in ("Recency", "Frequency", "Monetary"))
+
+
+# Orders of one year: most customers have one to three, so edges repeat and all columns are cut by rank.
+@query("prj5_rank_quartiles", with_ctes("og") + f""",
+m AS (SELECT max(OrderDate) AS ref FROM og),
+y AS (SELECT og.* FROM og, m WHERE OrderDate > ref - INTERVAL 365 DAY),
+r AS (SELECT CustomerID, datesub('day', max(OrderDate), (SELECT ref FROM m)) AS Recency, count(DISTINCT SalesOrderID) AS Frequency,
+             CAST(sum(CAST(TotalDue AS DECIMAL(18,4))) AS DOUBLE) AS Monetary FROM y GROUP BY CustomerID),
+p AS (SELECT CustomerID, {_RANKED} FROM r), e AS (SELECT *, {_ENDS} FROM p)
+SELECT CustomerID, {_rank_cut_sql('Recency', val.RECENCY_QUARTILE_LABELS)} AS R_Quartile,
+       {_rank_cut_sql('Frequency', val.VALUE_QUARTILE_LABELS)} AS F_Quartile,
+       {_rank_cut_sql('Monetary', val.VALUE_QUARTILE_LABELS)} AS M_Quartile FROM e""")
+def prj5_rank_quartiles(spark, sf_dir):
+    og = catalog(spark, sf_dir).order_grain()
+    ref = og.agg(F.max("OrderDate")).scalar()
+    year = og.where(F.col("OrderDate") > ref - F.expr("INTERVAL 365 DAY"))
+    out = val.quartile_labels(stored(val.calculate_rfm(year), "rfm"))
+    return out.select("CustomerID", "R_Quartile", "F_Quartile", "M_Quartile")
+
+
 @query("cus9_health_scalar", with_ctes("health") + """
 SELECT CustomerID, round(least(greatest(0.4 * (rs * 100.0) + 0.3 * (fs * 100.0) + 0.3 * (ms * 100.0), 0.0), 100.0), 6)
        AS ScalarHealth FROM health""")

@@ -26,3 +26,31 @@ def test_date_filter_pushed_to_scan(spark):
     text = df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "GreaterThanOrEqual(o_orderdate" in text
+
+
+@pytest.mark.parametrize("key", ["chn4_kaplan_meier", "win1_order_consistency", "mbk9_co_occurrence", "dsh1_kpi_row"])
+def test_no_window_in_a_single_task(spark, key):
+    """No ordering of all rows in one partition: single partitions hold one-row aggregates only."""
+    text = plan_text(entry.queries()[key](spark, SMOKE))
+    for block in text.split("Exchange SinglePartition")[1:]:
+        assert "partial_" in block.split("\n")[1] or "Aggregate" in block.split("\n")[1], block[:300]
+
+
+def test_customer_features_read_the_lines_once(spark, monkeypatch):
+    """The line fact is computed for one stored table; the final plan reads that."""
+    from ledgerlens.operators import features
+    written = []
+    keep = features.stored
+    monkeypatch.setattr(features, "stored", lambda df, name="table": written.append((name, plan_text(df))) or keep(df, name))
+    text = plan_text(entry.queries()["cus1_customer_features"](spark, SMOKE))
+    assert "lineitem.parquet" not in text
+    assert sum(p.count("lineitem.parquet") for _, p in written) == 1
+
+
+def test_kpi_row_builds_with_few_jobs(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("kpi", "kpi")
+    entry.queries()["dsh1_kpi_row"](spark, SMOKE)
+    jobs = len(tracker.getJobIdsForGroup("kpi"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 60, jobs

@@ -106,20 +106,19 @@ def fit_btyd(rfm: DataFrame, params: BTYDParams | None = None) -> tuple[DataFram
     return out, p
 
 
-def _minmax_norm(c: str, lo, hi) -> Column:
-    if lo is not None and hi is not None and hi > lo:
-        return (F.col(c).cast("double") - F.lit(float(lo))) / F.lit(float(hi - lo))
-    return F.lit(0.0)
+def _minmax_norm(c: str, lo: Column, hi: Column) -> Column:
+    return F.when(hi > lo, (F.col(c).cast("double") - lo.cast("double")) / (hi - lo).cast("double")).otherwise(F.lit(0.0))
 
 
 def health_score(rfm: DataFrame, consistency: DataFrame | None = None) -> DataFrame:
     """CUS-6: 0-100 health from min-max normalised RFM (and order consistency).
 
     ``consistency``: CustomerID, OrderConsistency (left joined; a customer
-    without a value scores 0.5 on that component).
+    without a value scores 0.5 on that component).  Ranges and the largest
+    consistency are uncollected scalars of the plan.
     """
-    mm = collect_scalars(rfm.agg(*[f(c).alias(f"{n}_{c}") for c in ("Recency", "Frequency", "Monetary")
-                                   for n, f in (("min", F.min), ("max", F.max))]))
+    mm = rfm.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in ("Recency", "Frequency", "Monetary")
+                            for n, f in (("min", F.min), ("max", F.max))])).scalar()
     df = rfm.withColumns({
         f"{c}_norm": _minmax_norm(c, mm[f"min_{c}"], mm[f"max_{c}"]) for c in ("Recency", "Frequency", "Monetary")})
     df = df.withColumns({
@@ -129,11 +128,9 @@ def health_score(rfm: DataFrame, consistency: DataFrame | None = None) -> DataFr
     })
     if consistency is not None:
         df = df.join(consistency.select("CustomerID", "OrderConsistency"), on="CustomerID", how="left")
-        cmax = collect_scalars(df.agg(F.max("OrderConsistency")))[0]
-        if cmax is not None and cmax > 0:
-            cs = F.coalesce(F.lit(1.0) - F.col("OrderConsistency") / F.lit(float(cmax)), F.lit(0.5))
-        else:
-            cs = F.lit(0.5)
+        cmax = df.agg(F.max("OrderConsistency").cast("double")).scalar()
+        of_max = F.coalesce(F.lit(1.0) - F.col("OrderConsistency") / cmax, F.lit(0.5))
+        cs = F.when(cmax > 0, of_max).otherwise(F.lit(0.5))
         df = df.withColumn("Consistency_Score", cs)
         score = (F.lit(0.25) * F.col("Recency_Score") + F.lit(0.25) * F.col("Frequency_Score")
                  + F.lit(0.25) * F.col("Monetary_Score") + F.lit(0.25) * F.col("Consistency_Score")) * F.lit(100.0)

@@ -18,7 +18,9 @@ Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.
 Null texts have no words, items without words have no window.  Every row gives
 a row; rows that agree in doc_id and text are searched as one and have equal
 results.  An item_id that repeats counts once; null item_ids are left out.  An
-empty benchmark contaminates nothing.
+empty benchmark contaminates nothing.  A long text is searched whole by one
+task, which holds its words.  Documents are read once for each block of
+benchmark windows: meant for a benchmark, not for two tables of corpus size.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ winners of a digest (at most ``salts`` rows) are combined globally.  Documents
 find their winner again by (digest, salt), so a text that makes up a third of
 the corpus is spread over ``salts`` tasks in every stage.
 
-Null text counts as empty.  Texts are equal when identical after lower-casing
+Null text counts as empty; a long text is one row, hashed and compared whole.
+Texts are equal when identical after lower-casing
 A-Z.  Of equal texts the row with the largest doc_id stays (null is smallest);
 rows that repeat the winning doc_id are all marked ``kept``.  Should two
 different texts ever share a SHA-256, the job stops with an error instead of

@@ -10,7 +10,8 @@ licences in ``license_digests.csv`` (made by ``license_texts.py``), a
 few hundred rows, so they are broadcast; only one row per (document, licence)
 is shuffled.
 
-Null text counts as empty; an empty canonical text matches nothing.  Every row
+Null text counts as empty; a long text is normalised and matched whole in its
+row; an empty canonical text matches nothing.  Every row
 gives a row; rows with equal doc_id and text have equal results.  An empty
 table gives an empty result.
 """

@@ -25,7 +25,8 @@ chunk, and get back which of them occur elsewhere.  So a passage in a third of
 all documents, or a third of all documents being copies, makes no task larger.
 
 Grams, surroundings and, for such frequent grams, windows are told apart by
-64-bit hashes.  Null text counts as empty.  Every row is a document of its own,
+64-bit hashes.  Null text counts as empty; a long text is a
+chunk of its own.  Every row is a document of its own,
 matches never cross rows, and every row gives a row.  An empty table gives an
 empty result.
 """

@@ -25,7 +25,8 @@ is counted anew after each pass, in Spark; the driver holds the texts of the
 feature can explain as many texts, so the stems are those of a search over all
 of them.  Scoring reads every whole text.
 
-Null text counts as empty; a text without a match has the base score, which is
+Null text counts as empty; a long text is read whole, clause by clause; a text
+without a match has the base score, which is
 under 0.5.  A null doc_id counts as the empty text for the hold-out rule and
 takes no label.  A doc_id with several labels is toxic if one says so; null
 labels are ignored.  Without labels the fixed list and weights decide.  Every

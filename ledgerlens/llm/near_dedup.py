@@ -98,13 +98,13 @@ def signer(size: int, bands: int, rows: int):
             for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
                 s = shingles(text, size)
                 if not len(s):
-                    out.append((doc_id, key, 0, None, []))
+                    out.append((doc_id, key, 0, 0, []))  # a null here would turn the batch's classes into floats
                     continue
                 sig = signature(s, bands * rows).reshape(bands, rows).astype("<u4")
                 keys = [int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8, salt=bytes([b])).digest(), "little", signed=True)
                         for b, r in enumerate(sig)]
                 out.append((doc_id, key, len(s), class_of(s), keys))
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "n_shingles", "class", "bands"]).astype({"doc_id": "Int64", "class": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "text_key", "n_shingles", "class", "bands"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -139,7 +139,7 @@ def near_groups(docs: DataFrame, size: int, percent: int = 80, bands: int = BAND
     scratch = Scratch(docs.sparkSession, "near")
     d = pick(docs, doc_id="bigint", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     signed = scratch.write(d.withColumn("text_key", text_key(F.col("text"))).mapInPandas(signer(size, bands, rows), SIGNED), "signed")
-    full = signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
+    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # copies combine before the shuffle
     classes = full.groupBy(F.col("class").alias("id")).agg(
         F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))

@@ -79,6 +79,16 @@ def test_hot_near_copies_and_hot_unlike_bucket(spark):
     check(spark, rows, 4)
 
 
+def test_empty_texts_beside_near_copies(spark):
+    """Empty documents in the same batch leave the others' classes as they are."""
+    r = np.random.default_rng(5)
+    rows = []
+    for k in range(12):
+        words = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(90)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words, "end"])), (10 * k + 2, None if k % 2 else "")]
+    check(spark, rows, 4)
+
+
 def test_empty_and_unlinked(spark):
     check(spark, [], 4)
     check(spark, [(1, "one two three four five"), (2, "six seven eight nine ten")], 5)

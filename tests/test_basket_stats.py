@@ -167,3 +167,13 @@ def test_no_pair_table_is_kept(spark):
     b = baskets(spark, [["a", "b", "c"], ["a", "b"], ["a", "c"], ["a", "b", "c"]])
     mb.frequent_itemsets(b, 0.5).count()
     assert spark._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_baskets_take_one_pass_over_the_lines(spark):
+    """No join of the (basket, item) counts with their own totals; orders of one product line, null items and null orders stay out."""
+    sales = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (2, 1, "a"), (3, 1, "b"), (3, 2, "b"), (None, 1, "a"), (None, 2, "b"), (4, None, "a"), (4, 1, "b")],
+                                  "SalesOrderID int, ProductID int, ProductName string")
+    baskets = mb.prepare_baskets(sales)
+    assert sorted(map(tuple, baskets.collect())) == [(1, "a", 1), (3, "b", 2)]
+    plan = baskets._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

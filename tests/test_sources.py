@@ -73,3 +73,25 @@ def test_filter_rules(spark):
     assert mb.filter_rules(rules, min_lift=1.0).count() == 1
     assert mb.filter_rules(rules, antecedent_item="nut").count() == 1
     assert mb.filter_rules(rules, item_substring="bolt").count() == 1
+
+
+def test_shuffles_are_sized_by_the_tables(spark, tmp_path):
+    """The partitions of a shuffle grow with the tables' bytes; a caller's own settings are not lowered or replaced."""
+    from ledgerlens import session
+    path = str(tmp_path / "lineitem.parquet")
+    spark.range(1000).write.parquet(path)
+    s = spark.newSession()
+    s.conf.set(session.ADVISORY, "16k")
+    s.conf.set("spark.sql.shuffle.partitions", 3)
+    session.size_shuffles(s, [path])
+    assert s.conf.get(session.ADVISORY) == "16k" and s.conf.get(session.INITIAL, None) is None
+    old, session.TABLE_BYTES = session.TABLE_BYTES, 100
+    try:
+        session.size_shuffles(s, [path])
+    finally:
+        session.TABLE_BYTES = old
+    held = sum(f.stat().st_size for f in (tmp_path / "lineitem.parquet").glob("*.parquet"))
+    assert int(s.conf.get(session.INITIAL)) == -(-held // 100) > 3
+    fresh = spark.newSession()
+    session.size_shuffles(fresh, [path])
+    assert fresh.conf.get(session.ADVISORY, None) == str(session.TASK_BYTES)

@@ -18,7 +18,11 @@
 
 from __future__ import annotations
 
+import math
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,31 +72,55 @@ def pca_projection(df: DataFrame, cols: list[str] | None = None, key: str = "Cus
     return model.transform(z).select(key, arr[0].alias("PC1"), arr[1].alias("PC2"))
 
 
+#: Rows in a partition that KMeans passes over; fits, and rows of them, that are held at the same time.
+FIT_ROWS, FITS, HELD_ROWS = 100_000, 8, 4_000_000
+
+
+def _training_rows(df: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """The kept vectors in partitions worth a task: a fit makes about fifty
+    passes, so the partitions of the shuffles before it cost more than its rows."""
+    rows = _vectors(df.select(key, *cols), cols)
+    n = collect_scalars(rows.agg(F.count(F.lit(1))))[0]
+    most = max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / FIT_ROWS))
+    return (rows.coalesce(most) if rows.rdd.getNumPartitions() > most else rows).persist()
+
+
 def kmeans(df: DataFrame, cols: list[str], k: int = 5, key: str = "CustomerID", seed: int = 42,
            n_init: int = 10):
     """SEG-3 / SEG-4: best of ``n_init`` seeded KMeans fits by training cost;
     returns (labels DataFrame(key, Segment), inertia, silhouette)."""
     from pyspark.ml.evaluation import ClusteringEvaluator
-    data = _vectors(df.select(key, *cols), cols).persist()
-    model, cost = _best_fit(data, k, seed, n_init)
+    data = _training_rows(df, cols, key)
+    model, cost = _best_fits(data, [k], seed, n_init)[0]
     pred = model.transform(data)
     sil = ClusteringEvaluator(featuresCol="features", predictionCol="Segment").evaluate(pred) if k > 1 else 0.0
     return pred.select(key, F.col("Segment").cast("int").alias("Segment")), float(cost), float(sil)
 
 
-def _best_fit(data: DataFrame, k: int, seed: int, n_init: int):
-    """The model of least training cost of ``n_init`` seeded fits."""
+def _best_fits(data: DataFrame, ks: list[int], seed: int, n_init: int) -> list[tuple]:
+    """For each k the model of least training cost of ``n_init`` seeded fits, and
+    the cost.  Jobs over few rows are short, so several fits run at the same time;
+    each holds the rows as vectors, as ``fit`` does for a table that is not kept itself."""
     from pyspark.ml.clustering import KMeans
-    fits = (KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="Segment").fit(data) for i in range(n_init))
-    return min(((m, float(m.summary.trainingCost)) for m in fits), key=lambda x: x[1])
+    rows = data.select("features")
+
+    def fit(k_seed):
+        m = KMeans(k=k_seed[0], seed=k_seed[1], featuresCol="features", predictionCol="Segment").fit(rows)
+        return m, float(m.summary.trainingCost)
+
+    at_once = max(1, min(FITS, HELD_ROWS // max(1, data.count())))
+    with ThreadPool(at_once) as pool:
+        fits = pool.map(inheritable_thread_target(data.sparkSession)(fit), [(k, seed + i) for k in ks for i in range(n_init)], chunksize=1)
+    return [min(fits[i:i + n_init], key=lambda x: x[1]) for i in range(0, len(fits), n_init)]
 
 
 def inertia_curve(df: DataFrame, cols: list[str], max_clusters: int = 10, key: str = "CustomerID",
                   seed: int = 42, n_init: int = 10) -> list[tuple[int, float]]:
     n = collect_scalars(df.agg(F.count(F.lit(1))))[0]
-    data = _vectors(df.select(key, *cols), cols).persist()
+    data = _training_rows(df, cols, key)
+    ks = list(range(2, min(max_clusters + 1, n)))
     try:
-        return [(k, _best_fit(data, k, seed, n_init)[1]) for k in range(2, min(max_clusters + 1, n))]
+        return [(k, cost) for k, (_, cost) in zip(ks, _best_fits(data, ks, seed, n_init))]
     finally:
         data.unpersist()
 

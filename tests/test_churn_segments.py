@@ -177,3 +177,14 @@ def test_density_cell_and_report(spark):
             s.append((b - a) / max(a, b))
         assert row["silhouette"] == pytest.approx(np.mean(s))
     assert row["n_clusters"] >= 2
+
+
+def test_kmeans_passes_over_few_partitions(spark):
+    """Rows dealt over many partitions are brought to few, few ones stay; the best fits are those made one after the other."""
+    from pyspark.ml.clustering import KMeans
+    many = spark.range(0, 60, 1, 90).selectExpr("id AS CustomerID", "double(id % 3) AS a", "double(id * id % 17) AS b")
+    rows = sg._training_rows(many, ["a", "b"], "CustomerID")
+    assert rows.count() == 60 and rows.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert sg._training_rows(many.coalesce(2), ["a", "b"], "CustomerID").rdd.getNumPartitions() == 2
+    one_by_one = [min(KMeans(k=k, seed=42 + i).fit(rows).summary.trainingCost for i in range(2)) for k in (2, 3)]
+    assert [c for _, c in sg._best_fits(rows, [2, 3], 42, 2)] == pytest.approx(one_by_one)

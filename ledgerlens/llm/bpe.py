@@ -3,7 +3,7 @@
 Each Spark task splits its texts into words with the tokenizer's pattern and
 hands the words it has not met yet to an in-process DuckDB.  There a word is a
 set of (word, position, token) rows, at first one per byte.  A recursive query
-joins neighbouring rows with the merge table and contracts each word's
+joins each row and its neighbour with the merge table and contracts each word's
 leftmost pair of minimum rank, until no pair of the word can be merged.
 Decoding joins the ids with the vocabulary and aggregates their bytes in the
 order of their positions.
@@ -24,9 +24,9 @@ its length.
 
 Memory per task is bounded: texts go through in slices of about
 ``SLICE_CHARS`` characters (a text is never split), words through DuckDB in
-slices of ``SLICE_BYTES`` (pieces of a long word likewise), and the memory of known words is emptied when it
-holds ``MEMO`` words.  The rank file (under 1 MB) is read on the driver and
-broadcast.
+slices of ``SLICE_BYTES`` (pieces of a long word likewise), and the memory of known words keeps no
+others than those of the texts at hand when it holds ``MEMO`` words.  The rank file (under 1 MB) and the merge table made of it
+(108,299 rows) are read and made on the driver and broadcast.
 
 Null text counts as empty: no tokens, empty decoded bytes.  Every row gives a
 row; an empty table gives an empty result.
@@ -51,19 +51,19 @@ WIDE_ROWS = 2_000_000
 MEMO = 200_000
 CODED = "doc_id bigint, ids binary, decoded binary"
 
-#: One contraction per word and step.  A word's positions stay 1, 2, 3, ...
+#: One contraction per word and step.  A word's positions stay 1, 2, 3, ...; a row knows the token after its own.
 NARROW_SQL = """
-WITH RECURSIVE t(w, pos, tok, step) AS (
-  SELECT w, pos, tok, 0 FROM start
+WITH RECURSIVE t(w, pos, tok, nxt, step) AS (
+  SELECT w, pos, tok, nxt, 0 FROM start
   UNION ALL
   SELECT a.w, CASE WHEN a.pos > b.pos THEN a.pos - 1 ELSE a.pos END,
-         CASE WHEN a.pos = b.pos THEN b.rank ELSE a.tok END, a.step + 1
+         CASE WHEN a.pos = b.pos + 1 THEN b.rank ELSE a.tok END,
+         CASE WHEN a.pos = b.pos - 1 THEN b.rank ELSE a.nxt END, a.step + 1
   FROM t a JOIN (
     SELECT w, CAST(min(key) & 4294967295 AS INTEGER) AS pos, CAST(min(key) >> 32 AS INTEGER) AS rank
-    FROM (SELECT l.w, (CAST(m.rank AS BIGINT) << 32) + l.pos AS key
-          FROM t l JOIN t r ON r.w = l.w AND r.pos = l.pos + 1 JOIN merges m ON m.l = l.tok AND m.r = r.tok)
+    FROM (SELECT t.w, (CAST(m.rank AS BIGINT) << 32) + t.pos AS key FROM t JOIN merges m ON m.l = t.tok AND m.r = t.nxt)
     GROUP BY w) b ON a.w = b.w
-  WHERE a.pos <> b.pos + 1
+  WHERE a.pos <> b.pos
 )
 SELECT w, tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, pos
 """
@@ -132,7 +132,7 @@ def merge_table(ranks: dict[bytes, int]) -> pd.DataFrame:
 class Coder:
     """Encoder and decoder of one task."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, merges: pd.DataFrame | None = None):
         import duckdb
         import regex
 
@@ -140,7 +140,7 @@ class Coder:
         self.bytes_of = {rank: t for t, rank in ranks.items()}
         self.first = np.array([ranks[bytes([b])] for b in range(256)], dtype="int32")
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        self.table("merges", merge_table(ranks))
+        self.table("merges", merge_table(ranks) if merges is None else merges)
         self.table("vocab", pd.DataFrame({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]}))
 
     def table(self, name: str, rows: pd.DataFrame) -> None:
@@ -155,6 +155,10 @@ class Coder:
         start = pd.DataFrame({
             "w": np.repeat(np.arange(len(words), dtype="int32"), sizes), "pos": at.astype("int32"),
             "tok": self.first[np.frombuffer(b"".join(words), dtype="uint8")]})
+        if sql == NARROW_SQL:
+            nxt = np.append(start["tok"].to_numpy()[1:], np.int32(-1))
+            nxt[np.cumsum(sizes) - 1] = -1  # no token comes after a word's last
+            start["nxt"] = nxt
         while True:
             self.table("start", start)
             if sql == NARROW_SQL:
@@ -217,11 +221,19 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.find(t) for t in texts]
+        at, words = pd.factorize(np.array([w for own in split for w in own], dtype=object))
+        new = [w for w in words.tolist() if w not in self.memo]
         if len(self.memo) > MEMO:
-            self.memo = {}
-        self.learn(set().union(*split) - self.memo.keys())
-        code = self.memo.__getitem__
-        return [b"".join(map(code, words)) for words in split]
+            self.memo = {w: self.memo[w] for w in words.tolist() if w in self.memo}
+        self.learn(set(new))
+        codes = [self.memo[w] for w in words.tolist()]
+        # the ids of all occurrences in a row, copied from those of the different words
+        ids, sizes = np.frombuffer(b"".join(codes), dtype="<u4"), np.array([len(c) // 4 for c in codes], dtype="int64")
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        begin = (np.cumsum(sizes) - sizes)[at]
+        packed = ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes[at])].tobytes()
+        cuts = (4 * ends[np.cumsum([0] + [len(own) for own in split])]).tolist()
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         ids = np.frombuffer(b"".join(packed), dtype="<u4").astype("int32")
@@ -247,12 +259,13 @@ def sliced(texts: list[str], most: int):
 def coded(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, ids (packed little-endian unsigned 32-bit), decoded bytes: one row per document."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
+    read = read_ranks(rank_file)
+    given = spark.sparkContext.broadcast((read, pattern, merge_table(read)))
 
     def run(batches):
         coder = None
         for batch in batches:
-            coder = coder or Coder(ranks.value, pattern)
+            coder = coder or Coder(*given.value)
             texts = batch["text"].tolist()
             for i, j in sliced(texts, SLICE_CHARS):
                 ids = coder.encode(texts[i:j])

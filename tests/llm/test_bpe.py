@@ -62,3 +62,19 @@ def test_long_words(reference):
     codes = coder.encode(texts)
     assert [np.frombuffer(c, dtype="<u4").tolist() for c in codes] == [reference.encode_ordinary(t) for t in texts]
     assert coder.decode(codes) == [t.encode() for t in texts]
+
+
+def test_full_memory_keeps_the_words_at_hand(monkeypatch):
+    """The words of the texts at hand are not encoded again when the memory is full."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258}
+    monkeypatch.setattr(bpe, "MEMO", 2)
+    coder = bpe.Coder(ranks, r"[a-z]+", bpe.merge_table(ranks))
+    learnt, learn = [], coder.learn
+    coder.learn = lambda words: (learnt.append(set(words)), learn(words))
+    texts = (["abababa bab", "", "aab"], ["aab bbb"], [""], ["aab bab"])
+    got = [coder.encode(x) for x in texts]
+    assert learnt == [{"abababa", "bab", "aab"}, {"bbb"}, set(), {"bab"}]
+    want = [[[257, 256, 97], [98, 256], [97, 256]], [[97, 256], [98, 98, 98]], [], [[97, 256], [98, 256]]]
+    flat = [np.frombuffer(b"".join(x), dtype="<u4").tolist() for x in got]
+    assert flat == [[t for word in w for t in word] for w in want]
+    assert [len(x) // 4 for x in got[0]] == [5, 0, 2]

@@ -188,3 +188,22 @@ def test_kmeans_passes_over_few_partitions(spark):
     assert sg._training_rows(many.coalesce(2), ["a", "b"], "CustomerID").rdd.getNumPartitions() == 2
     one_by_one = [min(KMeans(k=k, seed=42 + i).fit(rows).summary.trainingCost for i in range(2)) for k in (2, 3)]
     assert [c for _, c in sg._best_fits(rows, [2, 3], 42, 2)] == pytest.approx(one_by_one)
+
+
+def test_trees_pass_over_few_partitions(spark, monkeypatch):
+    """Rows of many partitions come in one for each core, or more of them where there are many rows; none is lost."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 1000, 1, 10 * cores)
+    few = ch.tree_rows(rows)
+    assert few.rdd.getNumPartitions() == cores
+    assert sorted(r.id for r in few.collect()) == list(range(1000))
+    monkeypatch.setattr(ch, "TREE_ROWS", math.ceil(500 / cores))
+    assert ch.tree_rows(rows).rdd.getNumPartitions() == 2 * cores
+    assert ch.tree_rows(spark.range(0, 1000, 1, 2)).rdd.getNumPartitions() == 2
+    assert ch.tree_rows(spark.range(0)).count() == 0
+    # the classifier trains on them
+    seen = []
+    monkeypatch.setattr(ch, "tree_rows", lambda train: (seen.append(train), few.sparkSession.createDataFrame([], train.schema))[1])
+    with pytest.raises(Exception):
+        ch.ChurnClassifier(features=["a"]).fit(spark.range(20).selectExpr("id AS CustomerID", "id * 1.0 AS a", "id % 2 AS Churned"))
+    assert len(seen) == 1

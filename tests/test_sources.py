@@ -95,3 +95,24 @@ def test_shuffles_are_sized_by_the_tables(spark, tmp_path):
     fresh = spark.newSession()
     session.size_shuffles(fresh, [path])
     assert fresh.conf.get(session.ADVISORY, None) == str(session.TASK_BYTES)
+
+
+def test_scans_are_sized_too(spark, tmp_path):
+    """One task of a scan, which combines the keys of its part, gets a bounded part of a file; a caller's own size stays."""
+    from ledgerlens import session
+    path = str(tmp_path / "lineitem.parquet")
+    spark.range(4000).repartition(4).write.parquet(path)
+    s = spark.newSession()
+    held, open_cost = sum(f.stat().st_size for f in (tmp_path / "lineitem.parquet").glob("*.parquet")), "spark.sql.files.openCostInBytes"
+    old, session.SCAN_BYTES = session.SCAN_BYTES, held // 2
+    try:
+        s.conf.set(open_cost, 0)
+        s.conf.set("spark.sql.files.minPartitionNum", 1)
+        session.size_shuffles(s, [path])
+    finally:
+        session.SCAN_BYTES = old
+    assert s.read.parquet(path).rdd.getNumPartitions() >= 2
+    own = spark.newSession()
+    own.conf.set(session.SCAN, "1m")
+    session.size_shuffles(own, [path])
+    assert own.conf.get(session.SCAN) == "1m"

@@ -177,3 +177,28 @@ def test_baskets_take_one_pass_over_the_lines(spark):
     assert sorted(map(tuple, baskets.collect())) == [(1, "a", 1), (3, "b", 2)]
     plan = baskets._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_recommendations_meet_few_rules(spark):
+    """As many rows as by all rules (ties, several rules for an item, items in the basket too), from the best rules of an input item only."""
+    import itertools
+    import random
+    r = random.Random(5)
+    names = "abcdefgh"
+    sets = [(x, y) for n, m in ((1, 1), (1, 2), (2, 1)) for x in itertools.combinations(names, n) for y in itertools.combinations(names, m) if not set(x) & set(y)]
+    rules = [(list(x), list(y), ", ".join(x), float(r.randint(1, 4)), r.randint(1, 3) / 4, 0.5) for x, y in sets]
+    lists = [["a"], ["a", "b", "c"], ["c", "c", "h"], ["z"], list(names)]
+    want = []
+    for basket, items in enumerate(lists):
+        best = {}
+        for ante, cons, key, lift, conf, support in rules:
+            for i, rec in itertools.product(set(ante) & set(items), cons):
+                best[rec] = min(best.get(rec, ((math.inf,),)), ((-lift, -conf, i, key), (basket, i, rec, conf, lift, support)))
+        top = sorted(best.values(), key=lambda x: (x[0][0], x[1][2]))[:3]
+        want += [(*row, rank) for rank, (_, row) in enumerate(top, 1)]
+    table = spark.createDataFrame(rules, "antecedents array<string>, consequents array<string>, antecedent_key string, lift double, confidence double, support double")
+    held = spark.createDataFrame([(k, x) for k, items in enumerate(lists) for x in items], "basket_id int, item string")
+    out = mb.recommendations(table, held, 3)
+    assert sorted(map(tuple, out.select("basket_id", "input_item", "recommended_item", "confidence", "lift", "support", "rank").collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in plan[plan.index("Join Inner"):]

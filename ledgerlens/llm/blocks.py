@@ -21,6 +21,22 @@ def unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw), dtype="uint8").reshape(size, -1).T.copy().view(kind).ravel()
 
 
+def packed_hashes(hashes: np.ndarray, plain: int) -> bytes:
+    """Sorted 64-bit hashes as differences, byte plane by byte plane: the ``plain`` lowest as they are, the others compressed.
+
+    Differences of random hashes are random up to their mean, so compressing the bytes below it takes time and saves nothing.
+    """
+    planes = np.diff(hashes, prepend=np.uint64(0)).view("uint8").reshape(-1, 8).T.tobytes()
+    low = plain * len(hashes)
+    return low.to_bytes(8, "little") + planes[:low] + zlib.compress(planes[low:], 1)
+
+
+def unpacked_hashes(raw: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(raw[:8], "little")
+    planes = raw[8:end] + zlib.decompress(raw[end:])
+    return np.cumsum(np.frombuffer(planes, dtype="uint8").reshape(8, -1).T.copy().view("uint64").ravel(), dtype="uint64")
+
+
 def chunked(batches, size: int):
     """(name, doc_ids, texts) of about ``size`` characters each; the same rows give the same chunks."""
     part, n, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -42,7 +58,7 @@ def sender(size: int):
             # lengths first, so that any character may occur in a text
             raw = [t.encode() for t in texts]
             head = np.array([len(raw), *map(len, raw)], dtype="int64").tobytes()
-            yield pd.DataFrame({"chunk": [name], "doc_ids": [ids], "texts": [zlib.compress(head + b"".join(raw), 6)]})
+            yield pd.DataFrame({"chunk": [name], "doc_ids": [ids], "texts": [zlib.compress(head + b"".join(raw), 4)]})
 
     return run
 

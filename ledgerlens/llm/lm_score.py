@@ -25,14 +25,13 @@ knows its copy's n-grams.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.blocks import SENT, chunked, opened, packed, sender, unpacked
+from ledgerlens.llm.blocks import SENT, chunked, opened, packed, packed_hashes, sender, unpacked, unpacked_hashes
 from ledgerlens.llm.common import lower_az, pick
 
 ORDER = 3
@@ -49,15 +48,14 @@ class Exploded:
     """The n-grams of a chunk: ``keys`` sorted and distinct; ``ends[m]`` the words that end an (m+1)-gram, ``numbers[m]`` which one."""
 
     def __init__(self, texts: list[str], order: int, placed: bool = True):
-        find, known = re.compile(WORD.encode()).findall, {}
-        words, sizes = [], []
+        known, words, sizes = {}, [], []
         for t in texts:
-            own = find(t.encode().lower())  # of bytes, lower() changes A-Z only
+            own = t.encode().lower().split()  # of bytes, lower() changes A-Z only and split() cuts at what WORD leaves out
             sizes.append(len(own))
             words.append(np.fromiter((known.setdefault(w, len(known)) for w in own), dtype="int32", count=len(own)))
         self.sizes = np.array(sizes, dtype="int64")
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        digest = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in known), dtype="uint64", count=len(known))
+        digest = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in known]), dtype="<u8")
         hashes = digest[np.concatenate(words)] if words else np.empty(0, dtype="uint64")
         del words, known
         place = np.arange(len(hashes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
@@ -76,7 +74,7 @@ class Exploded:
         keys, sizes = np.concatenate(parts), [len(e) for e in self.ends]
         del parts
         if placed:
-            self.keys, number = np.unique(keys, return_inverse=True)
+            self.keys, number, self.counts = np.unique(keys, return_inverse=True, return_counts=True)
             self.numbers = np.split(number, np.cumsum(sizes)[:-1])
         else:
             self.keys, self.counts = np.unique(keys, return_counts=True)
@@ -89,9 +87,12 @@ class Exploded:
     def others(self, totals: np.ndarray, m: int) -> np.ndarray:
         """For each word, how often the other documents have the (m+1)-gram that ends at it."""
         end, number = self.ends[m], self.numbers[m]
-        _, same, own = np.unique(self.doc[end] * np.int64(len(self.keys)) + number, return_inverse=True, return_counts=True)
+        own = np.ones(len(end), dtype="int64")
+        again = np.flatnonzero(self.counts[number] > 1)  # what the chunk has once, its document has once
+        _, same, n = np.unique(self.doc[end[again]] * np.int64(len(self.keys)) + number[again], return_inverse=True, return_counts=True)
+        own[again] = n[same]
         out = np.zeros(len(self.doc), dtype="int64")
-        out[end] = totals[number] - own[same]
+        out[end] = totals[number] - own
         return out
 
 
@@ -100,10 +101,11 @@ def asker(size: int, order: int, buckets: int):
         for name, _, texts in chunked(batches, size):
             x = Exploded(texts, order, placed=False)
             ends, rows, begin = x.slices(buckets), [], 0
+            plain = (64 - len(x.keys).bit_length()) // 8  # differences are random up to their mean
             for b, end in enumerate(ends.tolist()):
                 if end > begin:
                     keys = x.keys[begin:end]
-                    rows.append((name, b, packed(np.diff(keys, prepend=np.uint64(0))), packed(x.counts[begin:end].astype("uint32"))))
+                    rows.append((name, b, packed_hashes(keys, plain), packed(x.counts[begin:end].astype("uint32"))))
                 begin = end
             yield pd.DataFrame(rows, columns=["chunk", "bucket", "hashes", "counts"])
 
@@ -112,7 +114,7 @@ def asker(size: int, order: int, buckets: int):
 
 def totalled(rows: pd.DataFrame) -> pd.DataFrame:
     """The totals of a bucket's hashes, for each chunk in the order it asked."""
-    keys = [np.cumsum(unpacked(h, "uint64"), dtype="uint64") for h in rows["hashes"]]
+    keys = [unpacked_hashes(h) for h in rows["hashes"]]
     _, number = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.concatenate([unpacked(c, "uint32") for c in rows["counts"]])
     totals = np.bincount(number, weights=counts).astype("uint64")[number]

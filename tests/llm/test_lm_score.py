@@ -4,7 +4,10 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+
 from ledgerlens.llm import lm_score
+from ledgerlens.llm.blocks import packed_hashes, unpacked_hashes
 
 SCHEMA = "doc_id bigint, text string, n_words int, chunk string"
 
@@ -50,3 +53,19 @@ def test_real_documents_in_many_chunks(spark):
 
 def test_empty_table(spark):
     check(spark, [])
+
+
+def test_hashes_travel_plain_below_their_mean_difference():
+    rng = np.random.default_rng(3)
+    for n, plain in ((0, 8), (1, 7), (20_000, 6), (20_000, 0)):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype="uint64"))
+        raw = packed_hashes(keys, plain)
+        assert (unpacked_hashes(raw) == keys).all() and len(raw) <= len(packed_hashes(keys, 0)) * 1.01 + 64
+        assert raw[8:8 + n] == (np.diff(keys, prepend=np.uint64(0)) & np.uint64(255)).astype("uint8").tobytes() or not plain
+
+
+def test_own_counts_of_repeats_within_and_across_documents():
+    x = lm_score.Exploded(["a b a b\va", "", "a b c", "  d"], 3)
+    assert x.sizes.tolist() == [5, 0, 3, 2]
+    assert x.others(x.counts, 0).tolist() == [1, 1, 1, 1, 1, 3, 2, 0, 0, 0]
+    assert x.others(x.counts, 1).tolist() == [0, 1, 0, 1, 0, 0, 2, 0, 0, 0]

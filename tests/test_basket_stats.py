@@ -202,3 +202,22 @@ def test_recommendations_meet_few_rules(spark):
     assert sorted(map(tuple, out.select("basket_id", "input_item", "recommended_item", "confidence", "lift", "support", "rank").collect())) == sorted(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" in plan[plan.index("Join Inner"):]
+
+
+def test_candidates_go_to_the_baskets(spark):
+    """Baskets are not dealt by the first item of a set, nor sent whole to the task that holds the sets."""
+    lists = [sorted({c for i, c in enumerate("abcdefgh") if (7 * n + i * i) % 5 < 3}) for n in range(60)]
+    want = {k: v for k, v in brute_itemsets(lists, 0.01).items() if len(k) == 3}
+    held = spark.createDataFrame([(x,) for x in lists], "items array<string>")
+    cand = spark.createDataFrame([(list(k),) for k in want], "items array<string>").localCheckpoint()
+    blocks = mb.candidate_blocks(cand, 3, 5)
+    assert len(blocks) > 1 and sum(b.count() for b in blocks) == len(want)
+    out = [mb.counted(b, held, 3) for b in blocks]
+    assert {tuple(x["items"]): x["count"] for o in out for x in o.collect()} == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = mb.counted(cand, held, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Inner, BuildRight" in plan and plan.index("Inner, BuildRight") < plan.index("posexplode")

@@ -2,10 +2,11 @@ import datetime as dt
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerlens.operators import features as feat
-from ledgerlens.operators.trends import theil_sen_trends
+from ledgerlens.operators.trends import _median_slopes, theil_sen_trends
 
 D0 = dt.datetime(2020, 1, 1)
 
@@ -91,3 +92,36 @@ def test_theil_sen_refuses_values_that_it_would_round(spark):
             theil_sen_trends(df, {"t": "TotalDue"}, order)
     df = lines(spark, [(1, d, 1.0, v, "a") for d, v in enumerate([0.1, 0.3, 123456789.123456])])
     assert theil_sen_trends(df, {"t": "TotalDue"}, order).count() == 1
+
+
+def test_stored_lines_hold_customers_side_by_side(spark, monkeypatch):
+    """A task's part of the stored lines holds whole customers, so that partial aggregates shrink them before a shuffle."""
+    tables = {}
+    keep = feat.stored
+    monkeypatch.setattr(feat, "stored", lambda df, name="table": tables.setdefault(name, keep(df, name)))
+    df = lines(spark, [(c, d, 1.0 + c, 1.0, "a") for d in range(6) for c in range(40)]).repartition(5)
+    feat.engineer_customer_features(df, with_trend=False)
+    parts = tables["lines"].selectExpr("input_file_name() AS part", "CustomerID").collect()
+    assert len(parts) == 240 and len({(r.part, r.CustomerID) for r in parts}) == 40
+    for part in {r.part for r in parts}:
+        own = [r.CustomerID for r in parts if r.part == part]
+        assert own == sorted(own)
+    assert "UnitPrice" not in tables["lines"].columns  # orders no quantities
+
+
+@pytest.mark.parametrize("with_trend", [True, False])
+def test_different_orders_and_products(spark, with_trend, monkeypatch):
+    """Counted beside the trends for customers with few and with many lines, also for lines of no customer."""
+    from ledgerlens.operators import trends
+    monkeypatch.setattr(trends, "LOCAL_MAX", 4)
+    rows = [(1, 5, 9), (1, 5, 9), (1, 6, 8), (2, 7, 9), (None, 8, 1), (None, 8, 2), (None, 9, None)] + [(3, 10 + k % 4, k % 6) for k in range(12)]
+    df = spark.createDataFrame([(c, o, D0 + dt.timedelta(days=o), 1.0 + k % 3, 2.0, "a", p, k, 1, 0.0, 1.0) for k, (c, o, p) in enumerate(rows)],
+                               lines(spark, [(1, 1, 1.0, 1.0, "a")]).schema)
+    got = {r.CustomerID: (r.NumOrders, r.UniqueProducts) for r in feat.engineer_customer_features(df, with_trend=with_trend).collect()}
+    assert got == {1: (2, 2), 2: (1, 1), 3: (4, 6), None: (2, 2)}
+
+
+def test_slopes_of_arrays_of_equal_length_together():
+    r = np.random.default_rng(5)
+    ys = pd.Series([r.integers(1, 50, n) * 10**6 for n in (7, 0, 1, 2, 3, 40, 7, 3, 130, 40)])
+    assert _median_slopes(ys).tolist() == [brute_theil([float(v) for v in y]) / 1e6 for y in ys]

@@ -116,3 +116,31 @@ def test_scans_are_sized_too(spark, tmp_path):
     own.conf.set(session.SCAN, "1m")
     session.size_shuffles(own, [path])
     assert own.conf.get(session.SCAN) == "1m"
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    """The shuffles of stored rows go when they are written, and the caller's setting stays."""
+    import time
+
+    from ledgerlens.session import CLEANUP, stored
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().endswith(".data")}
+
+    before = files()
+    kept = spark.conf.get(CLEANUP)
+    out = stored(spark.range(5000).selectExpr("id % 100 AS k").groupBy("k").count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 100 and spark.conf.get(CLEANUP) == kept
+
+
+def test_join_order_changes_no_lines(spark):
+    cat = Catalog(spark, "/root/testdata/sf0.001")
+    one, other = cat.sales_lines(), cat.sales_lines(products_first=True)
+    assert one.columns == other.columns and one.count() == other.count() > 0
+    assert one.exceptAll(other).isEmpty()

@@ -153,3 +153,20 @@ def test_p_values_for_many_degrees_of_freedom():
     assert pv.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, rel=1e-9)
     assert pv.t_sf_two_sided(1.959963984540054, 1e9) == pytest.approx(0.05, rel=1e-6)
     assert pv.betainc(2, 3, 0.4) == pytest.approx(0.5248, rel=1e-12)
+
+
+def test_fit_makes_its_rows_once(spark, customers, monkeypatch):
+    """A fit reads its customers many times, but they are made one time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    model = ch.ChurnClassifier(features=["a", "b", "c"])
+    make = model._pipeline
+    monkeypatch.setattr(model, "_pipeline", lambda: (p := make(), p.getStages()[-1].setNumTrees(3))[0])
+    res = model.fit(customers.mapInPandas(count, customers.schema))
+    assert made.value == 240
+    assert sum(r["count"] for r in res["confusion_matrix"].collect()) == sum(r["support"] for r in res["classification_report"].collect())

@@ -170,3 +170,41 @@ def test_fit_makes_its_rows_once(spark, customers, monkeypatch):
     res = model.fit(customers.mapInPandas(count, customers.schema))
     assert made.value == 240
     assert sum(r["count"] for r in res["confusion_matrix"].collect()) == sum(r["support"] for r in res["classification_report"].collect())
+
+
+def test_kept_nodes_give_the_same_trees(spark, customers):
+    data = ch.ChurnClassifier(features=["a", "b", "c"]).prepare(customers, "Churned").cache()
+    pipeline = ch.ChurnClassifier(features=["a", "b", "c"])._pipeline()
+    forest = pipeline.getStages()[-1].setNumTrees(4)
+    assert forest.getCacheNodeIds()
+    kept = pipeline.fit(data).stages[-1].toDebugString
+    forest.setCacheNodeIds(False)
+    sought = pipeline.fit(data).stages[-1].toDebugString
+    assert kept.split("\n")[1:] == sought.split("\n")[1:]
+
+
+def test_scores_read_the_features_of_the_fit(spark, monkeypatch):
+    """chn7 makes the features of all customers one time, for the fit and for the scores."""
+    from ledgerlens.plans import q_churn
+
+    class Model(ch.ChurnClassifier):
+        def fit(self, df, label="Churned"):
+            return {"rows": df.count()}
+
+        def save(self, path):
+            pass
+
+        load = save
+
+        def predict_proba(self, df, path=None):
+            return df.selectExpr("CustomerID", "0.5D AS ChurnProbability")
+
+    calls, make = [], q_churn.survival
+    monkeypatch.setattr(q_churn, "survival", lambda *a, **k: calls.append(a) or make(*a, **k))
+    monkeypatch.setattr(ch, "ChurnClassifier", Model)
+    try:
+        q_churn._classifier_metrics.cache_clear()
+        scored = q_churn.chn7_churn_probability(spark, "/root/testdata/sf0.001").collect()
+        assert len(scored) == len({r.CustomerID for r in scored}) > 100 and len(calls) == 1
+    finally:
+        q_churn._classifier_metrics.cache_clear()
